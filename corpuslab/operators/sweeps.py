@@ -1,8 +1,8 @@
 """Sweeps of scaling laws over runs, budgets, shapes and constants.
 
-A grid is a parameter of fixed size. Its points are generated inside each row,
-either reduced there at once (allocation, planning) or exploded and combined on
-the map side (fit objective), so the grid never multiplies what is shuffled.
+A grid is a parameter of fixed size. Its points are generated from each row by
+``explode`` and combined again on the map side, so the grid multiplies the
+arithmetic but never what is shuffled.
 """
 
 from __future__ import annotations
@@ -183,11 +183,6 @@ def grid_fit(
     return runs.sparkSession.createDataFrame([tuple(best)], ", ".join(f"{n} double" for n in (*FIELDS, "objective")))
 
 
-def _factors(low: float, high: float, count: int) -> Column:
-    step = (high - low) / (count - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(low) + i * F.lit(step))
-
-
 def optimal_allocation(
     budgets: DataFrame,
     law: Law = C4_LAW,
@@ -199,40 +194,52 @@ def optimal_allocation(
     """Best split of ``compute`` under ``unique_budget`` unique tokens.
 
     Starting at the compute-optimal split, tokens are scaled up and parameters
-    down by each factor, and the other way round. The minimum is taken inside
-    the row: no shuffle. Ties go to the first factor, upward first.
+    down by each of ``count`` factors, and the other way round (``with_start``
+    tries the start itself too). Every distinct budget is solved once: its
+    candidates are made in one task and reduced there to one row before the
+    shuffle.
     """
+    given = budgets.select("compute", "unique_budget").distinct()
+    start = optimal_nd(given, law)
+    # Candidates 1..count scale tokens up, -1..-count down, 0 is the start.
+    candidates = F.sequence(F.lit(-count), F.lit(count))
+    step = (high - low) / (count - 1)
+    size = F.lit(low) + (F.abs(F.col("candidate")) - 1) * F.lit(step)
+    factor = (
+        F.when(F.col("candidate") > 0, size)
+        .when(F.col("candidate") < 0, F.lit(1.0) / size)
+        .otherwise(F.lit(1.0))
+    )
 
-    def candidate(tokens: Column, params: Column, order: Column) -> Column:
-        unique = F.least(F.col("unique_budget"), tokens)
-        return F.struct(
-            laws.predicted_loss(params, tokens, unique, law).alias("loss"),
-            order.alias("order"),
-            tokens.alias("tokens"),
-            params.alias("params"),
+    def placed(df: DataFrame) -> DataFrame:
+        scaled = df.withColumn("factor", factor)
+        return (
+            scaled.withColumn("tokens", F.col("opt_tokens") * F.col("factor"))
+            .withColumn("params", F.col("opt_params") / F.col("factor"))
+            .withColumn(
+                "loss",
+                laws.predicted_loss(
+                    F.col("params"), F.col("tokens"), F.least("unique_budget", "tokens"), law
+                ),
+            )
+            .drop("factor")
         )
 
-    start = optimal_nd(budgets, law)
-    up = F.transform(
-        _factors(low, high, count),
-        lambda f, i: candidate(F.col("opt_tokens") * f, F.col("opt_params") / f, i * 2),
+    tried = start.withColumn("candidate", F.explode(candidates))
+    if not with_start:
+        tried = tried.filter("candidate != 0")
+    columns = ["compute", "unique_budget", "opt_tokens", "opt_params"]
+    best = (
+        placed(tried)
+        .groupBy(*columns)
+        .agg(F.min_by("candidate", "loss").alias("candidate"))
     )
-    down = F.transform(
-        _factors(low, high, count),
-        lambda f, i: candidate(F.col("opt_tokens") / f, F.col("opt_params") * f, i * 2 + 1),
-    )
-    lists = [up, down]
-    if with_start:
-        lists.append(F.array(candidate(F.col("opt_tokens"), F.col("opt_params"), F.lit(-1))))
-    best = F.array_min(F.concat(*lists))
-    return (
-        start.withColumn("best", best)
-        .withColumn("loss", F.col("best.loss"))
-        .withColumn("tokens", F.col("best.tokens"))
-        .withColumn("params", F.col("best.params"))
+    solved = (
+        placed(best)
         .withColumn("epochs", F.try_divide(F.col("tokens"), F.col("unique_budget")))
-        .drop("best", "opt_params", "opt_tokens")
+        .drop("candidate", "opt_tokens", "opt_params")
     )
+    return budgets.join(solved, ["compute", "unique_budget"])
 
 
 def log_space(df: DataFrame, low: str, high: str, count: int, name: str = "compute") -> DataFrame:
@@ -366,25 +373,30 @@ def plan_runs(
     """The architecture with the lowest predicted loss for each budget.
 
     ``budgets`` has ``(compute, unique_budget)``; ``shapes`` are
-    ``(name, d_model, ffw, kv, heads, layers)``. Every shape is scored inside
-    the row.
+    ``(name, d_model, ffw, kv, heads, layers)``. All shapes are scored for each
+    distinct budget and reduced to one row before the shuffle.
     """
-    entries = []
-    for number, (name, hidden, ffw, _, heads, layers) in enumerate(shapes):
-        h, f, k, n = (F.lit(float(value)) for value in (hidden, ffw, heads, layers))
-        params = architecture_params(h, n, f)
-        tokens = laws.tokens_for_compute(F.col("compute"), params)
-        unique = F.least(F.col("unique_budget"), tokens)
-        entries.append(
-            F.struct(
-                laws.predicted_loss(params, tokens, unique, law).alias("loss"),
-                F.lit(number).alias("order"),
-                F.lit(name).alias("shape"),
-                params.alias("params"),
-                tokens.alias("tokens"),
-                architecture_flops(tokens, h, k, n, f).alias("full_flops"),
-            )
-        )
-    return budgets.withColumn("best", F.array_min(F.array(*entries))).select(
-        *budgets.columns, "best.shape", "best.params", "best.tokens", "best.loss", "best.full_flops"
+    table = ", ".join(
+        f"named_struct('shape', '{name}', 'hidden', {hidden}D, 'ffw', {ffw}D, 'heads', {heads}D, 'layers', {layers}D)"
+        for name, hidden, ffw, _, heads, layers in shapes
+    )
+    hidden, ffw, heads, layers = (F.col(c) for c in ("hidden", "ffw", "heads", "layers"))
+    given = budgets.select("compute", "unique_budget").distinct()
+    tokens = laws.tokens_for_compute(F.col("compute"), F.col("params"))
+    facts = {
+        "params": architecture_params(hidden, layers, ffw),
+        "tokens": tokens,
+        "loss": laws.predicted_loss(
+            F.col("params"), F.col("tokens"), F.least("unique_budget", "tokens"), law
+        ),
+        "full_flops": architecture_flops(F.col("tokens"), hidden, heads, layers, ffw),
+    }
+    tried = given.select("*", F.inline(F.expr(f"array({table})")))
+    for name, fact in facts.items():
+        tried = tried.withColumn(name, fact)
+    best = (
+        tried.groupBy("compute", "unique_budget")
+        .agg(F.min_by(F.struct("shape", "params", "tokens", "loss", "full_flops"), "loss").alias("best"))
+        .select("compute", "unique_budget", "best.*")
     )
+    return budgets.join(best, ["compute", "unique_budget"])
