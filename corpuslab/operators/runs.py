@@ -61,15 +61,10 @@ def _unique_part(name: Column) -> Column:
     ``m`` at most are left.
     """
     one, two = F.right(name, F.lit(1)), F.substring(F.right(name, F.lit(2)), 1, 1)
-    unit = ["b", "m"]
-    part = F.right(
-        name, F.when(one.isin(*unit) | (~one.isin(*unit) & ~two.isin(*unit)), 4).otherwise(3)
-    )
-    for letter in unit:
-        for _ in range(3):
-            surplus = F.length(part) - F.length(F.replace(part, F.lit(letter), F.lit("")))
-            part = F.when(surplus > 1, F.substring(part, 2, 4)).otherwise(part)
-    return part
+    units = ["b", "m"]
+    part = F.right(name, F.when(~one.isin(*units) & two.isin(*units), 3).otherwise(4))
+    longest = r"[^bm]*(?:b[^bm]*(?:m[^bm]*)?|m[^bm]*(?:b[^bm]*)?)?$"
+    return F.regexp_extract(part, longest, 0)
 
 
 def valid_runs(runs: DataFrame) -> DataFrame:

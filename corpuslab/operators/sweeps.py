@@ -315,9 +315,13 @@ def compare_allocation(published: DataFrame, law: Law = C4_LAW) -> DataFrame:
 
     ``published`` has ``(params, tokens, unique_tokens)`` of existing runs.
     """
-    current = predict(with_compute(published), "constrained", law, "current_loss").select(
-        "*", F.col("tokens").alias("current_tokens"), F.col("params").alias("current_params"), F.col("unique_tokens").alias("unique_budget")
-    ).drop("tokens", "params", "epochs")
+    current = (
+        predict(with_compute(published.drop("loss")), "constrained", law, "current_loss")
+        .withColumnsRenamed(
+            {"tokens": "current_tokens", "params": "current_params", "unique_tokens": "unique_budget"}
+        )
+        .drop("epochs")
+    )
     best = optimal_allocation(current, law)
     gain = F.lit(100.0) * (F.col("current_loss") - F.col("loss")) / F.col("current_loss")
     return best.withColumn("gain_pct", gain)

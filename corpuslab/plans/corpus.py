@@ -205,21 +205,21 @@ def normalize_turns(spark, folder):
 # ---------------------------------------------------------------- passages
 
 BREAKS_SQL = """
-chars AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS at
+chars AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS ix
           FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)),
-breaks AS (SELECT doc_id, -1 AS at FROM documents
-           UNION ALL SELECT doc_id, at FROM chars WHERE ch IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
-numbered AS (SELECT doc_id, at, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS i,
+breaks AS (SELECT doc_id, -1 AS ix FROM documents
+           UNION ALL SELECT doc_id, ix FROM chars WHERE ch IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+numbered AS (SELECT doc_id, ix, row_number() OVER (PARTITION BY doc_id ORDER BY ix) - 1 AS i,
                     count(*) OVER (PARTITION BY doc_id) AS n FROM breaks)
 """
 
 
 def segments_sql(passage: int, step: int) -> str:
     return f"""{BREAKS_SQL},
-    lefts AS (SELECT doc_id, i, n, at + 1 AS l FROM numbered
+    lefts AS (SELECT doc_id, i, n, ix + 1 AS l FROM numbered
               WHERE i % {step} = 0 AND i <= greatest(0, ceil((n - {passage}) / {step}.0) * {step})),
     segments AS (SELECT l.doc_id, (l.i // {step})::BIGINT AS seg, l.l::BIGINT AS seg_start,
-                   (CASE WHEN l.i + {passage} >= l.n THEN length(d.text) ELSE r.at + 1 END)::BIGINT AS seg_end, d.text
+                   (CASE WHEN l.i + {passage} >= l.n THEN length(d.text) ELSE r.ix + 1 END)::BIGINT AS seg_end, d.text
                  FROM lefts l JOIN documents d USING (doc_id)
                  LEFT JOIN numbered r ON r.doc_id = l.doc_id AND r.i = l.i + {passage})
     """
@@ -254,12 +254,12 @@ def choose_passage(spark, folder):
 
 
 @query(
-    """WITH chars AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS at, len(c) AS n
+    """WITH chars AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS ix, len(c) AS n
               FROM (SELECT doc_id, string_split(text, '') AS c FROM documents)),
-    spaces AS (SELECT doc_id, at, n, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS i FROM chars
+    spaces AS (SELECT doc_id, ix, n, row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS i FROM chars
                WHERE ch IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
     starts AS (SELECT doc_id, 0 AS pos, max(n) AS n FROM chars GROUP BY doc_id
-               UNION ALL SELECT doc_id, at + 1, n FROM spaces WHERE i % 2 = 0),
+               UNION ALL SELECT doc_id, ix + 1, n FROM spaces WHERE i % 2 = 0),
     blocks AS (SELECT doc_id, b, substr(text, (b + 1)::BIGINT, 1100) AS piece
                FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS b FROM documents))
     SELECT s.doc_id, s.pos::BIGINT AS pos, substr(q.piece, (s.pos % 1000 + 1)::BIGINT, 100) AS query
@@ -275,7 +275,7 @@ def query_windows(spark, folder):
 # -------------------------------------------------------------- perplexity
 
 WORDS_SQL = f"""
-words AS (SELECT doc_id, list_concat(list_concat(['<s>'], list_filter(string_split({normalized_sql('text')}, ' '), w -> w <> '')), ['</s>']) AS w
+words AS (SELECT doc_id, list_concat(list_concat(['<s>'], list_filter(string_split({normalized_sql('text')}, ' '), lambda w: w <> '')), ['</s>']) AS w
           FROM documents),
 pairs AS (SELECT doc_id, w[i] AS before, w[i + 1] AS word
           FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)),
@@ -366,7 +366,7 @@ def ppl_by_length(spark, folder):
     sizes AS (SELECT sum(n) AS total, count(DISTINCT word) AS vocabulary FROM model),
     {segments_sql(256, 256)},
     seg_words AS (SELECT doc_id, seg, list_concat(list_concat(['<s>'], list_filter(string_split(
-        {normalized_sql('substr(text, seg_start + 1, seg_end - seg_start)')}, ' '), w -> w <> '')), ['</s>']) AS w FROM segments),
+        {normalized_sql('substr(text, seg_start + 1, seg_end - seg_start)')}, ' '), lambda w: w <> '')), ['</s>']) AS w FROM segments),
     seg_pairs AS (SELECT doc_id, seg, w[i] AS before, w[i + 1] AS word
                   FROM (SELECT doc_id, seg, w, unnest(range(1, len(w))) AS i FROM seg_words)),
     logs AS (SELECT p.doc_id, p.seg,
@@ -550,13 +550,13 @@ def mixture_lines(spark, folder):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, list_transform(list_filter(string_split(text, ' '), w -> w <> ''),
-        w -> ('0x' || substr(md5(w), 1, 4))::INT) AS ids FROM documents),
+    """WITH t AS (SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''),
+        lambda w: ('0x' || substr(md5(w), 1, 4))::INT) AS ids FROM documents),
     n AS (SELECT doc_id, ids, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch_no FROM t),
     u AS (SELECT batch_no, doc_id, generate_subscripts(ids, 1) AS i, unnest(ids) AS id FROM n),
-    g AS (SELECT batch_no, id, row_number() OVER (PARTITION BY batch_no ORDER BY doc_id, i) - 1 AS at FROM u)
-    SELECT batch_no::BIGINT AS batch_no, (at // 128)::BIGINT AS block_no, string_agg(id::VARCHAR, ' ' ORDER BY at) AS ids
-    FROM g GROUP BY batch_no, at // 128 HAVING count(*) = 128"""
+    g AS (SELECT batch_no, id, row_number() OVER (PARTITION BY batch_no ORDER BY doc_id, i) - 1 AS ix FROM u)
+    SELECT batch_no::BIGINT AS batch_no, (ix // 128)::BIGINT AS block_no, string_agg(id::VARCHAR, ' ' ORDER BY ix) AS ids
+    FROM g GROUP BY batch_no, ix // 128 HAVING count(*) = 128"""
 )
 def pack_sequences(spark, folder):
     """Word ids packed into blocks of 128 within batches of 100 documents."""

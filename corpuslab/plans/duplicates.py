@@ -177,10 +177,10 @@ def clean_share(spark, folder):
 
 # Query windows: 100 characters from the start and after each whitespace.
 QUERY_SQL = """
-chars AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS at, len(c) AS n
+chars AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS ix, len(c) AS n
           FROM (SELECT doc_id, string_split(text, '') AS c FROM {docs})),
 starts AS (SELECT doc_id, 0 AS pos, max(n) AS n FROM chars GROUP BY doc_id
-           UNION ALL SELECT doc_id, at + 1, n FROM chars WHERE ch IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+           UNION ALL SELECT doc_id, ix + 1, n FROM chars WHERE ch IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
 q_blocks AS (SELECT doc_id, b, substr(text, (b + 1)::BIGINT, 1100) AS piece
              FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS b FROM {docs})),
 queries AS (SELECT s.doc_id, s.pos::BIGINT AS pos, substr(q.piece, (s.pos % 1000 + 1)::BIGINT, 100) AS w
