@@ -95,6 +95,19 @@ def gram_size(length: int) -> int:
     return max(1, length // 2)
 
 
+# ASCII whitespace as code points.
+WHITESPACE = np.array([9, 10, 11, 12, 13, 32])
+
+
+def query_starts(codes: np.ndarray, length: int, stride: int) -> np.ndarray:
+    """Starts after each ``stride``-th whitespace, and at 0, that leave room.
+
+    A window is used only while at least one unit is left after it.
+    """
+    breaks = np.concatenate(([-1], np.flatnonzero(np.isin(codes, WHITESPACE))))[::stride]
+    return breaks[breaks + length + 1 < len(codes)] + 1
+
+
 def _blocks(codes: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
     if not 0 < length <= MAX_LENGTH:
         raise ValueError(f"window length must be between 1 and {MAX_LENGTH}")

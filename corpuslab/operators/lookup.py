@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.operators.passages import query_starts
 from corpuslab.operators.skew import join_counted
-from corpuslab.operators.windows import raw, window_runs, windows_at_starts, windows_of_runs
+from corpuslab.operators.windows import (
+    head_window_hashes,
+    query_window_hashes,
+    raw,
+    window_runs,
+    windows_of_runs,
+)
 from corpuslab.session import materialize
 
 
@@ -36,9 +41,7 @@ def matched_queries(
     are first narrowed to the anchoring grams they share; only what is left is
     compared by content.
     """
-    queries = windows_at_starts(
-        df.withColumn("starts", query_starts(text, length, stride)), "starts", length, "chars", key, text
-    )
+    queries = query_window_hashes(df, length, stride, key, text)
     offered = window_runs(index, length, "chars", index_key, index_text).select("anchor").distinct()
     fan_in = queries.groupBy("anchor").agg(F.count("*").alias("fan_in"))
     shared = materialize(fan_in.join(offered, "anchor", "left_semi"))
@@ -86,10 +89,7 @@ def count_occurrences(
     if row["shortest"] is None:
         return usable.select(query, F.lit(0).cast("bigint").alias("occurrences"), F.lit(0).cast("bigint").alias("num_docs"))
     shortest = int(row["shortest"])
-    keyed = usable.withColumn("starts", F.array(F.lit(0)))
-    heads = materialize(
-        windows_at_starts(keyed, "starts", shortest, unit, query, query).drop("pos")
-    )
+    heads = materialize(head_window_hashes(usable, shortest, unit, query))
     hits = _matching_windows(df, heads.select("anchor").distinct(), shortest, unit, key, text)
     width = 1 if unit == "bytes" else 4
     placed = hits.join(heads.drop("anchor"), ["hash1", "hash2"]).select(key, "pos", query)

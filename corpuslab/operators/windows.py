@@ -136,20 +136,28 @@ def windows_of_runs(
     )
 
 
-def windows_at_starts(
-    df: DataFrame, starts: str, length: int, unit: str = "chars", key: str = "doc_id", text: str = "text"
+def query_window_hashes(
+    df: DataFrame, length: int, stride: int = 1, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``(key, pos, anchor, hash1, hash2)`` of the windows at an array of starts."""
+    """``(key, pos, anchor, hash1, hash2)`` of windows of characters after whitespace."""
     names = [key, "pos", "anchor", "hash1", "hash2"]
 
     def work(batch, row):
-        codes = rolling.text_codes(batch.column(1)[row].as_py(), unit)
-        at = batch.column(2)[row].values
-        yield from rolling.windows_at(codes, length, at.to_numpy(zero_copy_only=False).astype(np.int64))
+        codes = rolling.text_codes(batch.column(1)[row].as_py(), "chars")
+        yield from rolling.windows_at(codes, length, rolling.query_starts(codes, length, stride))
 
     schema = f"`{key}` {_field_type(df, key)}, pos bigint, anchor bigint, hash1 bigint, hash2 bigint"
-    return (
-        spread_small(df.select(key, text, starts), key)
-        .filter(F.size(starts) > 0)
-        .mapInArrow(_per_text(names, work), schema)
-    )
+    return spread_small(df.select(key, text), key).mapInArrow(_per_text(names, work), schema)
+
+
+def head_window_hashes(df: DataFrame, length: int, unit: str, text: str) -> DataFrame:
+    """``(text, anchor, hash1, hash2)`` of the first ``length`` units of each text."""
+    names = [text, "anchor", "hash1", "hash2"]
+
+    def work(batch, row):
+        codes = rolling.text_codes(batch.column(0)[row].as_py(), unit)
+        for _, anchor, hash1, hash2 in rolling.windows_at(codes[:length], length, np.zeros(1, np.int64)):
+            yield anchor, hash1, hash2
+
+    schema = f"`{text}` string, anchor bigint, hash1 bigint, hash2 bigint"
+    return df.select(text).mapInArrow(_per_text(names, work), schema)

@@ -220,14 +220,15 @@ def box_stats(spark, folder):
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    """WITH RECURSIVE p AS (SELECT user_id, event_id, ln(value + 1) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     s AS (SELECT user_id, event_id, i, value * 0.85::DOUBLE + (1 - 0.85::DOUBLE) * value AS smoothed FROM p WHERE i = 1
           UNION ALL SELECT p.user_id, p.event_id, p.i, s.smoothed * 0.85::DOUBLE + (1 - 0.85::DOUBLE) * p.value FROM s JOIN p ON p.user_id = s.user_id AND p.i = s.i + 1)
     SELECT user_id, event_id, round(smoothed, 6) AS smoothed FROM s"""
 )
 def smooth_curves(spark, folder):
-    """Exponential smoothing of every user's values in the order of events."""
-    found = curves.ema(table(spark, folder, "events"), ["user_id"], "event_id", "value", 0.85)
+    """Exponential smoothing of every user's (log) values in the order of events."""
+    logs = table(spark, folder, "events").withColumn("value", F.log(F.col("value") + 1))
+    found = curves.ema(logs, ["user_id"], "event_id", "value", 0.85)
     return found.select("user_id", "event_id", F.round("smoothed", 6).alias("smoothed"))
 
 

@@ -42,7 +42,9 @@ def _rows(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 def difference(frame, con, sql: str) -> str | None:
     """None when both sides agree, else what differs."""
+    started = time.time()
     got = _rows(frame.columns, [tuple(row) for row in frame.collect()])
+    print(f"[{len(got[1])} rows, {time.time() - started:.1f}s in the last job]", end=" ")
     cursor = con.execute(sql)
     want = _rows([column[0] for column in cursor.description], cursor.fetchall())
     if got[0] != want[0]:
