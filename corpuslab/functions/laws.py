@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -142,6 +142,49 @@ class Point:
         return F.exp(law.column("e")) + F.exp(law.column("a")) * f + F.exp(law.column("b")) * g
 
 
+class StagedPoint(Point):
+    """A point whose shared quantities are columns computed before."""
+
+    fit_n = property(lambda self: F.col("_fit_n"))
+    u_n = property(lambda self: F.col("_u_n"))
+    extra_n = property(lambda self: F.col("_extra_n"))
+    extra_d = property(lambda self: F.col("_extra_d"))
+
+
+STAGES = ("_fit_n", "_u_n", "_extra_n", "_extra_d")
+
+
+def staged(df: DataFrame, n: Column, d: Column, u: Column, law: Law) -> tuple[DataFrame, Point]:
+    """Add the quantities the laws share as columns, one projection each.
+
+    Written as one expression, a law repeats them many times over and the
+    generated code outgrows what the JVM compiles. Drop ``STAGES`` afterwards.
+    """
+    n, d, u = n.cast("double"), d.cast("double"), u.cast("double")
+    point = StagedPoint(n, d, u, law)
+    df = (
+        df.withColumn("_fit_n", params_for_tokens(u, law))
+        .withColumn("_u_n", F.least(n, F.col("_fit_n")))
+        .withColumn("_extra_n", _positive(n / F.col("_u_n") - 1))
+        .withColumn("_extra_d", _positive(d / u - 1))
+    )
+    return df, point
+
+
+def with_loss(
+    df: DataFrame,
+    n: str,
+    d: str,
+    u: str,
+    law: Law | None = None,
+    form: str = "constrained",
+    name: str = "loss",
+) -> DataFrame:
+    """Add the predicted loss at the parameters, tokens and unique tokens columns."""
+    df, point = staged(df, F.col(n), F.col(d), F.col(u), law or C4_LAW)
+    return df.withColumn(name, point.total(*LAWS[form](point))).drop(*STAGES)
+
+
 def _plain(p: Point) -> tuple[Column, Column]:
     return F.pow(p.n, -p.alpha), F.pow(p.d, -p.beta)
 

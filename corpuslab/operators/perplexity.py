@@ -81,7 +81,10 @@ def score_tokens(
     many documents is spread over several tasks when its value is fetched.
     """
     key = list(key)
-    counted = word_pairs(tokens, key).groupBy(*key, "before", "word").agg(F.count("*").alias("times"))
+    # Written once: normalising the texts a second time would cost more.
+    counted = materialize(
+        word_pairs(tokens, key).groupBy(*key, "before", "word").agg(F.count("*").alias("times"))
+    )
     distinct = counted.groupBy("before", "word").agg(F.count("*").alias("fan_in"))
     scored = materialize(pair_log10(distinct, model, share))
     return (

@@ -8,6 +8,7 @@ arithmetic but never what is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,25 +37,19 @@ def optimal_nd(df: DataFrame, law: Law = C4_LAW, compute: str = "compute") -> Da
 
 def predict(runs: DataFrame, form: str = "constrained", law: Law = C4_LAW, name: str = "predicted") -> DataFrame:
     """Add the predicted loss of each run."""
-    return runs.withColumn(
-        name,
-        laws.predicted_loss(F.col("params"), F.col("tokens"), F.col("unique_tokens"), law, form),
-    )
+    return laws.with_loss(runs, "params", "tokens", "unique_tokens", law, form, name)
 
 
 def predict_all(runs: DataFrame, forms: Sequence[str] | None = None, law: Law = C4_LAW) -> DataFrame:
     """One row per run and law: adds ``law`` and ``predicted``."""
     forms = list(forms or laws.LAWS)
-    scored = [
-        F.struct(
-            F.lit(form).alias("law"),
-            laws.predicted_loss(
-                F.col("params"), F.col("tokens"), F.col("unique_tokens"), laws.law_for(form, law), form
-            ).alias("predicted"),
-        )
-        for form in forms
-    ]
-    return runs.select("*", F.inline(F.array(*scored)))
+    columns = (F.col("params"), F.col("tokens"), F.col("unique_tokens"))
+    df, point = laws.staged(runs, *columns, law)
+    for form in forms:
+        tuned = replace(point, law=laws.law_for(form, law))
+        df = df.withColumn(f"_loss_{form}", tuned.total(*laws.LAWS[form](tuned)))
+    scored = [F.struct(F.lit(form).alias("law"), F.col(f"_loss_{form}").alias("predicted")) for form in forms]
+    return df.select(*runs.columns, F.inline(F.array(*scored)))
 
 
 def goodness(scored: DataFrame, observed: str = "loss", by: Sequence[str] = ("law",)) -> DataFrame:
@@ -90,26 +85,17 @@ def huber(error: Column, delta: float = HUBER_DELTA) -> Column:
     )
 
 
-def run_objective(law: Law, loss: str = "loss", base: Law = C4_LAW) -> Column:
-    """Robust distance of one run's log-loss from the data-constrained law.
-
-    ``base`` fixes the compute-optimal line; ``law`` holds the constants tried.
-    """
-    point = Point(F.col("params"), F.col("tokens"), F.col("unique_tokens"), base)
-    tried = replace_stars(point, law)
+def run_error(point: Point, loss: str = "loss") -> Column:
+    """Robust distance of one run's log-loss from the data-constrained law."""
+    law = point.law
     fitted = log_sum_exp(
-        law.column("a") - law.column("alpha") * F.log(laws.effective_params(tried)),
-        law.column("b") - law.column("beta") * F.log(laws.effective_tokens(tried)),
+        law.column("a") - law.column("alpha") * F.log(laws.effective_params(point)),
+        law.column("b") - law.column("beta") * F.log(laws.effective_tokens(point)),
         law.column("e"),
     )
     return huber(fitted - F.log(F.col(loss)))
 
 
-def replace_stars(point: Point, law: Law) -> Point:
-    """The same compute-optimal line under other repeat constants."""
-    return Point(point.n, point.d, point.u, point.law.with_stars(law.column("d_star"), law.column("n_star")))
-
-
 FIELDS = ("a", "b", "e", "alpha", "beta", "d_star", "n_star")
 
 
@@ -143,11 +129,18 @@ def _grid_column(grid: list[tuple]) -> Column:
 def objective(runs: DataFrame, grid: list[tuple], loss: str = "loss", base: Law = C4_LAW) -> DataFrame:
     """Summed objective of every point of the grid: ``(param_id, constants, objective)``.
 
+    ``base`` fixes the compute-optimal line, the grid holds the constants tried.
     Sums are taken on the map side, so a task sends at most one row per point.
     """
-    law = Law(*[F.col(name) for name in FIELDS])
-    tried = runs.select("params", "tokens", "unique_tokens", loss, F.inline(_grid_column(grid)))
-    return tried.groupBy("param_id", *FIELDS).agg(F.sum(run_objective(law, loss, base)).alias("objective"))
+    given = runs.select("params", "tokens", "unique_tokens", loss)
+    prepared, point = laws.staged(given, F.col("params"), F.col("tokens"), F.col("unique_tokens"), base)
+    tried = prepared.select("*", F.inline(_grid_column(grid)))
+    point = replace(point, law=Law(*[F.col(name) for name in FIELDS]))
+    return (
+        tried.withColumn("error", run_error(point, loss))
+        .groupBy("param_id", *FIELDS)
+        .agg(F.sum("error").alias("objective"))
+    )
 
 
 def grid_fit(
@@ -212,18 +205,13 @@ def optimal_allocation(
     )
 
     def placed(df: DataFrame) -> DataFrame:
-        scaled = df.withColumn("factor", factor)
-        return (
-            scaled.withColumn("tokens", F.col("opt_tokens") * F.col("factor"))
+        scaled = (
+            df.withColumn("factor", factor)
+            .withColumn("tokens", F.col("opt_tokens") * F.col("factor"))
             .withColumn("params", F.col("opt_params") / F.col("factor"))
-            .withColumn(
-                "loss",
-                laws.predicted_loss(
-                    F.col("params"), F.col("tokens"), F.least("unique_budget", "tokens"), law
-                ),
-            )
-            .drop("factor")
+            .withColumn("unique", F.least("unique_budget", "tokens"))
         )
+        return laws.with_loss(scaled, "params", "tokens", "unique", law).drop("factor", "unique")
 
     tried = start.withColumn("candidate", F.explode(candidates))
     if not with_start:
@@ -386,18 +374,14 @@ def plan_runs(
     )
     hidden, ffw, heads, layers = (F.col(c) for c in ("hidden", "ffw", "heads", "layers"))
     given = budgets.select("compute", "unique_budget").distinct()
-    tokens = laws.tokens_for_compute(F.col("compute"), F.col("params"))
-    facts = {
-        "params": architecture_params(hidden, layers, ffw),
-        "tokens": tokens,
-        "loss": laws.predicted_loss(
-            F.col("params"), F.col("tokens"), F.least("unique_budget", "tokens"), law
-        ),
-        "full_flops": architecture_flops(F.col("tokens"), hidden, heads, layers, ffw),
-    }
-    tried = given.select("*", F.inline(F.expr(f"array({table})")))
-    for name, fact in facts.items():
-        tried = tried.withColumn(name, fact)
+    sized = (
+        given.select("*", F.inline(F.expr(f"array({table})")))
+        .withColumn("params", architecture_params(hidden, layers, ffw))
+        .withColumn("tokens", laws.tokens_for_compute(F.col("compute"), F.col("params")))
+        .withColumn("unique", F.least("unique_budget", "tokens"))
+        .withColumn("full_flops", architecture_flops(F.col("tokens"), hidden, heads, layers, ffw))
+    )
+    tried = laws.with_loss(sized, "params", "tokens", "unique", law)
     best = (
         tried.groupBy("compute", "unique_budget")
         .agg(F.min_by(F.struct("shape", "params", "tokens", "loss", "full_flops"), "loss").alias("best"))
