@@ -176,6 +176,17 @@ def grid_fit(
     return runs.sparkSession.createDataFrame([tuple(best)], ", ".join(f"{n} double" for n in (*FIELDS, "objective")))
 
 
+def _distinct_budgets(budgets: DataFrame) -> DataFrame:
+    """Distinct budgets over a fixed number of tasks.
+
+    Each row is about to become a thousand candidates, which the adaptive
+    merging of small shuffle partitions does not foresee.
+    """
+    tasks = int(budgets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = budgets.select("compute", "unique_budget")
+    return given.repartition(tasks, "compute", "unique_budget").distinct()
+
+
 def optimal_allocation(
     budgets: DataFrame,
     law: Law = C4_LAW,
@@ -192,7 +203,7 @@ def optimal_allocation(
     candidates are made in one task and reduced there to one row before the
     shuffle.
     """
-    given = budgets.select("compute", "unique_budget").distinct()
+    given = _distinct_budgets(budgets)
     start = optimal_nd(given, law)
     # Candidates 1..count scale tokens up, -1..-count down, 0 is the start.
     candidates = F.sequence(F.lit(-count), F.lit(count))
@@ -373,7 +384,7 @@ def plan_runs(
         for name, hidden, ffw, _, heads, layers in shapes
     )
     hidden, ffw, heads, layers = (F.col(c) for c in ("hidden", "ffw", "heads", "layers"))
-    given = budgets.select("compute", "unique_budget").distinct()
+    given = _distinct_budgets(budgets)
     sized = (
         given.select("*", F.inline(F.expr(f"array({table})")))
         .withColumn("params", architecture_params(hidden, layers, ffw))

@@ -1,0 +1,6 @@
+"""Nothing here keeps state between batches.
+
+All operators work on bounded tables. Those that look at one row only
+(normalisation, lengths, domains, filters, log records) take a streaming
+DataFrame as it is; ``tests/test_streaming.py`` runs them on one.
+"""
