@@ -63,30 +63,52 @@ def _states(items: Column | str, seed: Column, step: Callable) -> Column:
 
 
 def _chunk_starts(chunked: DataFrame, keys: list[str], weight: float) -> DataFrame:
-    """The smoothed value just before each chunk: ``(keys, chunk, start)``."""
+    """The smoothed value just before each chunk: ``(keys, chunk, start)``.
+
+    A chunk acts on the value before it as ``last * decay + own``. Such steps
+    are combined in blocks of CHUNK chunks first, so that the list folded per
+    curve has one entry per CHUNK * CHUNK points.
+    """
     ends = chunked.select(
+        *keys,
+        "chunk",
+        F.floor(F.col("chunk") / CHUNK).alias("block"),
+        F.aggregate(
+            "points", F.lit(0.0), lambda last, point: _step(last, point["value"], weight)
+        ).alias("own"),
+        F.pow(F.lit(float(weight)), F.size("points")).alias("decay"),
+        F.get("points", F.lit(0))["value"].alias("head"),
+    )
+    blocks = ends.groupBy(*keys, "block").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "own", "decay", "head"))).alias("steps")
+    )
+    combined = blocks.select(
         *keys,
         F.struct(
-            "chunk",
-            F.aggregate(
-                "points", F.lit(0.0), lambda last, point: _step(last, point["value"], weight)
-            ).alias("own"),
-            F.pow(F.lit(float(weight)), F.size("points")).alias("decay"),
-            F.get("points", F.lit(0))["value"].alias("head"),
-        ).alias("end"),
+            "block",
+            F.aggregate("steps", F.lit(0.0), _act).alias("own"),
+            F.aggregate("steps", F.lit(1.0), lambda product, step: product * step["decay"]).alias("decay"),
+            F.get("steps", F.lit(0))["head"].alias("head"),
+        ).alias("step"),
     )
-    # One entry per CHUNK points of a curve.
-    listed = ends.groupBy(*keys).agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    starts = _states(
-        F.col("ends"),
-        F.get("ends", F.lit(0))["head"],
-        lambda last, end: last * end["decay"] + end["own"],
+    listed = combined.groupBy(*keys).agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    block_starts = _states(F.col("steps"), F.get("steps", F.lit(0))["head"], _act)
+    starts = listed.select(*keys, F.posexplode(block_starts).alias("block", "start")).withColumn(
+        "block", F.col("block").cast("bigint")
     )
-    return listed.select(*keys, F.posexplode(starts).alias("chunk", "start")).withColumn(
-        "chunk", F.col("chunk").cast("bigint")
+    return (
+        blocks.join(starts, [*keys, "block"])
+        .select(*keys, "block", F.posexplode(_states(F.col("steps"), F.col("start"), _act)).alias("at", "start"))
+        .select(*keys, (F.col("block") * CHUNK + F.col("at")).alias("chunk"), "start", "at")
+        .filter(F.col("at") < CHUNK)
+        .drop("at")
     )
 
 
+def _act(last: Column, step: Column) -> Column:
+    return last * step["decay"] + step["own"]
+
+
 def _fold_points(
     chunked: DataFrame, starts: DataFrame, keys: list[str], order: str, weight: float, name: str
 ) -> DataFrame:
@@ -112,9 +134,9 @@ def label_runs(df: DataFrame, labels: DataFrame, run: str = "run") -> DataFrame:
     ``labels`` is ``(prefix, label)``; the longest prefix wins. Names and labels
     meet on the prefix itself, cut to the lengths that occur among the labels.
     """
-    lengths = labels.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))
+    lengths = labels.agg(F.collect_set(F.length("prefix"))).scalar()
     names = df.select(run).distinct()
-    cuts = names.join(F.broadcast(lengths)).select(run, F.explode("lengths").alias("size"))
+    cuts = names.withColumn("lengths", lengths).select(run, F.explode("lengths").alias("size"))
     found = (
         cuts.withColumn("prefix", F.col(run).substr(F.lit(1), F.col("size")))
         .join(labels, "prefix")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize
 
 RUNNING = "running"
@@ -166,10 +167,12 @@ def _value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("copies"))
     totals = materialize(running_total(counted, "copies", [*by, value]))
     bounds = totals.groupBy(*by).agg(
-        F.min(F.col(RUNNING) - F.col(VALUE)).alias("base"), F.sum(VALUE).alias("size")
+        F.min(F.col(RUNNING) - F.col(VALUE)).alias("base"),
+        F.sum(VALUE).alias("size"),
+        F.count("*").alias("fan_in"),
     )
     if by:
-        totals = totals.join(bounds, by)
+        totals = join_counted(totals, materialize(bounds), by, "fan_in")
     else:
         totals = totals.withColumn("base", F.lit(0)).withColumn("size", bounds.select("size").scalar())
     return totals.withColumn("first_index", F.col(RUNNING) - F.col(VALUE) - F.col("base")).withColumn(

@@ -60,7 +60,8 @@ def pair_log10(pairs: DataFrame, model: DataFrame, share: float = 0.75) -> DataF
     contexts = model.groupBy("before").agg(F.sum("n").alias("n_before"))
     words = model.groupBy("word").agg(F.sum("n").alias("n_word"))
     sizes = model.agg(F.sum("n").alias("total"), F.count_distinct("word").alias("vocabulary"))
-    total, vocabulary = sizes.select("total").scalar(), sizes.select("vocabulary").scalar()
+    size = sizes.select(F.struct("total", "vocabulary")).scalar()
+    total, vocabulary = size["total"], size["vocabulary"]
     bigram = F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("n_before").cast("double")), F.lit(0.0))
     unigram = (F.coalesce("n_word", F.lit(0)) + 1).cast("double") / (total + vocabulary + 1).cast("double")
     return (

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.order import exact_quantiles, rank_quantiles, row_ranks
+from corpuslab.operators.skew import join_counted
+from corpuslab.session import materialize
 
 
 def percentiles(
@@ -138,9 +140,10 @@ def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> Da
     ranks = row_ranks(df, [*by, *order])
     if not by:
         return ranks.select(*order, (F.col("rank") - 1).alias("row_index"))
-    starts = df.groupBy(*by).agg(F.count("*").alias("rows"))
-    first = ranks.groupBy(*by).agg(F.min("rank").alias("first_rank")).join(starts, by)
-    return ranks.join(first, by).select(
+    first = materialize(
+        ranks.groupBy(*by).agg(F.min("rank").alias("first_rank"), F.count("*").alias("fan_in"))
+    )
+    return join_counted(ranks, first, by, "fan_in").select(
         *by, *order, (F.col("rank") - F.col("first_rank")).alias("row_index")
     )
 
@@ -150,10 +153,12 @@ def first_in_group(
 ) -> DataFrame:
     """The value at the smallest ``order`` of each group, on every row.
 
-    An aggregate joined back: no group is sorted.
+    An aggregate joined back: no group is sorted, and a large one is spread.
     """
-    first = df.groupBy(*keys).agg(F.min_by(column, order).alias(name))
-    return df.join(first, list(keys))
+    first = materialize(
+        df.groupBy(*keys).agg(F.min_by(column, order).alias(name), F.count("*").alias("fan_in"))
+    )
+    return join_counted(df, first, list(keys), "fan_in")
 
 
 def relative_to_first(

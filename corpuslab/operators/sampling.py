@@ -130,16 +130,15 @@ def ratio_subsets(
             for i, (ratio, _) in enumerate(ordered)
         ]
     )
-    # One row, joined by broadcast: the table itself is not shuffled.
+    # One scalar subquery for all cut-offs: the table itself is not shuffled.
+    cut = cuts.select(F.struct(*cuts.columns)).scalar()
     inside = F.array(
-        *[F.when(key_of(order_by) <= F.col(f"cut_{i}"), F.lit(name)) for i, (_, name) in enumerate(ordered)]
-    )
-    return (
-        df.join(F.broadcast(cuts))
-        .withColumn("subsets", F.filter(inside, lambda name: name.isNotNull()))
-        .filter(F.size("subsets") > 0)
-        .drop(*[f"cut_{i}" for i in range(len(ordered))])
+        *[
+            F.when(key_of(order_by) <= cut[f"cut_{i}"], F.lit(name)).otherwise(F.lit(""))
+            for i, (_, name) in enumerate(ordered)
+        ]
     )
+    return df.withColumn("subsets", F.array_remove(inside, "")).filter(F.size("subsets") > 0)
 
 
 def repeat_to_budget(
