@@ -8,6 +8,7 @@ only where a run alone cannot decide.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from corpuslab.functions import rolling
 from corpuslab.session import spread_small
 
-# Ship the helper with the tasks, so that executors need no installed package.
+# Ship these functions with the tasks, so that executors need no installed package.
 cloudpickle.register_pickle_by_value(rolling)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_BATCH = 200_000
 
