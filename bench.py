@@ -13,8 +13,8 @@ from corpuslab.plans import QUERIES  # noqa: E402
 from corpuslab.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "dup_ranges dup_by_source repetitions two_tier_filter lookup_flags normalize_text segments "
-    "query_windows ngram_counts document_perplexity ppl_mid length_percentiles ratio_subsets "
+    "dup_ranges repetitions two_tier_filter lookup_flags normalize_text segments "
+    "query_windows ngram_counts document_perplexity length_percentiles ratio_subsets "
     "repeat_budget mixture_series pack_sequences blindspots score_table score_matrix box_stats "
     "smooth_curves iteration_records parsed_runs law_goodness allocation frontier objective_grid"
 ).split()
