@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys can each hold 1/MAX_HOT_KEYS of all rows, whatever the
-# size of the tables. That bounds the broadcast of the hot keys.
-MAX_HOT_KEYS = 10_000
+# A task should get about 1/SHARES of all rows of a join. At most SHARES keys
+# can hold more than that each, whatever the size of the tables, which bounds
+# both the broadcast of the hot keys and the copies made of their right rows.
+SHARES = 4096
 
 
 def join_counted(
@@ -18,34 +19,25 @@ def join_counted(
     keys: str | Sequence[str],
     count: str,
     how: str = "inner",
-    salts: int = 64,
-    min_hot_rows: int = 500_000,
 ) -> DataFrame:
     """Equi-join in which ``right`` is unique on ``keys`` and knows its fan-in.
 
-    ``right[count]`` says how many rows of ``left`` carry the key. Keys holding
-    at least 1/MAX_HOT_KEYS of the rows are spread over ``salts`` partitions:
-    their left rows get a salt derived from the row, their right row is
-    repeated once per salt. All other keys join as they are. ``right`` is read
+    ``right[count]`` says how many rows of ``left`` carry the key. A key with
+    more than one share (1/SHARES of the rows) is dealt over as many salts as
+    it has shares, so the hottest key splits furthest and no row limit decides:
+    its left rows get a salt derived from the row, its right row is repeated
+    once per salt, at most ``2 * SHARES`` copies in all. ``right`` is read
     three times, so pass a written table.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     total = right.agg(F.sum(count)).scalar()
-    hot = right.filter(
-        (F.col(count) >= min_hot_rows) & (F.col(count) * F.lit(MAX_HOT_KEYS) >= total)
-    ).select(*keys, F.lit(True).alias("is_hot"))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    shares = F.ceil(F.col(count) * F.lit(float(SHARES)) / total).cast("int")
+    hot = right.select(*keys, shares.alias("salts")).filter(F.col("salts") > 1)
+    spread = F.pmod(F.xxhash64(*left.columns), F.coalesce("salts", F.lit(1)).cast("bigint"))
     salted_left = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn("salt", F.when(F.col("is_hot"), spread).otherwise(F.lit(0)))
-        .drop("is_hot")
-    )
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn("salt", F.explode(copies))
-        .drop("is_hot", count)
+        left.join(F.broadcast(hot), keys, "left").withColumn("salt", spread.cast("int")).drop("salts")
     )
+    salted_right = right.withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1))
+    ).drop(count)
     return salted_left.join(salted_right, [*keys, "salt"], how).drop("salt")

@@ -82,7 +82,7 @@ def test_hot_keys_join_like_any_other(spark):
     left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)], "k bigint, v bigint")
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
     plain = left.join(right.drop("n"), "k")
-    salted = join_counted(left, right, "k", "n", salts=7, min_hot_rows=1)
+    salted = join_counted(left, right, "k", "n")
     assert rows(salted.select("k", "v", "top")) == rows(plain.select("k", "v", "top"))
 
 
