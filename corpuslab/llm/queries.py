@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import (
@@ -29,11 +29,17 @@ def op1_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document before and after four edits, counted along its tree."""
     docs = _documents(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("text").cast("bigint")
+
+    def edit(start: Column, deleted: int, inserted: Column) -> Column:
+        return F.struct(
+            start.cast("bigint").alias("start"), F.lit(deleted).cast("bigint").alias("deleted"), inserted.alias("inserted")
+        )
+
     edits = F.array(
-        F.struct(F.floor(size / 3).alias("start"), F.lit(0).cast("bigint").alias("deleted"), F.lit(" [redacted] ").alias("inserted")),
-        F.struct(F.floor(size / 2), F.lit(12).cast("bigint"), F.lit("")),
-        F.struct(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"), F.substring("text", 1, 40)),
-        F.struct(size, F.lit(0).cast("bigint"), F.lit("\n\nRevised.")),
+        edit(F.floor(size / 3), 0, F.lit(" [redacted] ")),
+        edit(F.floor(size / 2), 12, F.lit("")),
+        edit(F.lit(0), 3, F.substring("text", 1, 40)),
+        edit(size, 0, F.lit("\n\nRevised.")),
     )
     counted = edit_counts.count_tokens(docs.withColumn("edits", edits)).withColumnRenamed("n_tokens", "tokens_before")
     counted = counted.withColumn("chars_before", size)
