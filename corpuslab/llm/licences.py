@@ -56,6 +56,8 @@ TEMPLATES = (
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same words before A-Z are lowered.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -135,7 +137,8 @@ def scan_licences(
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = F.col(key).cast("bigint")
     rows = docs.select(own.alias("id"), body.alias("body"), F.xxhash64(own, body).alias("one"), F.hash(body, own).alias("two"))
-    low = F.translate("body", UPPER, LOWER)
+    # Lowering by Unicode, which is faster, finds all places where a phrase can be.
+    low = F.lower("body")
     hint = F.lit(False)
     for phrase, _ in PHRASES:
         words = [low.contains(part) for part in phrase.split()]
@@ -146,7 +149,7 @@ def scan_licences(
     # Words are only taken apart again where a phrase can be.
     listed = F.when(hint, words_of(F.col("body"))).otherwise(F.array().cast("array<string>"))
     base = (
-        rows.select("id", "one", "two", F.regexp_count(low, F.lit(WORD)).cast("bigint").alias("n_words"), listed.alias("words"))
+        rows.select("id", "one", "two", F.regexp_count("body", F.lit(ANY_CASE_WORD)).cast("bigint").alias("n_words"), listed.alias("words"))
         .select("id", "one", "two", "n_words", *(phrase_places(F.col("words"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)))
     )
     places = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
@@ -178,7 +181,8 @@ def notice_spans(
 ) -> DataFrame:
     """Verified notices per text ``(one, two, body)``: ``(one, two, spans)``."""
     known = template_grams(rows.sparkSession, templates, size)
-    placed = rows.select("one", "two", grams(words_of(F.col("body")), size).alias("grams"))
+    words = F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0))
+    placed = rows.select("one", "two", grams(words, size).alias("grams"))
     placed = placed.select("one", "two", F.posexplode("grams").alias("place", "hash"))
     votes = (
         placed.join(F.broadcast(known), "hash")
