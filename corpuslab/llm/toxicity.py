@@ -246,7 +246,7 @@ def score_toxicity(
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("body"), held_out.alias("held_out"))
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull())
     marks = marks.groupBy(F.col(key).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    training = rows.filter(~F.col("held_out")).join(marks, "id").select("body", "toxic")
+    training = rows.filter(~F.col("held_out")).join(marks.hint("merge"), "id").select("body", "toxic")
     model = fit_terms(word_counts(training))
     scanned = materialize(segment_texts(rows, model, "body"))
     model = calibrate(scanned.filter(~F.col("held_out")).join(marks, "id"), model)
