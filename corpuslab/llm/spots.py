@@ -28,13 +28,21 @@ ANCHORS = (
     "el los las y en del se por con no para su al lo"
 ).split()
 
-ALPHANUMERIC = r"[^\p{L}\p{N}]+"
+# Everything in ASCII but letters and digits parts words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern for any of the words, one branch per first letter."""
+    letters = sorted({word[0] for word in words})
+    rests = {letter: sorted({word[1:] for word in words if word[0] == letter}) for letter in letters}
+    return "(?:" + "|".join(f"{letter}(?:{'|'.join(rests[letter])})" for letter in letters) + ")"
 
 
 def chain_pattern(anchors: list[str], length: int) -> str:
-    common = f"(?:{'|'.join(dict.fromkeys(anchors))}) "
+    common = f"{any_of(anchors)} "
     chain = " ".join([f"(?:{common})*+[^ ]++"] * length)
-    return f"(?= ({common}{chain}) )"
+    return f" (?=({common}{chain}) )"
 
 
 def spots(text: Column, anchors: list[str] = ANCHORS, length: int = 2) -> Column:
@@ -43,9 +51,8 @@ def spots(text: Column, anchors: list[str] = ANCHORS, length: int = 2) -> Column
     A text without a chain has the pairs of neighbouring words (a lone word by
     itself) instead, one without a word the hash of the text, an empty one none.
     """
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), ALPHANUMERIC, " "), F.lit(" "))
-    plain = F.regexp_replace(plain, " {2,}", " ")
-    common = "|".join(dict.fromkeys(anchors))
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), BETWEEN, " ")), F.lit(" "))
+    common = any_of(anchors)
 
     def hashed(chains: Column) -> Column:
         return F.array_sort(F.array_distinct(F.transform(chains, lambda chain: F.hash(chain))))
@@ -53,8 +60,8 @@ def spots(text: Column, anchors: list[str] = ANCHORS, length: int = 2) -> Column
     def of(body: Column) -> Column:
         found = F.array_join(F.regexp_extract_all(body, F.lit(chain_pattern(anchors, length)), F.lit(1)), "\n")
         # Common words inside a chain are left out, the anchor stays.
-        chains = F.split(F.regexp_replace(found, f"(?<= )(?:{common}) ", ""), "\n")
-        pairs = F.regexp_extract_all(body, F.lit("(?= ([^ ]++(?: [^ ]++)?) )"), F.lit(1))
+        chains = F.split(F.regexp_replace(found, f"(?<= ){common} ", ""), "\n")
+        pairs = F.regexp_extract_all(body, F.lit(" (?=([^ ]++(?: [^ ]++)?) )"), F.lit(1))
         return F.when(F.get(chains, 0) != "", hashed(chains)).otherwise(hashed(pairs))
 
     # Lambda variables keep the long strings from being made more than once.
@@ -87,7 +94,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     The edited text has its last ``floor(n_chars / 2)`` characters replaced by
     the first as many (or all) of the next document by descending key; the one
     after the last is the first. Returns ``key, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next``.
+    fingerprint, edited_fingerprint, near_edited, near_next, next_id``.
 
     A null text is empty. Null keys come last, equal keys in the order of a
     hash of the text; rows that agree in both are one document in that order,
@@ -103,20 +110,22 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     taker = ranks.select("rank", F.col("one").alias("to_one"), F.col("two").alias("to_two"), F.floor(F.col("n") / 2).alias("half"))
     plan = giver.join(taker, "rank").drop("rank")
     given = (
-        rows.join(plan, ["one", "two"])
+        rows.join(plan.hint("merge"), ["one", "two"])
         .groupBy(F.col("to_one").alias("one"), F.col("to_two").alias("two"))
         .agg(
             F.min(F.substring("body", F.lit(1), F.col("half").cast("int"))).alias("part"),
             F.min("spots").alias("next_spots"),
+            # Read here too, so that both sides need the same columns and share one shuffle of the texts.
+            F.min("id").alias("next_id"),
         )
     )
     size = F.length("body").cast("bigint")
     kept = F.substring("body", F.lit(1), (size - F.floor(size / 2)).cast("int"))
     both = rows.join(given, ["one", "two"]).select(
-        "id", size.alias("n_chars"), "spots", "next_spots", F.concat(kept, "part").alias("edited")
+        "id", "next_id", size.alias("n_chars"), "spots", "next_spots", F.concat(kept, "part").alias("edited")
     )
     both = both.select(
-        "id", "n_chars", "spots", "next_spots", F.sha2("edited", 256).alias("sha"), spots(F.col("edited")).alias("edited_spots")
+        "id", "next_id", "n_chars", "spots", "next_spots", F.sha2("edited", 256).alias("sha"), spots(F.col("edited")).alias("edited_spots")
     )
     return both.select(
         F.col("id").alias(key),
@@ -126,6 +135,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+        "next_id",
     )
 
 
