@@ -157,7 +157,7 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
         led, all_rows = leaders.count(), active.count()
         if led == all_rows:
             return found
-        slots *= 64
+        slots *= 8
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
