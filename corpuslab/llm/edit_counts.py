@@ -38,7 +38,7 @@ class Counter:
         import public_tokenizers
 
         self.encoder = Encoder(tokenizer, ranks)
-        self.pattern = regex.compile(regex.escape(SPECIAL) + "|" + public_tokenizers.PATTERN)
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, int] = {}
 
     def count(self, pre_token: str) -> int:
@@ -49,11 +49,18 @@ class Counter:
             number = self.known[pre_token] = len(self.encoder.ids(pre_token))
         return number
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens in order; the special string is one of its own."""
+        found = []
+        for at, part in enumerate(text.split(SPECIAL)):
+            found += [SPECIAL] * (at > 0) + self.pattern.findall(part)
+        return found
+
     def leaves(self, text: str) -> tuple[list[int], list[int]]:
         """Characters and tokens of the leaves of a text."""
         chars, tokens = [], []
         size = number = held = 0
-        for pre_token in self.pattern.findall(text):
+        for pre_token in self.pre_tokens(text):
             size, number, held = size + len(pre_token), number + self.count(pre_token), held + 1
             if held == PRE_TOKENS:
                 chars.append(size)
