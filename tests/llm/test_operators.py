@@ -112,7 +112,7 @@ def test_ngram_join_odd_rows(odd):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(odd, 4, 85).collect()]
     assert len(got) == 10
     assert {(1, 0, 1), (2, 0, 2), (6, 1, 6), (7, 0, 7), (None, 3, None)} <= set(got)
-    assert got.count((5, 8, 5)) == 2
+    assert got.count((5, 9, 5)) == 2
     assert {row[2] for row in got if row[0] in (3, 4)} == {3}
 
 
