@@ -70,16 +70,19 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def grams(words: Column, size: int) -> Column:
-    """Hashes of all rolling grams, by place."""
+def rolling_grams(table: DataFrame, words: str, size: int) -> DataFrame:
+    """The rows of ``table`` with ``place`` and ``hash`` of each rolling gram of the array ``words``.
 
-    def rolled(own: Column) -> Column:
-        last = F.size(own) - size
-        places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-        hashed = F.transform(places, lambda at: F.xxhash64(*(F.get(own, at + step) for step in range(size))))
-        return F.when(last >= 0, hashed)
-
-    return once(words, rolled)
+    The words are zipped with themselves shifted and exploded, all in generated
+    code; a lambda over the places would be interpreted for each of them.
+    """
+    shifted = [F.col(words)] + [F.slice(words, step + 1, F.greatest(F.size(words), F.lit(1))) for step in range(1, size)]
+    zipped = F.arrays_zip(*(column.alias(f"w{step}") for step, column in enumerate(shifted)))
+    others = [name for name in table.columns if name != words]
+    placed = table.select(*others, F.posexplode(zipped).alias("place", "gram"))
+    # The last places are followed by too few words.
+    parts = [F.col("gram").getField(f"w{step}") for step in range(size)]
+    return placed.filter(parts[-1].isNotNull()).select(*others, "place", F.xxhash64(*parts).alias("hash"))
 
 
 def phrase_places(words: Column, phrase: str) -> Column:
@@ -103,10 +106,9 @@ def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...],
     """``(template, label, total, hash, at)``: a row per gram of every template."""
     rows = [(number, label, text) for number, (label, text) in enumerate(templates)]
     table = spark.createDataFrame(rows, "template int, label string, body string")
-    table = table.select("template", "label", grams(words_of(F.col("body")), size).alias("grams"))
-    return table.select(
-        "template", "label", F.size("grams").alias("total"), F.posexplode("grams").alias("at", "hash")
-    )
+    table = table.select("template", "label", words_of(F.col("body")).alias("words"))
+    table = table.withColumn("total", F.greatest(F.size("words") - size + 1, F.lit(0)))
+    return rolling_grams(table, "words", size).withColumnRenamed("place", "at")
 
 
 def scan_licences(
@@ -182,8 +184,7 @@ def notice_spans(
     """Verified notices per text ``(one, two, body)``: ``(one, two, spans)``."""
     known = template_grams(rows.sparkSession, templates, size)
     words = F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0))
-    placed = rows.select("one", "two", grams(words, size).alias("grams"))
-    placed = placed.select("one", "two", F.posexplode("grams").alias("place", "hash"))
+    placed = rolling_grams(rows.select("one", "two", words.alias("words")), "words", size)
     votes = (
         placed.join(F.broadcast(known), "hash")
         .groupBy("one", "two", "template", "label", "total", (F.col("place") - F.col("at")).alias("diagonal"), "place")
