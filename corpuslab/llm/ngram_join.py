@@ -110,7 +110,7 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
         .select("node", "n", F.col("shared.df").alias("df"), F.col("shared.shingle").alias("shingles"))
     )
     signatures = materialize(
-        prefixes.mapInArrow(_signatures(percent), "signature bigint, node bigint, n bigint").distinct()
+        prefixes.mapInArrow(_signatures(percent), "signature bigint, node bigint, n bigint, shared bigint").distinct()
     )
     return _resolve(signatures, whole, percent)
 
@@ -118,11 +118,18 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
 def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Compare the sets that share a signature until no open question is left.
 
-    Each round picks leaders in every signature group: the smallest set of each
-    of ``slots`` slots. All sets of the group are compared with the leaders
-    they are not yet connected to. Only groups that still hold several
+    Each round picks leaders in every signature group: of each of ``slots``
+    slots the set with the fewest shingles of its own, which is the one most
+    others were copied from. All sets of the group are compared with the
+    leaders they are not yet connected to. Only groups that still hold several
     components go on, with more slots, until every set in them has led.
+
+    A set has at most its shared shingles in common with another one, so its
+    own shingles bound the size of a partner (``most``). A set that no size in
+    its group suits leaves the group.
     """
+    n, shared = F.col("n"), F.col("shared")
+    signatures = signatures.withColumn("most", F.floor(shared * 100 / F.lit(percent)) + shared - n)
     found = None
     slots = 1
     while True:
@@ -134,21 +141,30 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
             ).drop("component")
         groups = materialize(
             rows.groupBy("signature")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("fan_in"))
+            .agg(
+                F.min("label").alias("low"),
+                F.max("label").alias("high"),
+                F.min("n").alias("least"),
+                F.max("most").alias("largest"),
+                F.count("*").alias("fan_in"),
+            )
             .filter("low < high")
-            .select("signature", "fan_in")
+            .select("signature", "least", "largest", "fan_in")
         )
-        active = materialize(join_counted(rows, groups.withColumn("members", F.col("fan_in")), "signature", "fan_in"))
+        suited = join_counted(rows, groups, "signature", "fan_in").filter("most >= least and n <= largest")
+        active = materialize(suited.select("signature", "node", "n", "shared", "label"))
         slot = F.pmod(F.xxhash64("node"), F.lit(slots).cast("bigint"))
-        leaders = active.groupBy("signature", "members", slot.alias("slot")).agg(
-            F.min(F.struct("node", "n", "label")).alias("lead")
+        lone = (F.col("n") - F.col("shared")).alias("lone")
+        leaders = active.groupBy("signature", slot.alias("slot")).agg(
+            F.min(F.struct(lone, "node", "n", "shared", "label")).alias("lead")
         )
-        leaders = materialize(leaders.select("signature", "members", "slot", "lead.*"))
+        leaders = materialize(leaders.select("signature", "slot", "lead.*"))
         member, lead = active.alias("m"), leaders.alias("l")
+        common = F.least("m.shared", "l.shared", "m.n", "l.n")
         pairs = (
             member.join(lead, "signature")
             .filter("m.label <> l.label")
-            .filter(F.least("m.n", "l.n") * 100 >= F.greatest("m.n", "l.n") * percent)
+            .filter(common * 100 >= (F.col("m.n") + F.col("l.n") - common) * percent)
             .select(F.greatest("m.node", "l.node").alias("a"), F.least("m.node", "l.node").alias("b"))
             .distinct()
         )
@@ -278,7 +294,7 @@ def prefix_signatures(n: int, df: np.ndarray, shingles: np.ndarray, percent: int
 def _signatures(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, nodes, sizes, held = [], [], [], 0
+            out, nodes, sizes, shared, held = [], [], [], [], 0
             columns = [batch.column(name) for name in ("node", "n", "df", "shingles")]
             for node, n, df, shingles in zip(*columns, strict=True):
                 found = prefix_signatures(
@@ -290,11 +306,12 @@ def _signatures(percent: int):
                 out.append(found)
                 nodes.append(np.full(len(found), node.as_py(), np.int64))
                 sizes.append(np.full(len(found), n.as_py(), np.int64))
+                shared.append(np.full(len(found), len(df.values), np.int64))
                 held += len(found)
                 if held > 200_000:
-                    yield _columns(("signature", out), ("node", nodes), ("n", sizes))
-                    out, nodes, sizes, held = [], [], [], 0
+                    yield _columns(("signature", out), ("node", nodes), ("n", sizes), ("shared", shared))
+                    out, nodes, sizes, shared, held = [], [], [], [], 0
             if held:
-                yield _columns(("signature", out), ("node", nodes), ("n", sizes))
+                yield _columns(("signature", out), ("node", nodes), ("n", sizes), ("shared", shared))
 
     return run
