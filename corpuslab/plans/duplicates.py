@@ -233,8 +233,9 @@ def two_tier_filter(spark, folder):
     docs = table(spark, folder, "documents")
     chosen = unit_interval("doc_id", seed=7) < F.lit(0.25)
     marked = dup.annotate_duplicates(docs, LENGTH, included=chosen)
-    found = lookup.flag_against_index(docs.select("doc_id", "text"), docs.filter(chosen)).select("doc_id", "has_dup")
-    return dup.dedup_filter(marked.join(found, "doc_id")).select("doc_id", "included_in_dedup")
+    rest = docs.filter(~chosen).select("doc_id", "text")
+    found = lookup.flag_against_index(rest, docs.filter(chosen)).select("doc_id", "has_dup")
+    return dup.dedup_filter(marked.join(found, "doc_id", "left")).select("doc_id", "included_in_dedup")
 
 
 @query(
