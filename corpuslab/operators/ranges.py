@@ -29,16 +29,22 @@ def merge_ranges(df: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
 
 
 def assign_document(
-    positions: DataFrame, offsets: DataFrame, bucket: int = 1 << 16, key: str = "doc_id"
+    positions: DataFrame,
+    offsets: DataFrame,
+    bucket: int = 1 << 16,
+    key: str = "doc_id",
+    separator_bytes: int = 0,
 ) -> DataFrame:
     """Find the document each global byte position lies in.
 
     ``positions`` has ``pos``; ``offsets`` has ``(key, start, end)`` as made by
     ``byte_offsets``. Both sides meet on buckets of the position, so this is an
-    equi-join with a comparison on top, not a comparison of all pairs. A
-    position in a separator belongs to no document and is dropped.
+    equi-join with a comparison on top, not a comparison of all pairs. With
+    ``separator_bytes`` a position in the separator after a document belongs to
+    that document. A position in no document keeps its row, with nulls.
     """
-    spans = offsets.filter(F.col("end") > F.col("start")).withColumn(
+    reach = F.col("end") + F.lit(separator_bytes)
+    spans = offsets.select(key, "start", reach.alias("end")).filter(F.col("end") > F.col("start")).withColumn(
         "bucket",
         F.explode(
             F.sequence(
@@ -46,9 +52,14 @@ def assign_document(
             )
         ),
     )
-    return (
-        positions.withColumn("bucket", F.floor(F.col("pos") / bucket))
-        .join(spans, "bucket")
-        .filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-        .select(*positions.columns, key, (F.col("pos") - F.col("start")).alias("pos_in_doc"))
+    placed = positions.withColumn("bucket", F.floor(F.col("pos") / bucket)).alias("p")
+    inside = (
+        (F.col("p.bucket") == F.col("s.bucket"))
+        & (F.col("p.pos") >= F.col("s.start"))
+        & (F.col("p.pos") < F.col("s.end"))
+    )
+    return placed.join(spans.alias("s"), inside, "left").select(
+        *[F.col(f"p.`{name}`") for name in positions.columns],
+        F.col(f"s.`{key}`"),
+        (F.col("p.pos") - F.col("s.start")).alias("pos_in_doc"),
     )

@@ -81,7 +81,9 @@ def parse_runs(runs: DataFrame) -> DataFrame:
 
     A bare name is ``{params}{tokens}{unique}``. The parameter part is the
     shortest known prefix of two or more characters; it is found by an
-    equi-join on the few possible prefixes of the distinct names.
+    equi-join on the few possible prefixes of the distinct names. A run whose
+    name starts with no known part is kept with nulls; ``unknown_runs`` lists
+    those.
     """
     spark = runs.sparkSession
     names = runs.select("name").distinct().withColumn("bare", _stripped(F.col("name")))
@@ -106,7 +108,12 @@ def parse_runs(runs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_extract("name", r"seed(\d)", 1).try_cast("int"), F.lit(0)).alias("seed"),
         F.when(F.col("name").contains("c4"), "c4").otherwise("oscar").alias("corpus"),
     )
-    return runs.join(facts, "name")
+    return runs.join(facts, "name", "left")
+
+
+def unknown_runs(parsed: DataFrame) -> DataFrame:
+    """Parsed runs whose parameters are not known, to be rejected or looked into."""
+    return parsed.filter(F.col("params").isNull())
 
 
 def check_runs(runs: DataFrame) -> DataFrame:

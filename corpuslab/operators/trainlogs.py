@@ -118,21 +118,43 @@ def error_lines(lines: DataFrame) -> DataFrame:
 
 
 def node_ranks(lines: DataFrame) -> DataFrame:
-    """``(rank, node, ranks)`` from launch lines; a repeated rank is an error."""
+    """``(rank, node, ranks)`` from launch lines, per ``run`` where there is one.
+
+    A repeated rank is an error, and so are launch lines of one run that do not
+    agree on the number of ranks.
+    """
+    job = ["run"] if "run" in lines.columns else []
     pattern = r"Launching on (\S+) \((\d+)/(\d+)\)"
     repeated = F.concat(F.lit("several nodes for rank "), F.col("rank").cast("string"))
-    return (
+    launches = (
         lines.filter(F.col("value").rlike(pattern))
         .select(
+            *job,
             F.regexp_extract("value", pattern, 2).cast("int").alias("rank"),
             F.regexp_extract("value", pattern, 1).alias("node"),
             F.regexp_extract("value", pattern, 3).cast("int").alias("ranks"),
         )
-        .groupBy("rank")
-        .agg(F.count("*").alias("copies"), F.first("node").alias("node"), F.first("ranks").alias("ranks"))
-        .withColumn("node", F.when(F.col("copies") == 1, F.col("node")).otherwise(F.raise_error(repeated).cast("string")))
-        .select("rank", "node", "ranks")
+        .groupBy(*job, "rank")
+        .agg(
+            F.count("*").alias("copies"),
+            F.min("node").alias("node"),
+            F.min("ranks").alias("ranks"),
+            F.max("ranks").alias("most"),
+        )
+    )
+    agreed = launches.groupBy(*job).agg(F.min("ranks").alias("low"), F.max("most").alias("high"))
+    kept = [*job, "rank", "node", "ranks", "copies"]
+    if job:
+        launches = launches.select(*kept).join(agreed, "run")
+    else:
+        low, high = agreed.select("low").scalar(), agreed.select("high").scalar()
+        launches = launches.select(*kept).withColumns({"low": low, "high": high})
+    node = (
+        F.when(F.col("copies") > 1, F.raise_error(repeated).cast("string"))
+        .when(F.col("low") != F.col("high"), F.raise_error(F.lit("launch lines differ in the number of ranks")).cast("string"))
+        .otherwise(F.col("node"))
     )
+    return launches.select(*job, "rank", node.alias("node"), "ranks")
 
 
 def _ranked(errors: DataFrame) -> DataFrame:
@@ -140,9 +162,14 @@ def _ranked(errors: DataFrame) -> DataFrame:
 
 
 def error_nodes(errors: DataFrame, output: DataFrame) -> DataFrame:
-    """Failing nodes with the lines that say so."""
+    """Failing nodes with the lines that say so.
+
+    Ranks are looked up in their own run if both tables name it. A rank without
+    a launch line keeps its row, with no node.
+    """
     ranked = _ranked(error_lines(errors)).filter(F.col("rank").isNotNull())
-    return ranked.join(node_ranks(output), "rank").select("node", "rank", F.col("value").alias("line"))
+    keys = ["run", "rank"] if "run" in errors.columns and "run" in output.columns else ["rank"]
+    return ranked.join(node_ranks(output), keys, "left").select("node", "rank", F.col("value").alias("line"))
 
 
 def unranked_errors(errors: DataFrame) -> DataFrame:

@@ -183,3 +183,24 @@ def test_log_lines(spark, tmp_path):
     assert rows(trainlogs.overflow_events(lines)) == [("a", 132)]
     assert rows(trainlogs.error_nodes(lines, lines)) == [("nid7", 3, "3: Segmentation fault")]
     assert [r["value"] for r in trainlogs.unranked_errors(lines).collect()] == ["x: Segmentation fault"]
+
+
+def test_ranks_of_several_runs(spark):
+    schema = "run string, value string"
+    launches = [("a", "0: Launching on n1 (0/2), x"), ("a", "0: Launching on n2 (1/2), x"), ("b", "0: Launching on n3 (1/4), x")]
+    errors = [("a", "1: Segmentation fault"), ("b", "1: Segmentation fault"), ("b", "2: Segmentation fault")]
+    found = trainlogs.error_nodes(spark.createDataFrame(errors, schema), spark.createDataFrame(launches, schema))
+    assert sorted(found.select("rank", "node").collect(), key=str) == [(1, "n2"), (1, "n3"), (2, None)]
+    uneven = spark.createDataFrame(launches[:1] + [("a", "0: Launching on n2 (1/3), x")], schema)
+    with pytest.raises(Exception, match="number of ranks"):
+        trainlogs.node_ranks(uneven).collect()
+    twice = spark.createDataFrame(launches[:1] * 2, schema)
+    with pytest.raises(Exception, match="several nodes for rank"):
+        trainlogs.node_ranks(twice.drop("run")).collect()
+
+
+def test_unknown_runs_are_kept(spark):
+    df = spark.createDataFrame([("2b855b1b25", 2.5), ("zz9", 2.0)], "name string, loss double")
+    parsed = runs.check_runs(runs.parse_runs(df))
+    assert parsed.count() == 2
+    assert [r["name"] for r in runs.unknown_runs(parsed).collect()] == ["zz9"]
