@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.order import exact_quantiles
+
 # Score of random guessing per task.
 TASK_BASELINES = {
     "anli_r1": 1 / 3,
@@ -113,25 +115,22 @@ def score_table(detail: DataFrame) -> DataFrame:
     accuracies. The average of the medians is labelled with the highest number
     of shots.
     """
-    is_accuracy = F.col("metric").isin("acc", "accuracy")
+    kind = F.when(F.col("metric").isin("acc", "accuracy"), "accuracy").when(
+        F.col("metric").isin("bleu", "rouge2_fmeasure"), F.col("metric")
+    )
+    kinds = detail.select("dataset", "fewshots", kind.alias("kind"), "value").filter("kind is not null")
+    # The kinds in the order of their names: accuracy, bleu, rouge2_fmeasure.
     medians = (
-        detail.groupBy("dataset", "fewshots")
-        .agg(
-            F.median(F.when(is_accuracy, F.col("value"))).alias("accuracy"),
-            F.median(F.when(F.col("metric") == "bleu", F.col("value"))).alias("bleu"),
-            F.median(F.when(F.col("metric") == "rouge2_fmeasure", F.col("value"))).alias("rouge"),
-        )
+        exact_quantiles(kinds, "value", {"median": 0.5}, ["dataset", "fewshots", "kind"])
+        .groupBy("dataset", "fewshots")
+        .agg(F.min(F.struct("kind", "median")).alias("first"))
         .select(
             "dataset",
             "fewshots",
             F.lit("median").alias("prompt"),
-            F.when(F.col("accuracy").isNotNull(), "accuracy")
-            .when(F.col("bleu").isNotNull(), "bleu")
-            .otherwise("rouge2_fmeasure")
-            .alias("metric"),
-            F.coalesce("accuracy", "bleu", "rouge").alias("value"),
+            F.col("first.kind").alias("metric"),
+            F.col("first.median").alias("value"),
         )
-        .filter(F.col("value").isNotNull())
     )
     labels = detail.groupBy("dataset").agg(F.max("fewshots").alias("fewshots"))
     averages = (
