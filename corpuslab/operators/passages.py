@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import stable_hash
 from corpuslab.functions.text import ASCII_WHITESPACE
-from corpuslab.operators.windows import raw
-from corpuslab.session import spread_small
+from corpuslab.operators.windows import query_window_texts, raw
 
 
 def whitespace_positions(text: str) -> Column:
@@ -57,7 +56,7 @@ def segment(
     ``passage - overlap`` tokens after the one before; the last reaches to the
     end of the text.
     """
-    bounded = _segment_bounds(spread_small(df.select(key, text), key), passage, overlap, text)
+    bounded = _segment_bounds(df.select(key, text), passage, overlap, text)
     left, right = _bounds(F.col("seg"), passage, overlap, text)
     return (
         bounded.withColumn("wide", raw(text, "chars"))
@@ -96,24 +95,13 @@ def choose_passage(
     ).drop("breaks", "last_seg", "seg")
 
 
-def query_starts(breaks: str, size: str, length: int, stride: int = 1) -> Column:
-    """Starts of query windows: at 0 and after each ``stride``-th whitespace.
-
-    A window is used only while at least one character is left after it.
-    """
-    taken = F.col(breaks) if stride == 1 else F.filter(breaks, lambda _, at: at % stride == 0)
-    fitting = F.filter(taken, lambda at: at + F.lit(length + 1) < F.col(size))
-    return F.transform(fitting, lambda at: at + 1)
-
-
 def query_windows(
     df: DataFrame, length: int = 100, stride: int = 1, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Query windows of a fixed number of characters: ``(key, pos, window)``."""
-    breaks = F.concat(F.array(F.lit(-1)), whitespace_positions(text))
-    return (
-        spread_small(df.select(key, text), key)
-        .select(key, raw(text, "chars").alias("wide"), F.length(text).alias("size"), breaks.alias("breaks"))
-        .select(key, "wide", F.explode(query_starts("breaks", "size", length, stride)).alias("pos"))
-        .select(key, "pos", _slice_text(F.col("wide"), F.col("pos"), F.lit(length)).alias("window"))
-    )
+    """Query windows of a fixed number of characters: ``(key, pos, window)``.
+
+    Windows start at 0 and after each ``stride``-th whitespace, while at least
+    one character is left after them. They are cut next to their text, so no
+    row but the text's own holds more than a window.
+    """
+    return query_window_texts(df, length, stride, key, text)

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import rolling
-from corpuslab.session import spread_small
 
 # Ship these functions with the tasks, so that executors need no installed package.
 cloudpickle.register_pickle_by_value(rolling)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_BATCH = 200_000
+WINDOWS_PER_BATCH = 20_000
 
 
 def raw(text: str, unit: str) -> Column:
@@ -106,7 +106,7 @@ def window_runs(
         yield from rolling.anchor_runs(rolling.text_codes(batch.column(1)[row].as_py(), unit), length)
 
     schema = f"`{key}` {_field_type(df, key)}, first bigint, last bigint, anchor bigint, span1 bigint, span2 bigint"
-    return spread_small(df.select(key, text), key).mapInArrow(_per_text(names, work), schema)
+    return df.select(key, text).mapInArrow(_per_text(names, work), schema)
 
 
 def windows_of_runs(
@@ -134,7 +134,7 @@ def windows_of_runs(
 
     schema = f"`{key}` {_field_type(df, key)}, pos bigint, hash1 bigint, hash2 bigint"
     return (
-        spread_small(df.select(key, text), key).join(wanted, key).mapInArrow(_per_text(names, work), schema)
+        df.select(key, text).join(wanted, key).mapInArrow(_per_text(names, work), schema)
     )
 
 
@@ -149,7 +149,37 @@ def query_window_hashes(
         yield from rolling.windows_at(codes, length, rolling.query_starts(codes, length, stride))
 
     schema = f"`{key}` {_field_type(df, key)}, pos bigint, anchor bigint, hash1 bigint, hash2 bigint"
-    return spread_small(df.select(key, text), key).mapInArrow(_per_text(names, work), schema)
+    return df.select(key, text).mapInArrow(_per_text(names, work), schema)
+
+
+def query_window_texts(
+    df: DataFrame, length: int, stride: int = 1, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``(key, pos, window)`` of windows of characters after whitespace, as text."""
+    names = [key, "pos", "window"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, found = [], [], []
+
+            def flush() -> pa.RecordBatch:
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64())]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names)
+
+            for row in range(batch.num_rows):
+                value = batch.column(1)[row].as_py() or ""
+                for at in rolling.query_starts(rolling.text_codes(value, "chars"), length, stride).tolist():
+                    rows.append(row)
+                    places.append(at)
+                    found.append(value[at : at + length])
+                    if len(rows) == WINDOWS_PER_BATCH:
+                        yield flush()
+                        rows, places, found = [], [], []
+            if rows:
+                yield flush()
+
+    schema = f"`{key}` {_field_type(df, key)}, pos bigint, window string"
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 def head_window_hashes(df: DataFrame, length: int, unit: str, text: str) -> DataFrame:

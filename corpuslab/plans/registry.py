@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.session import spread_small
-
 Plan = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Plan] = {}
@@ -15,9 +13,8 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; one too small to fill its splits is spread over the cores."""
-    given = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread_small(given, given.columns[0])
+    """A given table, as its files hold it."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def query(sql: str | None = None) -> Callable[[Plan], Plan]:

@@ -51,20 +51,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/corpuslab-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, an upper bound for scans with filters on top."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input too small to fill its scan splits.
-
-    A corpus that fills its splits is returned as it is, without a shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b").rstrip("b")
-    full = cores * (int(split) if split.isdigit() else 134217728)
-    return df.repartition(cores, key) if estimated_bytes(df) < full else df
