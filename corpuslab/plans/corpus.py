@@ -99,11 +99,11 @@ def length_in_ratio(spark, folder):
     len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))::BIGINT AS tokens,
     CASE WHEN length(text) < 2000 THEN length(text) ELSE 4000 END::BIGINT AS clipped,
     round((length(text) / 10000.0) * 8.0 + 1.0, 9) AS remapped
-    FROM documents WHERE length(text) <= 20000"""
+    FROM documents"""
 )
 def text_measures(spark, folder):
-    """Lengths, token counts and clipped values of the texts under a length cap."""
-    docs = cap_length(table(spark, folder, "documents"), 20000)
+    """Lengths, token counts and clipped values of all texts."""
+    docs = table(spark, folder, "documents")
     measured = tx.token_counts(tx.with_bytes_len(tx.with_text_length(docs)), r"[^ \t\n\r\f\x0b]+")
     return measured.select(
         "doc_id",
@@ -115,6 +115,12 @@ def text_measures(spark, folder):
     )
 
 
+@query("SELECT doc_id, n_chars FROM documents WHERE length(text) <= 20000")
+def capped_texts(spark, folder):
+    """Documents whose text is at most as long as the cap that the caller names."""
+    return cap_length(table(spark, folder, "documents"), 20000).select("doc_id", "n_chars")
+
+
 @query("SELECT round(sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')))::DOUBLE / count(*), 6) AS mean_tokens FROM documents")
 def tokens_per_sample(spark, folder):
     tokens = tx.token_count("text", r"[^ \t\n\r\f\x0b]+")
@@ -401,15 +407,15 @@ def byte_offsets(spark, folder):
     """WITH offsets AS (SELECT doc_id, sum(octet_length(encode(text)) + 6) OVER (ORDER BY doc_id) - octet_length(encode(text)) AS s,
       sum(octet_length(encode(text)) + 6) OVER (ORDER BY doc_id) AS e FROM documents)
     SELECT l_orderkey, l_linenumber, l_partkey, doc_id, (l_partkey * 997 - s)::BIGINT AS pos_in_doc
-    FROM lineitem JOIN offsets ON l_partkey * 997 >= s AND l_partkey * 997 < e"""
+    FROM lineitem LEFT JOIN offsets ON l_partkey * 997 >= s AND l_partkey * 997 < e + 6"""
 )
 def assign_document(spark, folder):
-    """Which document each of many global byte positions falls in."""
+    """Which document each of many global byte positions falls in; one in a separator, in the document to its left."""
     offsets = order.byte_offsets(table(spark, folder, "documents"), "doc_id")
     places = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") * 997).alias("pos")
     )
-    return ranges.assign_document(places, offsets).drop("pos")
+    return ranges.assign_document(places, offsets, separator_bytes=6).drop("pos")
 
 
 @query(

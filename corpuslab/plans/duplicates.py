@@ -119,15 +119,13 @@ def repetition_members(spark, folder):
 
 @query(
     CONTENTS_SQL
-    + """SELECT repetition_id, count(*)::BIGINT AS num_docs, 0::BIGINT AS chunk,
-    string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids
-    FROM (SELECT DISTINCT repetition_id, doc_id FROM contents) GROUP BY repetition_id"""
+    + """SELECT repetition_id, count(*) OVER (PARTITION BY repetition_id)::BIGINT AS num_docs, doc_id
+    FROM (SELECT DISTINCT repetition_id, doc_id FROM contents)"""
 )
 def clusters(spark, folder):
-    """Document ids per repetition, in chunks (one chunk each at test size)."""
-    grouped = dup.clusters_by_repetition(dup.memberships(_contents(spark, folder)), max_ids=100_000)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return grouped.select("repetition_id", "num_docs", F.col("chunk").cast("bigint").alias("chunk"), ids.alias("ids"))
+    """Document ids per repetition, gathered in chunks of about eight and read back."""
+    grouped = dup.clusters_by_repetition(dup.memberships(_contents(spark, folder)), max_ids=8)
+    return grouped.select("repetition_id", "num_docs", F.explode("ids").alias("doc_id"))
 
 
 @query(

@@ -396,16 +396,68 @@ def grid_fit(spark, folder):
 # Shapes (name, d_model, ffw, kv, heads, layers).
 SHAPES = [
     ("7M", 128, 512, 32, 4, 3),
+    ("14M", 224, 896, 32, 7, 4),
+    ("20M", 288, 1152, 32, 7, 5),
+    ("35M", 448, 1792, 32, 7, 6),
     ("44M", 512, 2048, 64, 8, 8),
+    ("57M", 576, 2304, 64, 9, 9),
+    ("74M", 640, 2560, 64, 10, 10),
+    ("90M", 640, 2560, 64, 10, 13),
+    ("106M", 640, 2560, 64, 10, 16),
     ("117M", 768, 3072, 64, 12, 12),
+    ("140M", 768, 3072, 64, 12, 15),
+    ("163M", 768, 3072, 64, 12, 18),
+    ("175M", 896, 3584, 64, 14, 14),
     ("196M", 896, 3584, 64, 14, 16),
+    ("217M", 896, 3584, 64, 14, 18),
+    ("251M", 1024, 4096, 64, 16, 16),
+    ("278M", 1024, 4096, 64, 16, 18),
+    ("306M", 1024, 4096, 64, 16, 20),
+    ("425M", 1280, 5120, 128, 10, 18),
+    ("489M", 1280, 5120, 128, 10, 21),
+    ("509M", 1408, 5632, 128, 11, 18),
+    ("552M", 1280, 5120, 128, 10, 24),
+    ("587M", 1408, 5632, 128, 11, 21),
+    ("632M", 1536, 6144, 128, 12, 19),
+    ("664M", 1408, 5632, 128, 11, 24),
+    ("724M", 1536, 6144, 128, 12, 22),
+    ("816M", 1536, 6144, 128, 12, 25),
+    ("893M", 1792, 7168, 128, 14, 20),
+    ("1018M", 1792, 7168, 128, 14, 23),
+    ("1143M", 1792, 7168, 128, 14, 26),
+    ("1266M", 2048, 8192, 128, 16, 22),
+    ("1424M", 2176, 8704, 128, 17, 22),
+    ("1429M", 2048, 8192, 128, 16, 25),
+    ("1593M", 2048, 8192, 128, 16, 28),
+    ("1609M", 2176, 8704, 128, 17, 25),
+    ("1731M", 2304, 9216, 128, 18, 24),
+    ("1794M", 2176, 8704, 128, 17, 28),
+    ("2007M", 2304, 9216, 128, 18, 28),
+    ("2283M", 2304, 9216, 128, 18, 32),
+    ("2298M", 2560, 10240, 128, 20, 26),
+    ("2639M", 2560, 10240, 128, 20, 30),
+    ("2980M", 2560, 10240, 128, 20, 34),
+    ("3530M", 2688, 10752, 128, 21, 36),
+    ("3802M", 2816, 11264, 128, 22, 36),
+    ("4084M", 2944, 11776, 128, 23, 36),
+    ("4516M", 3072, 12288, 128, 24, 36),
+    ("6796M", 3584, 14336, 128, 28, 40),
+    ("9293M", 4096, 16384, 128, 32, 42),
+    ("11452M", 4352, 17408, 128, 32, 47),
+    ("12295M", 4608, 18432, 128, 36, 44),
+    ("12569M", 4608, 18432, 128, 32, 47),
+    ("13735M", 4864, 19456, 128, 32, 47),
+    ("14940M", 4992, 19968, 128, 32, 49),
+    ("16183M", 5120, 20480, 128, 40, 47),
 ]
+SHAPES_SQL = ", ".join(f"('{name}', {h}, {f}, {heads}, {layers})" for name, h, f, _, heads, layers in SHAPES)
 
 
 @query(
     "WITH " + RUNS_SQL
-    + """, shapes AS (SELECT * FROM (VALUES ('7M', 128, 512, 4, 3), ('44M', 512, 2048, 8, 8), ('117M', 768, 3072, 12, 12),
-      ('196M', 896, 3584, 14, 16)) AS v(shape, h, f, heads, layers)),
+    + f""", shapes AS (SELECT shape, h::DOUBLE AS h, f::DOUBLE AS f, heads::DOUBLE AS heads, layers::DOUBLE AS layers
+      FROM (VALUES {SHAPES_SQL}) AS v(shape, h, f, heads, layers)),"""
+    + """
     sized AS (SELECT *, (layers * (4 * h * h + 4 * h + 2 * f * h + f + h + 2 * h) + h * 32000 + 32000 + 2048 * h)::DOUBLE AS n FROM shapes),
     placed AS (SELECT r.o_orderkey, s.shape, s.n, 6.0 * r.n * r.d / 1000 / 6 / s.n AS d, least(r.u, 6.0 * r.n * r.d / 1000 / 6 / s.n) AS u FROM runs r, sized s),"""
     + f"scored AS (SELECT o_orderkey, shape, n, d, {CONSTRAINED} AS loss FROM ({point_sql('placed')}))"

@@ -25,7 +25,7 @@ def read_corpus(
     raise ValueError("fmt is 'json' or 'parquet'")
 
 
-def cap_length(df: DataFrame, n: int = 188_944, text: str = "text") -> DataFrame:
+def cap_length(df: DataFrame, n: int, text: str = "text") -> DataFrame:
     """Drop texts of more than ``n`` characters on ingest."""
     return df.filter(F.length(text) <= n)
 
