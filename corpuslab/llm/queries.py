@@ -62,7 +62,7 @@ def op3_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    return spots.fingerprint_edits(_documents(spark, folder))
+    return spots.spot_signatures(_documents(spark, folder))
 
 
 def op5_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:

@@ -88,6 +88,12 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(own.alias("id"), body.alias("body"), F.xxhash64(own, body).alias("one"), F.hash(body, own).alias("two"))
 
 
+def spot_signatures(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``fingerprint_edits`` of all texts, with the ``component_id`` of ``near_documents`` next to each."""
+    near = _linked(docs, percent, key, text).groupBy("one", "two").agg(F.min("component_id").alias("component_id"))
+    return _edited(docs, key, text, materialize(near))
+
+
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited texts.
 
@@ -100,6 +106,11 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     hash of the text; rows that agree in both are one document in that order,
     and each of them is returned. A lone document is followed by itself.
     """
+    return _edited(docs, key, text)
+
+
+def _edited(docs: DataFrame, key: str, text: str, near: DataFrame | None = None) -> DataFrame:
+    """``fingerprint_edits``, with the further columns of ``near(one, two, ...)``, which has a row per document."""
     rows = _keyed(docs, key, text).select("id", "body", "one", "two", spots(F.col("body")).alias("spots"))
     heads = _keyed(docs, key, text).select("id", "one", "two", F.length("body").cast("bigint").alias("n")).distinct()
     heads = heads.withColumn("last", F.col("id").isNull()).withColumn("down", -F.coalesce(F.col("id"), F.lit(0)))
@@ -121,11 +132,15 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
     size = F.length("body").cast("bigint")
     kept = F.substring("body", F.lit(1), (size - F.floor(size / 2)).cast("int"))
-    both = rows.join(given, ["one", "two"]).select(
-        "id", "next_id", size.alias("n_chars"), "spots", "next_spots", F.concat(kept, "part").alias("edited")
+    both, more = rows.join(given, ["one", "two"]), []
+    if near is not None:
+        both, more = both.join(near, ["one", "two"], "left"), near.drop("one", "two").columns
+    both = both.select(
+        "id", "next_id", size.alias("n_chars"), "spots", "next_spots", F.concat(kept, "part").alias("edited"), *more
     )
     both = both.select(
-        "id", "next_id", "n_chars", "spots", "next_spots", F.sha2("edited", 256).alias("sha"), spots(F.col("edited")).alias("edited_spots")
+        "id", "next_id", "n_chars", "spots", "next_spots", F.sha2("edited", 256).alias("sha"),
+        spots(F.col("edited")).alias("edited_spots"), *more,
     )
     return both.select(
         F.col("id").alias(key),
@@ -136,6 +151,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
         "next_id",
+        *more,
     )
 
 
@@ -146,13 +162,22 @@ def near_documents(docs: DataFrame, percent: int = 80, key: str = "doc_id", text
     row. Equal sets are one node. Texts without a chain set (empty) are alone,
     null keys have a null component.
     """
-    rows = _keyed(docs, key, text).select("id", spots(F.col("body")).alias("spots"))
-    rows = materialize(rows.select("id", "spots", F.xxhash64("spots").alias("one"), F.hash("spots").alias("two")))
+    return _linked(docs, percent, key, text).select(F.col("id").alias(key), "n_spots", "component_id")
+
+
+def _linked(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """``id, one, two, n_spots, component_id`` per row; ``one`` and ``two`` as in ``_keyed``."""
+    rows = _keyed(docs, key, text).select("id", "one", "two", spots(F.col("body")).alias("spots"))
+    rows = materialize(
+        rows.select("id", "one", "two", "spots", F.xxhash64("spots").alias("set_one"), F.hash("spots").alias("set_two"))
+    )
     sets = materialize(
         rows.filter("size(spots) > 0 and id is not null")
-        .groupBy("one", "two")
-        .agg(F.min("id").alias("node"), F.first("spots").alias("shingles"), F.count("*").alias("copies"))
+        .groupBy("set_one", "set_two")
+        .agg(F.min("id").alias("least_id"), F.first("spots").alias("shingles"), F.count("*").alias("copies"))
         .withColumn("n", F.size("shingles").cast("bigint"))
+        # A number of its own: rows that share an id can hold several sets.
+        .withColumn("node", F.monotonically_increasing_id())
     )
     # Partition p holds the lengths from base**p on; a set is compared in its own and the next.
     base = 100 / percent
@@ -164,17 +189,27 @@ def near_documents(docs: DataFrame, percent: int = 80, key: str = "doc_id", text
         .groupBy("node", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
     )
+    # A chain of no other set is no signature, and all but such chains bound what sets share.
     prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int"))
     signatures = ordered.select(
-        "node", "n", F.explode(F.array(partition, partition + 1)).alias("partition"), prefix.alias("prefix")
-    ).select("node", "n", "partition", F.explode("prefix.spot").alias("spot"))
-    signatures = materialize(signatures.select(F.xxhash64("partition", "spot").alias("signature"), "node", "n").distinct())
-    reached = components(_resolve(signatures, sets, percent))
-    named = materialize(
-        sets.join(reached, "node", "left").select("one", "two", "copies", F.coalesce("component", "node").alias("component"))
+        "node",
+        "n",
+        F.size(F.filter("order", lambda x: x["df"] > 1)).cast("bigint").alias("shared"),
+        F.explode(F.array(partition, partition + 1)).alias("partition"),
+        F.filter(prefix, lambda x: x["df"] > 1).alias("prefix"),
+    ).select("node", "n", "shared", "partition", F.explode("prefix.spot").alias("spot"))
+    signatures = signatures.select(F.xxhash64("partition", "spot").alias("signature"), "node", "n", "shared")
+    reached = components(_resolve(materialize(signatures.distinct()), sets, percent))
+    placed = sets.join(reached, "node", "left").select(
+        "set_one", "set_two", "copies", "least_id", F.coalesce("component", "node").alias("component")
     )
-    return join_counted(rows, named, ["one", "two"], "copies", "left").select(
-        F.col("id").alias(key),
+    placed = materialize(placed)
+    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("fan_in"))
+    named = join_counted(placed.drop("least_id"), materialize(least), "component", "fan_in").drop("component")
+    return join_counted(rows, materialize(named), ["set_one", "set_two"], "copies", "left").select(
+        "id",
+        "one",
+        "two",
         F.size("spots").cast("bigint").alias("n_spots"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
     )

@@ -210,6 +210,36 @@ def test_spots_odd_rows(spark, odd):
     assert near[4] == 3 and near[5] == 5 and near[1] == 1
 
 
+def test_spot_components(spark, docs):
+    rng = random.Random(3)
+    data = [(None, "no key"), (900, ""), (901, None)]
+    for group in range(12):
+        words = [f"g{group}x{i}" for i in range(60)]
+        for copy in range(6):
+            line = list(words)
+            for at in rng.sample(range(60), copy):
+                line[at] = f"c{copy}y{at}"
+            data.append((group * 10 + copy, " the ".join(line)))
+    data += [(3, "the other text of a repeated key"), (500, data[5][1])]
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    sets = [set(row[0]) for row in table.select(spots.spots(F.coalesce("text", F.lit("")))).collect()]
+    root = {at: key for at, (key, _) in enumerate(data) if key is not None}
+    same = [
+        (a, b) for a in root for b in root
+        if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    for _ in data:
+        for a, b in same:
+            root[a] = min(root[a], root[b])
+    want = Counter((key, len(sets[at]), root.get(at)) for at, (key, _) in enumerate(data))
+    assert len(same) > 50 and any(root[a] != data[a][0] for a in root)
+    assert Counter(map(tuple, spots.near_documents(table).collect())) == want
+    whole = spots.spot_signatures(table).select("doc_id", F.length("fingerprint") / 8, "component_id").collect()
+    assert Counter(map(tuple, whole)) == want
+    got = queries.op4_spot_signatures(spark, FOLDER)
+    assert got.filter("component_id is null or component_id > doc_id").count() == 0 and got.count() == docs.count()
+
+
 def test_toxic_segments_in_one_scan():
     rng = random.Random(1)
     for _ in range(200):
