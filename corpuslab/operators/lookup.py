@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions import rolling
 from corpuslab.operators.skew import join_counted
 from corpuslab.operators.windows import (
-    head_window_hashes,
+    cover_window_hashes,
     query_window_hashes,
-    raw,
     window_runs,
+    windows_like,
     windows_of_runs,
 )
 from corpuslab.session import materialize
 
+# Windows up to this length are looked up one by one, longer ones by runs.
+SHORT = 16
+
 
 def _matching_windows(
     index: DataFrame, anchors: DataFrame, length: int, unit: str, key: str, text: str
@@ -79,30 +83,39 @@ def count_occurrences(
 ) -> DataFrame:
     """How often each query string occurs in the corpus, overlaps counted.
 
-    Returns the queries with ``occurrences`` and ``num_docs``. Candidate
-    positions are those where the first characters agree (as many as the
-    shortest query has); the rest of the query is compared on the text.
+    Returns the queries with ``occurrences`` and ``num_docs``. Queries are
+    taken in classes, by the power of two below their length: each is covered
+    by windows as long as that power, the first and the last (more if it is
+    very long), and occurs where all of them follow one another as in the query.
+    Short queries thus do not make the windows of long ones short, and texts
+    are not copied to the places found.
     """
-    size = F.length(query) if unit == "chars" else F.octet_length(query)
+    size = (F.length(query) if unit == "chars" else F.octet_length(query)).cast("bigint")
     usable = queries.select(query).distinct().filter(size > 0)
-    row = usable.agg(F.min(size).alias("shortest")).first()
-    if row["shortest"] is None:
+    shift = F.floor(F.log2(size.cast("double")) + 1e-12).cast("int")
+    longest = F.least(F.pow(F.lit(2.0), shift), F.lit(float(rolling.MAX_LENGTH))).cast("bigint")
+    classes = sorted(row["width"] for row in usable.select(longest.alias("width")).distinct().collect())
+    found = None
+    for width in classes:
+        pieces = materialize(cover_window_hashes(usable.filter(longest == width), width, unit, query))
+        # Short windows have about a run each, so runs would save nothing.
+        if width <= SHORT:
+            hits = windows_like(df, pieces, width, unit, key, text)
+        else:
+            hits = _matching_windows(df, pieces.select("anchor").distinct(), width, unit, key, text)
+        starts = (
+            hits.join(pieces.drop("anchor"), ["hash1", "hash2"])
+            .groupBy(query, key, (F.col("pos") - F.col("at")).alias("start"))
+            .agg(F.count("*").alias("met"), F.first("pieces").alias("pieces"))
+            .filter("met = pieces")
+        )
+        counted = (
+            starts.groupBy(query, key)
+            .agg(F.count("*").alias("here"))
+            .groupBy(query)
+            .agg(F.sum("here").alias("occurrences"), F.count("*").alias("num_docs"))
+        )
+        found = counted if found is None else found.unionByName(counted)
+    if found is None:
         return usable.select(query, F.lit(0).cast("bigint").alias("occurrences"), F.lit(0).cast("bigint").alias("num_docs"))
-    shortest = int(row["shortest"])
-    heads = materialize(head_window_hashes(usable, shortest, unit, query))
-    hits = _matching_windows(df, heads.select("anchor").distinct(), shortest, unit, key, text)
-    width = 1 if unit == "bytes" else 4
-    placed = hits.join(heads.drop("anchor"), ["hash1", "hash2"]).select(key, "pos", query)
-    wanted = raw(query, unit)
-    there = F.substring(
-        F.col("content"), (F.col("pos") * width + 1).cast("int"), F.octet_length(wanted)
-    )
-    counted = (
-        placed.join(df.select(key, raw(text, unit).alias("content")), key)
-        .filter(there == wanted)
-        .groupBy(query, key)
-        .agg(F.count("*").alias("here"))
-        .groupBy(query)
-        .agg(F.sum("here").alias("occurrences"), F.count("*").alias("num_docs"))
-    )
-    return usable.select(query).join(counted, query, "left").fillna(0, ["occurrences", "num_docs"])
+    return usable.select(query).join(found, query, "left").fillna(0, ["occurrences", "num_docs"])

@@ -248,3 +248,17 @@ def count_occurrences(spark, folder):
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     parts = items.select(F.explode(F.split("text", r"\. ", -1)).alias("query")).filter(F.length("query") >= 20)
     return lookup.count_occurrences(docs, parts)
+
+
+@query(
+    """WITH parts AS (SELECT DISTINCT unnest(string_split(text, '. ')) AS query FROM benchmark),
+    usable AS (SELECT query FROM parts WHERE length(query) > 0)
+    SELECT query, coalesce(sum((length(text) - length(replace(text, query, ''))) // length(query)), 0)::BIGINT AS occurrences,
+           count(*) FILTER (contains(text, query))::BIGINT AS num_docs
+    FROM usable CROSS JOIN documents GROUP BY query"""
+)
+def count_all_occurrences(spark, folder):
+    """How often each sentence of the second corpus occurs in the documents, short ones too."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    parts = items.select(F.explode(F.split("text", r"\. ", -1)).alias("query"))
+    return lookup.count_occurrences(docs, parts)

@@ -142,6 +142,20 @@ def test_occurrences_overlap(spark):
     assert rows(lookup.count_occurrences(df, queries, unit="bytes")) == got
 
 
+def test_occurrences_of_all_lengths(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aab😀") for _ in range(90)) for _ in range(6)] + ["", "a"]
+    parts = {t[at : at + n] for t in texts for n in (1, 2, 3, 5, 8, 13, 31, 32, 33, 70) for at in (0, 7) if t[at : at + n]}
+    parts |= {part[:-1] + "c" for part in parts} | {"a" * 16 + texts[0][20:30]}
+    want = []
+    for part in parts:
+        here = [sum(t.startswith(part, at) for at in range(len(t))) for t in texts]
+        want.append((part, sum(here), sum(n > 0 for n in here)))
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    queries = spark.createDataFrame([(part,) for part in parts], "query string")
+    assert sorted(map(tuple, lookup.count_occurrences(df, queries).collect())) == sorted(want)
+
+
 def test_plain_windows(spark):
     from corpuslab.operators.windows import windows
 

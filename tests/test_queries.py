@@ -22,6 +22,15 @@ def test_query_agrees_with_sql(spark, con, name):
     assert difference(queries()[name](spark, FOLDER), con, oracle_sql()[name]) is None
 
 
+def test_all_sentences_are_counted(spark, con):
+    got = queries()["count_all_occurrences"](spark, FOLDER)
+    assert difference(got, con, oracle_sql()["count_all_occurrences"]) is None
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()
+    sentences = {part for item in items for part in item.text.split(". ")} - {""}
+    counted = {row["query"] for row in got.select("query").collect()}
+    assert counted == sentences and any(len(part) < 20 for part in counted)
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
 
