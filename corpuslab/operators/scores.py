@@ -277,9 +277,10 @@ def strategy_series(scores: DataFrame, facts: DataFrame, reference_budget: float
     """Score against data budget for each strategy.
 
     ``facts`` is ``(model, strategy, tokens)``; the budget is given in percent
-    of the reference budget.
+    of the reference budget. Models without facts keep a null strategy and a
+    null budget.
     """
-    named = scores.join(facts, "model")
+    named = scores.join(facts, "model", "left")
     per_model = named.groupBy("strategy", "tokens", "model").agg(F.avg("score").alias("score"))
     return (
         per_model.withColumn("budget_pct", F.col("tokens") / F.lit(reference_budget) * 100)

@@ -130,6 +130,13 @@ def test_score_rules(spark):
     assert ("x", 0, "p1", "acc_norm") not in table and table[("c", 0, "t", "accuracy")] == 0.5
 
 
+def test_models_without_facts_stay_in_the_series(spark):
+    table = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 5.0)], "model string, score double")
+    facts = spark.createDataFrame([("a", "repeat", 84e9)], "model string, strategy string, tokens double")
+    got = {tuple(row) for row in scores.strategy_series(table, facts).collect()}
+    assert got == {("repeat", 100.0, 1.0, 0.0, 1), (None, None, 4.0, 1.0, 2)}
+
+
 def test_repeated_scores_fail_and_seeds_use_population_deviation(spark):
     twice = spark.createDataFrame([("m", 0, "t", 0.1), ("m", 0, "t", 0.2)], "model string, shot int, task string, score double")
     with pytest.raises(Exception, match="repeated score"):
