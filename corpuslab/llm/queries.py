@@ -15,9 +15,11 @@ from corpuslab.llm import (
     ngram_join,
     packing,
     spots,
+    superkmers,
     surrogates,
     toxicity,
     vectors,
+    whitening,
 )
 
 
@@ -90,6 +92,14 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return superkmers.remove_repeats(_documents(spark, folder))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` one after the other."""
     import corpus_pipeline
@@ -110,7 +120,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licence_scan,
         op9_class_model,
         op10_near_vectors,
+        op12_substring_dedup,
+        op13_whitening,
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_substring_dedup": """
+        with d as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+        ), starts as (
+            select doc_id, words, unnest(range(1, len(words) - 48)) as pos from d
+        ), windows as (
+            select doc_id, pos, array_to_string(words[pos:pos + 49], ' ') as content from starts
+        ), firsts as (
+            select content, min(doc_id) as first_id from windows group by content
+        ), gone as (
+            select distinct doc_id, unnest(range(pos, pos + 50)) as pos
+            from windows join firsts using (content) where doc_id > first_id
+        ), placed as (
+            select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from d
+        ), kept as (
+            select p.doc_id, count(g.pos) as n_removed,
+                   string_agg(p.word, ' ' order by p.pos) filter (where g.pos is null) as kept
+            from placed p left join gone g on p.doc_id = g.doc_id and p.pos = g.pos group by p.doc_id
+        )
+        select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+               sha256(coalesce(kept, '')) as kept_sha256
+        from d left join kept using (doc_id)
+    """,
+}
