@@ -14,6 +14,7 @@ from corpuslab.llm import (
     mixing,
     ngram_join,
     packing,
+    phrases,
     spots,
     superkmers,
     surrogates,
@@ -92,6 +93,10 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine_phrases(_documents(spark, folder))
+
+
 def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return superkmers.remove_repeats(_documents(spark, folder))
 
@@ -120,12 +125,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licence_scan,
         op9_class_model,
         op10_near_vectors,
+        op11_collocations,
         op12_substring_dedup,
         op13_whitening,
         pipeline,
     )
 }
 ORACLES: dict[str, str] = {
+    "op11_collocations": """
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\\x0A-\\x0D]')) as piece
+            from documents
+        ), split as (
+            select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as words from pieces
+        ), placed as (
+            select lang, words, unnest(range(1, len(words) + 1)) as pos from split
+        ), grams as (
+            select lang, unnest(list_transform(range(1, least(5, len(words) - pos + 1) + 1),
+                lambda s: {'size': s, 'phrase': array_to_string(words[pos:pos + s - 1], ' ')})) as gram
+            from placed
+        ), f as (
+            select lang, gram.phrase as phrase, gram.size as size, count(*) as f from grams group by all
+        ), totals as (
+            select lang, sum(f) as n from f where size = 1 group by lang
+        ), candidates as (
+            select lang, phrase, size, f as a, string_split(phrase, ' ') as words from f where size > 1 and f >= 100
+        ), inside as (
+            select distinct c.lang, array_to_string(c.words[i:i + s - 1], ' ') as phrase, c.a
+            from (select *, unnest(range(2, size)) as s from candidates) c, unnest(range(1, size - s + 2)) as t(i)
+        ), most as (
+            select lang, phrase, max(a) as most from inside group by all
+        ), left_over as (
+            select c.* from candidates c left join most m on c.lang = m.lang and c.phrase = m.phrase
+            where m.most is null or 100 * m.most < 100 * c.a
+        ), cuts as (
+            select *, unnest(range(1, size)) as k from left_over
+        ), parted as (
+            select c.lang, c.phrase, a, k, x.f as l, y.f as r, n,
+                   (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score
+            from cuts c
+            join f x on x.lang = c.lang and x.phrase = array_to_string(c.words[1:k], ' ')
+            join f y on y.lang = c.lang and y.phrase = array_to_string(c.words[k + 1:], ' ')
+            join totals t on t.lang = c.lang
+        ), lowest as (
+            select * from parted qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        )
+        select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+               cast(n as bigint) as n, cast(score as bigint) as score
+        from (
+            select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest
+        ) where rank <= 2000
+    """,
     "op12_substring_dedup": """
         with d as (
             select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
