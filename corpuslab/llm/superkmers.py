@@ -30,7 +30,7 @@ from corpuslab.session import materialize
 # Words of a gram whose minimum anchors a window, as a share of the window.
 GRAM_SHARE = 5
 # Runs of one bucket that are sorted together, and strings sorted at a time.
-BUCKET, AT_ONCE = 256, 4096
+BUCKET, AT_ONCE = 4096, 4096
 ROWS = 100_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
