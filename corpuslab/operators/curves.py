@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.profile import row_index
+from corpuslab.operators.scans import neighbours, running
 from corpuslab.session import materialize
 
 CHUNK = 1024
@@ -156,15 +157,26 @@ def improving_prefix(
 ) -> DataFrame:
     """Rows along ``order`` up to the first that does not improve on the best.
 
-    One group is one sweep over compute budgets, of a size set by the caller.
+    Two running values: the best before each row, and whether a row has not
+    improved so far. Both are folded range by range, so one sweep may hold most
+    of the rows.
     """
-    ordered = Window.partitionBy(*keys).orderBy(order)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    stalls = F.coalesce((F.col(column) >= F.min(column).over(before)).cast("int"), F.lit(0))
-    return (
-        df.withColumn("stalls", stalls)
-        .withColumn("stalled", F.max("stalls").over(upto))
-        .filter("stalled = 0")
-        .drop("stalls", "stalled")
+    best = running(df, column, order, "min", keys, "__best", before=True)
+    stalls = F.coalesce((F.col(column) >= F.col("__best")).cast("int"), F.lit(0))
+    stalled = running(best, stalls, order, "max", keys, "__stalled")
+    return stalled.filter(F.col("__stalled") == 0).drop("__best", "__stalled")
+
+
+def turning_points(df: DataFrame, keys: Sequence[str], order: str, column: str) -> DataFrame:
+    """Rows above or below both their neighbours: ``(keys, order, column, kind)``.
+
+    ``kind`` is ``peak`` or ``valley``: the sign of the step to a point differs
+    from that of the step away from it. The ends of a curve, points on level
+    ground and points next to nulls are none.
+    """
+    near = neighbours(df.select(*keys, order, column), column, order, keys)
+    here = F.col(column)
+    kind = F.when((here > F.col("previous")) & (here > F.col("following")), "peak").when(
+        (here < F.col("previous")) & (here < F.col("following")), "valley"
     )
+    return near.withColumn("kind", kind).filter("kind is not null").drop("previous", "following")

@@ -1,50 +1,73 @@
-"""Cutting texts into passages and query windows at whitespace."""
+"""Cutting texts into passages and query windows at whitespace.
+
+Texts are cut where they lie: whitespace is found in the bytes of a whole
+column at once, and a passage is a slice of them. Positions count characters.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import stable_hash
 from corpuslab.functions.text import ASCII_WHITESPACE
-from corpuslab.operators.windows import query_window_texts, raw
+from corpuslab.operators.windows import query_window_texts
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def whitespace_positions(text: str) -> Column:
-    """Character positions of ASCII whitespace, ascending, 0-based."""
-    marked = F.transform(
-        F.split(F.col(text), "", -1),
-        lambda char, at: F.when(char.isin(*ASCII_WHITESPACE), at).otherwise(F.lit(-1)),
-    )
-    return F.filter(marked, lambda at: at >= 0)
+PASSAGES_PER_BATCH = 20_000
+_IS_GAP = np.isin(np.arange(256), [ord(char) for char in ASCII_WHITESPACE])
 
 
-def _slice_text(wide: Column, start: Column, size: Column) -> Column:
-    """Characters of a text held as UTF-32, in time independent of ``start``."""
-    return F.decode(
-        F.substring(wide, (start * 4 + 1).cast("int"), (size * 4).cast("int")), "UTF-32"
-    )
+class _Breaks:
+    """Starts of the whitespace-separated tokens of every text of a column."""
 
+    def __init__(self, texts: pa.Array):
+        self.texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(self.texts.buffers()[1], np.int64)[self.texts.offset : self.texts.offset + len(texts) + 1]
+        held = self.texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8)[: offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+        self._data, self._offsets = data, offsets
+        # Characters before each byte: every byte but the later ones of a character counts.
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        gaps = np.flatnonzero(_IS_GAP[data]) + 1
+        self._gaps, self._gap_chars = gaps, chars[gaps]
+        self._bounds = np.searchsorted(gaps, offsets, side="right")
+        self._first = chars[offsets]
 
-def _segment_bounds(df: DataFrame, passage: int, overlap: int, text: str) -> DataFrame:
-    """Add ``breaks`` (positions before token starts) and ``last_seg``."""
-    step = passage - overlap
-    if step <= 0:
-        raise ValueError("overlap must be smaller than the passage")
-    breaks = F.concat(F.array(F.lit(-1)), whitespace_positions(text))
-    tail = F.ceil((F.size("breaks") - F.lit(passage)) / F.lit(step))
-    return df.withColumn("breaks", breaks).withColumn(
-        "last_seg", F.greatest(F.lit(0), tail).cast("int")
-    )
+    def of(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Token starts of a text in bytes and in characters, then its end; one start per whitespace."""
+        low, high = self._offsets[row], self._offsets[row + 1]
+        inside = slice(self._bounds[row], self._bounds[row + 1])
+        in_bytes = np.concatenate(([0], self._gaps[inside] - low, [high - low]))
+        in_chars = np.concatenate(([0], self._gap_chars[inside] - self._first[row], [self._first[row + 1] - self._first[row]]))
+        return in_bytes, in_chars
+
+    def cut(self, row: int, start: int, end: int) -> bytes:
+        low = self._offsets[row]
+        return self._data[low + start : low + end].tobytes()
 
 
-def _bounds(seg: Column, passage: int, overlap: int, text: str) -> tuple[Column, Column]:
-    at = seg * F.lit(passage - overlap)
-    left = F.get("breaks", at) + 1
-    right = F.when(
-        at + F.lit(passage) >= F.size("breaks"), F.length(text)
-    ).otherwise(F.get("breaks", at + F.lit(passage)) + 1)
-    return left, right
+def _segments(count: int, passage: int, step: int) -> int:
+    """Passages of a text with ``count`` token starts."""
+    return max(0, -(-(count - passage) // step)) + 1
+
+
+def _ends(seg: int, count: int, passage: int, step: int) -> tuple[int, int]:
+    """Which token start a passage begins at and which it ends before; ``count`` is the end of the text."""
+    return seg * step, min(seg * step + passage, count)
+
+
+def _step(passage: int, overlap: int) -> int:
+    if passage <= overlap:
+        raise ValueError("overlap must be smaller than the passage")
+    return passage - overlap
 
 
 def segment(
@@ -54,23 +77,40 @@ def segment(
 
     A passage holds ``passage`` whitespace-separated tokens and starts
     ``passage - overlap`` tokens after the one before; the last reaches to the
-    end of the text.
+    end of the text. A null text is one null passage.
     """
-    bounded = _segment_bounds(df.select(key, text), passage, overlap, text)
-    left, right = _bounds(F.col("seg"), passage, overlap, text)
-    return (
-        bounded.withColumn("wide", raw(text, "chars"))
-        .withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("last_seg"))))
-        .withColumn("left", left)
-        .withColumn("right", right)
-        .select(
-            key,
-            "seg",
-            "left",
-            "right",
-            _slice_text(F.col("wide"), F.col("left"), F.col("right") - F.col("left")).alias("passage"),
-        )
-    )
+    step = _step(passage, overlap)
+    names = [key, "seg", "left", "right", "passage"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            breaks, known = _Breaks(batch.column(1)), batch.column(1).is_valid().to_pylist()
+            rows, segs, lefts, rights, cuts = [], [], [], [], []
+
+            def flush() -> pa.RecordBatch:
+                columns = [batch.column(0).take(pa.array(rows, pa.int64()))]
+                columns += [pa.array(values, pa.int32()) for values in (segs, lefts, rights)]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(cuts, pa.binary()).cast(pa.string())], names)
+
+            for row in range(batch.num_rows):
+                in_bytes, in_chars = breaks.of(row)
+                count = len(in_bytes) - 1
+                for seg in range(_segments(count, passage, step)):
+                    first, last = _ends(seg, count, passage, step)
+                    rows.append(row)
+                    segs.append(seg)
+                    lefts.append(int(in_chars[first]))
+                    rights.append(int(in_chars[last]) if known[row] else None)
+                    cuts.append(breaks.cut(row, in_bytes[first], in_bytes[last]) if known[row] else None)
+                    if len(rows) >= PASSAGES_PER_BATCH:
+                        yield flush()
+                        rows, segs, lefts, rights, cuts = [], [], [], [], []
+            if rows:
+                yield flush()
+
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, seg int, left int, right int, passage string"
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 def choose_passage(
@@ -85,14 +125,27 @@ def choose_passage(
 
     The pick is made inside the row, without cutting the other passages.
     """
-    bounded = _segment_bounds(df, passage, 0, text).withColumn(
-        "seg", F.pmod(stable_hash(key, seed=seed), F.col("last_seg") + 1).cast("int")
+    marked = df.withColumn("passage", stable_hash(key, seed=seed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            breaks, known = _Breaks(texts), texts.is_valid().to_pylist()
+            cuts = []
+            for row, draw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                in_bytes, in_chars = breaks.of(row)
+                count = len(in_bytes) - 1
+                first, last = 0, count
+                if in_chars[-1] > max_length:
+                    first, last = _ends(draw % _segments(count, passage, passage), count, passage, passage)
+                cuts.append(breaks.cut(row, in_bytes[first], in_bytes[last]) if known[row] else None)
+            columns = [*batch.columns[:-1], pa.array(cuts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    columns = [f"`{field.name}` {field.dataType.simpleString()}" for field in df.schema if field.name != "passage"]
+    return marked.select(*[name for name in df.columns if name != "passage"], "passage").mapInArrow(
+        run, ", ".join([*columns, "passage string"])
     )
-    left, right = _bounds(F.col("seg"), passage, 0, text)
-    picked = _slice_text(raw(text, "chars"), left, right - left)
-    return bounded.withColumn(
-        "passage", F.when(F.length(text) > max_length, picked).otherwise(F.col(text))
-    ).drop("breaks", "last_seg", "seg")
 
 
 def query_windows(

@@ -139,6 +139,48 @@ def between_percentiles(df: DataFrame, column: str, low: float, high: float) ->
     )
 
 
+def threshold_table(df: DataFrame, column: str, percents: Sequence[float], accuracy: int = 1000) -> DataFrame:
+    """What each cut-off percentile would keep: ``percent, threshold, sketched, below, above, n, rank_error``.
+
+    ``threshold`` is exact and interpolated. ``sketched`` is read from a
+    mergeable sketch made in one pass, whose rank is off by ``1 / accuracy`` of
+    the rows and one row at most; ``rank_error`` is by how much it is. All rows are counted
+    against all thresholds in a single scan.
+    """
+    names = [f"p{i}" for i in range(len(percents))]
+    exact = materialize(exact_quantiles(df, column, {name: p / 100 for name, p in zip(names, percents, strict=True)}))
+    points = F.array(*[F.lit(p / 100) for p in percents])
+    sketch = materialize(df.agg(F.percentile_approx(column, points, accuracy).alias("found")))
+    value = F.col(column)
+    counts = [F.count(value).alias("n")]
+    for i, name in enumerate(names):
+        bound, near = exact.select(name).scalar(), sketch.select(F.col("found")[i]).scalar()
+        counts += [
+            F.count_if(value < bound).alias(f"below_{i}"),
+            F.count_if(value > bound).alias(f"above_{i}"),
+            F.count_if(value < near).alias(f"under_{i}"),
+            F.count_if(value <= near).alias(f"upto_{i}"),
+        ]
+    counted = materialize(df.agg(*counts))
+    size = F.col("n").cast("double")
+    rows = [
+        F.struct(
+            F.lit(float(percent)).alias("percent"),
+            exact.select(name).scalar().alias("threshold"),
+            sketch.select(F.col("found")[i]).scalar().cast("double").alias("sketched"),
+            F.col(f"below_{i}").alias("below"),
+            F.col(f"above_{i}").alias("above"),
+            # Equal values fill a span of ranks; the distance is to the nearest of them.
+            F.col("n"),
+            F.greatest(
+                F.col(f"under_{i}") / size - percent / 100, F.lit(percent / 100) - F.col(f"upto_{i}") / size, F.lit(0.0)
+            ).alias("rank_error"),
+        )
+        for i, (name, percent) in enumerate(zip(names, percents, strict=True))
+    ]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def length_envelope(
     df: DataFrame, center: float = 590.0, spread: float = 10000.0, length: str = "text_length"
 ) -> DataFrame:

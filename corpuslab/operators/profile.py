@@ -182,6 +182,19 @@ def top_of_group(df: DataFrame, keys: Sequence[str], payload: Sequence[str], col
     )
 
 
+def last_of_groups(df: DataFrame, keys: Sequence[str], order: str, count: int, shares: int = 64) -> DataFrame:
+    """The ``count`` rows of the highest ``order`` of each group.
+
+    Taken of each share of a group first, so that no task ranks a whole group;
+    ``order`` is unique within it.
+    """
+    share = F.pmod(F.xxhash64(*keys, order), F.lit(shares))
+    some = Window.partitionBy(*keys, "__share").orderBy(F.desc(order))
+    few = df.withColumn("__share", share).withColumn("__at", F.row_number().over(some)).filter(F.col("__at") <= count)
+    ranked = few.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
+    return ranked.filter(F.col("__at") <= count).drop("__share", "__at")
+
+
 def rows_in_order(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """1-based row number within groups that are known to be small."""
     return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

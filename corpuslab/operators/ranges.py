@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators.scans import running
+
 
 def merge_ranges(df: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Merge overlapping and touching ranges of each key.
@@ -31,35 +33,36 @@ def merge_ranges(df: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
 def assign_document(
     positions: DataFrame,
     offsets: DataFrame,
-    bucket: int = 1 << 16,
     key: str = "doc_id",
     separator_bytes: int = 0,
 ) -> DataFrame:
     """Find the document each global byte position lies in.
 
     ``positions`` has ``pos``; ``offsets`` has ``(key, start, end)`` as made by
-    ``byte_offsets``. Both sides meet on buckets of the position, so this is an
-    equi-join with a comparison on top, not a comparison of all pairs. With
-    ``separator_bytes`` a position in the separator after a document belongs to
-    that document. A position in no document keeps its row, with nulls.
+    ``byte_offsets``. An as-of join: both sides are ranged by position together
+    and every position takes the last start before it, which a range hands on
+    to the next. However many positions lie in one spot, they are spread like
+    all others. With ``separator_bytes`` a position in the separator after a
+    document belongs to that document. A position in no document keeps its row,
+    with nulls.
     """
-    reach = F.col("end") + F.lit(separator_bytes)
-    spans = offsets.select(key, "start", reach.alias("end")).filter(F.col("end") > F.col("start")).withColumn(
-        "bucket",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("start") / bucket), F.floor((F.col("end") - F.lit(1)) / bucket)
-            )
-        ),
+    given = F.struct(*[F.col(f"`{name}`") for name in positions.columns])
+    document = F.struct(F.col(key).alias("key"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    nothing = positions.select(given.alias("given")).schema["given"].dataType
+    starts = offsets.select(
+        F.col("start").cast("bigint").alias("at"), F.lit(0).alias("kind"), F.col("end").cast("bigint").alias("until"),
+        document.alias("document"), F.lit(None).cast(nothing).alias("given"),
     )
-    placed = positions.withColumn("bucket", F.floor(F.col("pos") / bucket)).alias("p")
-    inside = (
-        (F.col("p.bucket") == F.col("s.bucket"))
-        & (F.col("p.pos") >= F.col("s.start"))
-        & (F.col("p.pos") < F.col("s.end"))
+    asked = positions.select(
+        F.col("pos").cast("bigint").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("until"),
+        F.lit(None).cast(starts.schema["document"].dataType).alias("document"), given.alias("given"),
     )
-    return placed.join(spans.alias("s"), inside, "left").select(
-        *[F.col(f"p.`{name}`") for name in positions.columns],
-        F.col(f"s.`{key}`"),
-        (F.col("p.pos") - F.col("s.start")).alias("pos_in_doc"),
+    # Of documents with one start, the empty ones come before the one that holds the position.
+    placed = running(starts.unionByName(asked), "document", ["at", "kind", "until"], "last", name="holder")
+    reach = F.col("holder.end") + F.lit(separator_bytes)
+    inside = (F.col("at") < reach) & (F.col("holder.end") + F.lit(separator_bytes) > F.col("holder.start"))
+    return placed.filter("kind = 1").select(
+        *[F.col(f"given.`{name}`") for name in positions.columns],
+        F.when(inside, F.col("holder.key")).alias(key),
+        F.when(inside, F.col("at") - F.col("holder.start")).alias("pos_in_doc"),
     )

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.profile import last_of_groups
+from corpuslab.operators.scans import neighbours
+from corpuslab.session import materialize
+
 # Fields of an iteration line, their column and type.
 ITERATION_FIELDS = {
     "consumed samples": ("samples", "bigint"),
@@ -30,7 +36,8 @@ ERROR_STRINGS = (
 
 
 def iteration_records(lines: DataFrame) -> DataFrame:
-    """One typed row per iteration line; fields a line lacks are null."""
+    """One typed row per iteration line, with its place in the log if it has one; fields a line lacks are null."""
+    order = [name for name in ("at", "line") if name in lines.columns]
     body = F.regexp_extract("value", r"(iteration\s+\d+/.*)$", 1)
     fields = F.str_to_map(body, F.lit(r"\s*\|\s*"), F.lit(r":\s+"))
     columns = [
@@ -45,6 +52,7 @@ def iteration_records(lines: DataFrame) -> DataFrame:
             F.regexp_extract("value", r"iteration\s+(\d+)/", 1).cast("bigint").alias("iteration"),
             F.regexp_extract("value", r"iteration\s+\d+/\s*(\d+)", 1).cast("bigint").alias("planned"),
             *columns,
+            *order,
         )
     )
 
@@ -178,14 +186,47 @@ def unranked_errors(errors: DataFrame) -> DataFrame:
 
 
 def throughput(records: DataFrame) -> DataFrame:
-    """Last iteration, last and best loss and mean speed of every run."""
+    """Last iteration, last known and best loss and mean speed of every run."""
     return records.groupBy("run").agg(
         F.max("iteration").alias("last_iteration"),
-        F.max_by("lm_loss", "iteration").alias("last_loss"),
+        F.max_by("lm_loss", F.when(F.col("lm_loss").isNotNull(), F.col("iteration"))).alias("last_loss"),
+        F.min("lm_loss").alias("best_loss"),
+        F.avg("samples_per_second").alias("samples_per_second"),
+        F.avg("tflops").alias("tflops"),
+    )
+
+
+def run_summary(records: DataFrame, order: Sequence[str], tail: int = 10, limit: float = 1.0) -> DataFrame:
+    """One row per run, restarts taken into account.
+
+    ``order`` is the place of a record in its run's log. Where iteration numbers
+    do not rise the run was started anew (``restarts``), and of the records of
+    one iteration the last counts. ``tail_spread`` is the distance between the
+    highest and the lowest of the last ``tail`` losses. ``blown_up`` says that
+    it, or how far the last loss lies above the best, exceeds ``limit``, or that
+    the last loss is no number; null if no loss is known.
+    """
+    places = [name for name in order]
+    followed = neighbours(records.select("run", "iteration", *places), "iteration", places, ["run"])
+    starts = followed.groupBy("run").agg(F.count_if(F.col("iteration") <= F.col("previous")).alias("restarts"))
+    known = ("lm_loss", "samples_per_second", "tflops")
+    last = F.max_by(F.struct(*known), F.struct(*places)).alias("last")
+    kept = materialize(records.groupBy("run", "iteration").agg(last).select("run", "iteration", "last.*"))
+    losses = kept.filter("lm_loss is not null")
+    whole = kept.groupBy("run").agg(
+        F.count("*").alias("iterations"),
+        F.max("iteration").alias("last_iteration"),
         F.min("lm_loss").alias("best_loss"),
         F.avg("samples_per_second").alias("samples_per_second"),
         F.avg("tflops").alias("tflops"),
     )
+    ends = last_of_groups(losses, ["run"], "iteration", tail).groupBy("run").agg(
+        F.max_by("lm_loss", "iteration").alias("last_loss"), (F.max("lm_loss") - F.min("lm_loss")).alias("tail_spread")
+    )
+    above = F.col("last_loss") - F.col("best_loss")
+    blown = (F.col("tail_spread") > limit) | (above > limit) | F.isnan("last_loss")
+    flagged = F.when(F.col("last_loss").isNotNull(), blown)
+    return whole.join(starts, "run").join(ends, "run", "left").withColumn("blown_up", flagged)
 
 
 def relative_throughput(summary: DataFrame, base_run: str) -> DataFrame:

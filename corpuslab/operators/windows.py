@@ -180,45 +180,3 @@ def query_window_texts(
 
     schema = f"`{key}` {_field_type(df, key)}, pos bigint, window string"
     return df.select(key, text).mapInArrow(run, schema)
-
-
-def cover_window_hashes(df: DataFrame, length: int, unit: str, text: str) -> DataFrame:
-    """``(text, at, anchor, hash1, hash2, pieces)``: windows that cover each text of ``length`` units or more.
-
-    They start at every multiple of ``length`` that leaves room and at the end.
-    """
-    names = [text, "at", "anchor", "hash1", "hash2", "pieces"]
-
-    def work(batch, row):
-        codes = rolling.text_codes(batch.column(0)[row].as_py(), unit)
-        last = len(codes) - length
-        starts = np.unique(np.append(np.arange(0, last + 1, length), last))
-        for at, anchor, hash1, hash2 in rolling.windows_at(codes, length, starts):
-            yield at, anchor, hash1, hash2, np.full(len(at), len(starts), np.int64)
-
-    schema = f"`{text}` string, at bigint, anchor bigint, hash1 bigint, hash2 bigint, pieces bigint"
-    return df.select(text).mapInArrow(_per_text(names, work), schema)
-
-
-def windows_like(df: DataFrame, like: DataFrame, length: int, unit: str, key: str, text: str) -> DataFrame:
-    """``(key, pos, hash1, hash2)`` of all windows whose content may be in ``like(hash1)``.
-
-    Tasks are sent a map of 2**20 bits, in which every ``hash1`` has one, so
-    what passes is to be joined; nothing that is in ``like`` is missed.
-    """
-    names = [key, "pos", "hash1", "hash2"]
-    size = 1 << 20
-    known = np.zeros(size, bool)
-    known[[row["bit"] for row in like.select(F.pmod("hash1", F.lit(size)).alias("bit")).distinct().collect()]] = True
-    bits = np.packbits(known)
-
-    def work(batch, row):
-        codes = rolling.text_codes(batch.column(1)[row].as_py(), unit)
-        whole = np.zeros(1, np.int64), np.full(1, len(codes) - length, np.int64)
-        for at, hash1, hash2 in rolling.windows_in(codes, length, *whole):
-            bit = (hash1 & np.uint64(size - 1)).astype(np.int64)
-            kept = (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-            yield at[kept], hash1[kept], hash2[kept]
-
-    schema = f"`{key}` {_field_type(df, key)}, pos bigint, hash1 bigint, hash2 bigint"
-    return df.select(key, text).mapInArrow(_per_text(names, work), schema)

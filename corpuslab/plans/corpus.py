@@ -232,8 +232,14 @@ def segments_sql(passage: int, step: int) -> str:
 
 
 @query(
-    f"WITH {segments_sql(64, 48)} SELECT doc_id, seg, seg_start, seg_end, "
-    "substr(text, seg_start + 1, seg_end - seg_start) AS passage FROM segments"
+    f"""WITH {segments_sql(64, 48)},
+    blocks AS (SELECT doc_id, b, substr(text, (b + 1)::BIGINT, 1000) AS piece
+               FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS b FROM documents)),
+    parts AS (SELECT s.doc_id, seg, seg_start, seg_end, b, substr(piece, greatest(seg_start - b, 0)::BIGINT + 1,
+                (least(seg_end - b, 1000) - greatest(seg_start - b, 0))::BIGINT) AS part
+              FROM segments s JOIN blocks k ON k.doc_id = s.doc_id AND b + 1000 > seg_start AND b < seg_end)
+    SELECT doc_id, seg, seg_start, seg_end, coalesce(passage, '') AS passage FROM segments LEFT JOIN
+      (SELECT doc_id, seg, string_agg(part, '' ORDER BY b) AS passage FROM parts GROUP BY doc_id, seg) USING (doc_id, seg)"""
 )
 def segments(spark, folder):
     """Passages of 64 tokens that overlap by 16."""
@@ -336,6 +342,34 @@ def ppl_mid(spark, folder):
     return perplexity.between_percentiles(perplexity.materialize(_scores(spark, folder)), "perplexity", 25, 75)
 
 
+@query(
+    "WITH " + SCORES_SQL
+    + """SELECT least(floor(least(perplexity, 20000.0::DOUBLE) / 200), 99)::BIGINT AS bin, count(*)::BIGINT AS count
+    FROM scores GROUP BY bin"""
+)
+def ppl_histogram(spark, folder):
+    """Documents per bin of perplexity, high ones in the last bin."""
+    return profile.histogram(_scores(spark, folder), "perplexity", 100, 0, 20000, clip=20000).select("bin", "count")
+
+
+PERCENTS = (5.0, 10.0, 25.0, 50.0, 75.0, 90.0, 95.0)
+
+
+@query(
+    "WITH " + SCORES_SQL
+    + f""", cuts AS (SELECT unnest({list(PERCENTS)}::DOUBLE[]) AS p,
+      unnest(quantile_cont(perplexity, {[p / 100 for p in PERCENTS]})) AS t FROM scores)
+    SELECT p AS percent, round(t, 6) AS threshold, (SELECT count(*) FROM scores WHERE perplexity < t)::BIGINT AS below,
+      (SELECT count(*) FROM scores WHERE perplexity > t)::BIGINT AS above, true AS sketch_holds FROM cuts"""
+)
+def ppl_thresholds(spark, folder):
+    """What each percentile of perplexity would keep, exactly and by a sketch of one pass."""
+    found = perplexity.threshold_table(perplexity.materialize(_scores(spark, folder)), "perplexity", PERCENTS)
+    return found.select(
+        "percent", F.round("threshold", 6).alias("threshold"), "below", "above", (F.col("rank_error") <= 0.001 + 1 / F.col("n")).alias("sketch_holds")
+    )
+
+
 @query(
     "WITH " + SCORES_SQL
     + """SELECT doc_id, perplexity, round(590 - 10000 / cbrt(length(text)), 6) AS lower_bound,

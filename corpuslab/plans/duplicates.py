@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.hashing import unit_interval
 from corpuslab.operators import duplicates as dup
-from corpuslab.operators import lookup
+from corpuslab.operators import lookup, near
 from corpuslab.operators.profile import in_ratio
 from corpuslab.plans.registry import query, table
 from corpuslab.session import materialize
@@ -236,29 +236,71 @@ def two_tier_filter(spark, folder):
     return dup.dedup_filter(marked.join(found, "doc_id", "left")).select("doc_id", "included_in_dedup")
 
 
-@query(
-    """WITH parts AS (SELECT DISTINCT unnest(string_split(text, '. ')) AS query FROM benchmark),
-    usable AS (SELECT query FROM parts WHERE length(query) >= 20)
-    SELECT query, coalesce(sum((length(text) - length(replace(text, query, ''))) // length(query)), 0)::BIGINT AS occurrences,
-           count(*) FILTER (contains(text, query))::BIGINT AS num_docs
-    FROM usable CROSS JOIN documents GROUP BY query"""
-)
+# Starts of all sentences, one after the other, so that overlaps are found.
+STARTS_SQL = """WITH RECURSIVE parts AS (SELECT DISTINCT unnest(string_split(text, '. ')) AS query FROM benchmark),
+usable AS (SELECT query FROM parts WHERE length(query) > 0),
+starts AS (SELECT query, doc_id, instr(text, query)::BIGINT AS place FROM usable, documents WHERE contains(text, query)
+  UNION ALL
+  SELECT s.query, s.doc_id, s.place + instr(substr(d.text, s.place + 1), s.query) FROM starts s JOIN documents d USING (doc_id)
+  WHERE contains(substr(d.text, s.place + 1), s.query))
+"""
+COUNTS_SQL = STARTS_SQL + """SELECT query, count(place)::BIGINT AS occurrences, count(DISTINCT doc_id)::BIGINT AS num_docs
+FROM usable LEFT JOIN starts USING (query) GROUP BY query"""
+
+
+def _sentences(spark, folder):
+    return table(spark, folder, "benchmark").select(F.explode(F.split("text", r"\. ", -1)).alias("query"))
+
+
+@query(COUNTS_SQL)
 def count_occurrences(spark, folder):
     """How often each sentence of the second corpus occurs in the documents."""
-    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
-    parts = items.select(F.explode(F.split("text", r"\. ", -1)).alias("query")).filter(F.length("query") >= 20)
-    return lookup.count_occurrences(docs, parts)
+    return lookup.count_occurrences(table(spark, folder, "documents"), _sentences(spark, folder))
+
+
+@query(COUNTS_SQL)
+def count_all_occurrences(spark, folder):
+    """The same counts, found in the bytes of the texts."""
+    return lookup.count_occurrences(table(spark, folder, "documents"), _sentences(spark, folder), unit="bytes")
+
+
+@query(STARTS_SQL + "SELECT query, doc_id, (place - 1)::BIGINT AS pos FROM starts")
+def occurrence_positions(spark, folder):
+    """Where each sentence of the second corpus occurs in the documents."""
+    return lookup.occurrence_positions(table(spark, folder, "documents"), _sentences(spark, folder))
+
+
+# All pairs of documents that share a shingle, and the clusters their links make.
+NEAR_SQL = """WITH RECURSIVE
+split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+named AS (SELECT a AS doc_id, min(b) AS cluster_id, count(*)::BIGINT AS cluster_size FROM reached GROUP BY a)
+"""
 
 
 @query(
-    """WITH parts AS (SELECT DISTINCT unnest(string_split(text, '. ')) AS query FROM benchmark),
-    usable AS (SELECT query FROM parts WHERE length(query) > 0)
-    SELECT query, coalesce(sum((length(text) - length(replace(text, query, ''))) // length(query)), 0)::BIGINT AS occurrences,
-           count(*) FILTER (contains(text, query))::BIGINT AS num_docs
-    FROM usable CROSS JOIN documents GROUP BY query"""
+    NEAR_SQL
+    + """SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, cluster_size > 1 AS near_dup, cluster_id, cluster_size
+    FROM named LEFT JOIN sizes USING (doc_id)"""
 )
-def count_all_occurrences(spark, folder):
-    """How often each sentence of the second corpus occurs in the documents, short ones too."""
-    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
-    parts = items.select(F.explode(F.split("text", r"\. ", -1)).alias("query"))
-    return lookup.count_occurrences(docs, parts)
+def near_duplicates(spark, folder):
+    """Clusters of documents that share four fifths of their five-word shingles."""
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
+@query(
+    NEAR_SQL + "," + WINDOWS_SQL.format(docs="documents")
+    + """SELECT doc_id, cluster_id, cluster_size FROM named WHERE cluster_size > 1 AND doc_id NOT IN (SELECT doc_id FROM ranges)"""
+)
+def near_only(spark, folder):
+    """Near duplicates in which no exact range was found."""
+    docs = table(spark, folder, "documents")
+    found = materialize(near.near_duplicates(docs))
+    marked = dup.annotate_duplicates(docs, LENGTH).select("doc_id", "dup_ratio").join(found, "doc_id")
+    return dup.near_only(marked).select("doc_id", "cluster_id", "cluster_size")

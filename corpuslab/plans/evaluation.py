@@ -291,18 +291,31 @@ def improving_curves(spark, folder):
     return found.select("user_id", "event_id", "value")
 
 
+@query(
+    """WITH n AS (SELECT user_id, event_id, value, lag(value) OVER w AS p, lead(value) OVER w AS f FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, value, CASE WHEN value > p THEN 'peak' ELSE 'valley' END AS kind FROM n
+    WHERE (value > p AND value > f) OR (value < p AND value < f)"""
+)
+def turning_points(spark, folder):
+    """Where every user's values stop rising or falling."""
+    return curves.turning_points(table(spark, folder, "events"), ["user_id"], "event_id", "value")
+
+
 # ------------------------------------------------------------------- logs
 # Every event writes one log line; its type decides which kind.
 
 
-def _lines(spark, folder):
+def _lines(spark, folder, iterations: int | None = None):
+    """``iterations``: runs start anew after so many events."""
+    number = F.col("event_id") if iterations is None else F.col("event_id") % iterations
     loss = F.when(F.col("user_id") % 2 == 0, F.format_string(" lm loss: %.6E |", "value")).otherwise("")
     iteration = F.format_string(
         "0:  iteration %8d/  148693 | consumed samples: %12d | consumed tokens: %12d | "
         "elapsed time per iteration (s): %.2f | learning rate: 1.449E-04 | global batch size:   128 |%s "
         "loss scale: 1.0 | grad norm: 2.698 | num zeros: 0.0 | number of skipped iterations:   0 | "
         "number of nan iterations:   0 | samples per second: %.3f | TFLOPs: 31.35 |",
-        "event_id", F.col("event_id") * 128, F.col("event_id") * 262144, F.col("value"), loss, F.col("value") / 10,
+        number, F.col("event_id") * 128, F.col("event_id") * 262144, F.col("value"), loss, F.col("value") / 10,
     )
     valid = F.format_string(
         "0: valid loss at iteration %d | lm loss value: %.6E | lm loss PPL: %.6E | ", "event_id", "value", F.col("value") * 2
@@ -320,7 +333,7 @@ def _lines(spark, folder):
         .otherwise(failure)
     )
     run = F.concat(F.lit("r"), (F.col("user_id") % 7).cast("string"))
-    return table(spark, folder, "events").select(run.alias("run"), value.alias("value"))
+    return table(spark, folder, "events").select(run.alias("run"), F.col("event_id").alias("line"), value.alias("value"))
 
 
 RECORDS_SQL = """WITH records AS (SELECT 'r' || (user_id % 7) AS run, event_id AS iteration, 148693::BIGINT AS planned, event_id * 128 AS samples,
@@ -330,10 +343,13 @@ RECORDS_SQL = """WITH records AS (SELECT 'r' || (user_id % 7) AS run, event_id A
 """
 
 
-@query(RECORDS_SQL + "SELECT * FROM records")
+@query(
+    RECORDS_SQL + """SELECT *, 1.0::DOUBLE AS loss_scale, 2.698::DOUBLE AS grad_norm, 0::BIGINT AS skipped, 0::BIGINT AS nan
+    FROM records"""
+)
 def iteration_records(spark, folder):
     """Typed records of the iteration lines."""
-    return trainlogs.iteration_records(_lines(spark, folder)).drop("loss_scale", "grad_norm", "skipped", "nan")
+    return trainlogs.iteration_records(_lines(spark, folder)).drop("line")
 
 
 @query(
@@ -385,7 +401,7 @@ def unranked_errors(spark, folder):
     RECORDS_SQL
     + """, s AS (SELECT run, max(iteration) AS last_iteration, arg_max(lm_loss, iteration) FILTER (lm_loss IS NOT NULL) AS best_known,
       min(lm_loss) AS best_loss, avg(samples_per_second) AS speed FROM records GROUP BY run)
-    SELECT run, last_iteration, best_loss, round(speed, 6) AS samples_per_second,
+    SELECT run, last_iteration, best_known AS last_loss, best_loss, 31.35::DOUBLE AS tflops, round(speed, 6) AS samples_per_second,
       round(100.0 * speed / (SELECT speed FROM s WHERE run = 'r0'), 6) AS percent_of_base FROM s"""
 )
 def relative_throughput(spark, folder):
@@ -395,7 +411,34 @@ def relative_throughput(spark, folder):
     return found.select(
         "run",
         "last_iteration",
+        "last_loss",
         "best_loss",
+        F.round("tflops", 6).alias("tflops"),
         F.round("samples_per_second", 6).alias("samples_per_second"),
         F.round("percent_of_base", 6).alias("percent_of_base"),
     )
+
+
+@query(
+    """WITH lines AS (SELECT 'r' || (user_id % 7) AS run, event_id AS line, event_id % 500 AS iteration, event_id * 262144 AS tokens,
+      CASE WHEN user_id % 2 = 0 THEN value END AS lm_loss, round(value / 10, 3) AS speed FROM events WHERE event_type = 'click'),
+    steps AS (SELECT *, lag(iteration) OVER (PARTITION BY run ORDER BY line) AS p FROM lines),
+    starts AS (SELECT run, count(*) FILTER (iteration <= p)::BIGINT AS restarts FROM steps GROUP BY run),
+    kept AS (SELECT run, iteration, arg_max(struct_pack(l := lm_loss, s := speed), line) AS r FROM lines GROUP BY run, iteration),
+    known AS (SELECT run, iteration, r.l AS loss, r.s AS speed FROM kept),
+    ends AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY iteration DESC) AS back FROM known WHERE loss IS NOT NULL),
+    tails AS (SELECT run, max(loss) - min(loss) AS spread FROM ends WHERE back <= 10 GROUP BY run),
+    whole AS (SELECT run, count(*)::BIGINT AS iterations, max(iteration) AS last_iteration, arg_max(loss, iteration) AS last_loss,
+      min(loss) AS best_loss, avg(speed) AS speed FROM known GROUP BY run)
+    SELECT run, iterations, restarts, last_iteration, last_loss, best_loss, round(speed, 6) AS samples_per_second,
+      round(spread, 6) AS tail_spread, spread > 350 OR last_loss - best_loss > 350 AS blown_up
+    FROM whole JOIN starts USING (run) LEFT JOIN tails USING (run)"""
+)
+def run_summary(spark, folder):
+    """Runs that start anew now and then, with what their last iterations say."""
+    records = materialize(trainlogs.iteration_records(_lines(spark, folder, 500)))
+    found = trainlogs.run_summary(records, ["line"], tail=10, limit=350.0)
+    return found.select(
+        "run", "iterations", "restarts", "last_iteration", "last_loss", "best_loss",
+        F.round("samples_per_second", 6).alias("samples_per_second"), F.round("tail_spread", 6).alias("tail_spread"), "blown_up",
+    )

@@ -69,9 +69,9 @@ def test_byte_offsets_and_positions(spark):
     offsets = order.byte_offsets(df, "doc_id")
     assert rows(offsets) == [(1, 6, 8), (2, 14, 16), (3, 22, 22)]
     positions = spark.createDataFrame([(6,), (7,), (8,), (15,), (22,)], "pos bigint")
-    found = rows(ranges.assign_document(positions, offsets, bucket=4))
+    found = rows(ranges.assign_document(positions, offsets))
     assert found == [(6, 1, 0), (7, 1, 1), (8, None, None), (15, 2, 1), (22, None, None)]
-    found = rows(ranges.assign_document(positions, offsets, bucket=4, separator_bytes=6))
+    found = rows(ranges.assign_document(positions, offsets, separator_bytes=6))
     assert found == [(6, 1, 0), (7, 1, 1), (8, 1, 2), (15, 2, 1), (22, 3, 0)]
 
 
