@@ -8,10 +8,12 @@ and so do its own beginnings: all shorter counts follow from the flow of the
 nodes and the piece ends, without another look at the texts. Nodes that follow
 one another without a branch (unary paths) are compacted to one passage.
 
-Grams below the minimum are in no candidate and in no part of one. Words and
-pairs that are surely below it cut the pieces. They are known from maps of a
-fixed number of bits, in which every frequent word or pair has one: what is
-frequent is never cut, whatever the size of the tables.
+Grams below the minimum are in no candidate and in no part of one, so the gram
+at a word goes only as far as every shorter gram in it may be frequent. That is
+known from a map for each size, of a fixed number of bits, in which every
+frequent gram has one: what is frequent is never cut short, whatever the size of
+the tables. Sizes are counted one after the other, each only where the maps of
+the sizes before leave a chance.
 """
 
 from __future__ import annotations
@@ -64,9 +66,10 @@ def mine_phrases(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"),
     )
-    words = _bits(_codes(rows, None), minimum)
-    pairs = _bits(_codes(rows, words), minimum)
-    counted = rows.mapInArrow(_edges(words, pairs, longest), "lang string, gram string, size int, n bigint")
+    maps: list[np.ndarray] = []
+    for _ in range(1, longest):
+        maps.append(_bits(_codes(rows, list(maps)), minimum))
+    counted = rows.mapInArrow(_edges(maps, longest), "lang string, gram string, size int, n bigint")
     edges = materialize(counted.groupBy("lang", "gram", "size").agg(F.sum("n").alias("n")))
     totals = materialize(edges.filter("size = 0").select("lang", F.col("n").alias("total")))
     frequent = materialize(_frequent(edges.filter("size > 0"), minimum, longest))
@@ -226,12 +229,27 @@ class _Words:
         seeds = np.array([int.from_bytes(_digest(lang), "little") for lang in known], np.uint64)
         self.code = mix(plain + seeds[self.lang]) if len(plain) else plain
 
-    def pair_codes(self) -> np.ndarray:
-        return mix(self.code[:-1] * _ODD[1] + self.code[1:] * _ODD[2])
-
-    def together(self) -> np.ndarray:
-        """Whether a word and the next are in one piece."""
-        return self.piece[:-1] == self.piece[1:]
+    def gram_codes(self, size: int) -> np.ndarray:
+        """A hash of the gram of ``size`` words at every word that has as many after it."""
+        count = max(0, len(self.code) - size + 1)
+        if size == 1:
+            return self.code
+        total = np.zeros(count, np.uint64)
+        for offset in range(size):
+            total += self.code[offset : offset + count] * _ODD[offset + size]
+        return mix(total)
+
+    def possible(self, maps: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """For sizes 1, 2, ... whether the gram at each word may be frequent; the last size is not in the maps."""
+        inside = self.piece[:-1] == self.piece[1:]
+        able = np.ones(len(self.code), bool)
+        for size, bits in enumerate([*maps, None], 1):
+            if size > 1:
+                # Both grams of one word less, in one piece.
+                able = able[:-1] & able[1:] & inside[: len(able) - 1] if len(able) > 1 else able[:0]
+            if bits is not None:
+                able = able & _has(bits, self.gram_codes(size)[: len(able)])
+            yield able
 
 
 def _digest(lang: str) -> bytes:
@@ -258,16 +276,13 @@ def _has(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _codes(rows: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """``(code, n)`` of words, or of pairs of words that may be frequent; counts of single blocks."""
+def _codes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """``(code, n)`` of the grams one word longer than the maps tell of; counts of single blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            if words is None:
-                codes = block.code
-            else:
-                known = _has(words, block.code)
-                codes = block.pair_codes()[block.together() & known[:-1] & known[1:]] if len(known) else block.code
+            *_, able = block.possible(maps)
+            codes = block.gram_codes(len(maps) + 1)[: len(able)][able]
             values, counts = np.unique(codes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["code", "n"])
 
@@ -283,25 +298,22 @@ def _bits(codes: DataFrame, minimum: int) -> np.ndarray:
     return np.packbits(bits)
 
 
-def _edges(words: np.ndarray, pairs: np.ndarray, longest: int):
+def _edges(maps: list[np.ndarray], longest: int):
     names = ["lang", "gram", "size", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            count = len(block.code)
             for at, total in enumerate(np.bincount(block.lang, minlength=len(block.langs)).tolist()):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block.langs[at]]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([total])], names
                 )
-            if not count:
+            reach = np.zeros(len(block.code), np.int64)
+            for size, able in enumerate(block.possible(maps), 1):
+                reach[: len(able)][able] = size
+            places = np.flatnonzero(reach)
+            if not len(places):
                 continue
-            known = _has(words, block.code)
-            joined = block.together() & known[:-1] & known[1:]
-            joined &= _has(pairs, block.pair_codes())
-            # Places after which a piece is cut, and so the words from each place to the cut.
-            cuts = np.append(np.flatnonzero(~joined), count - 1)
-            places = np.flatnonzero(known)
-            size = np.minimum(cuts[np.searchsorted(cuts, places)] - places + 1, longest)
+            size = reach[places]
             code = mix(size.astype(np.uint64))
             for offset in range(longest):
                 here = size > offset
