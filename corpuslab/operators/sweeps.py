@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpuslab.functions import laws
@@ -143,37 +143,80 @@ def objective(runs: DataFrame, grid: list[tuple], loss: str = "loss", base: Law
     )
 
 
-def grid_fit(
+def objectives(
+    runs: DataFrame, subsets: dict[str, Column], grids: dict[str, list[tuple]], loss: str = "loss", base: Law = C4_LAW
+) -> DataFrame:
+    """``objective`` of every point of the grid of every subset: ``(subset, param_id, constants, objective)``.
+
+    One scan of the runs: a run is dealt to all subsets whose condition it
+    meets, each of which tries its own grid.
+    """
+    met = F.array(*[F.when(condition, F.lit(name)) for name, condition in subsets.items()])
+    dealt = runs.withColumn("subset", F.explode(F.array_compact(met)))
+    given = dealt.select("subset", "params", "tokens", "unique_tokens", loss)
+    prepared, point = laws.staged(given, F.col("params"), F.col("tokens"), F.col("unique_tokens"), base)
+    own = F.coalesce(*[F.when(F.col("subset") == name, _grid_column(grid)) for name, grid in grids.items()])
+    tried = prepared.select("*", F.inline(own))
+    point = replace(point, law=Law(*[F.col(name) for name in FIELDS]))
+    return (
+        tried.withColumn("error", run_error(point, loss))
+        .groupBy("subset", "param_id", *FIELDS)
+        .agg(F.sum("error").alias("objective"))
+    )
+
+
+def subset_fits(
     runs: DataFrame,
+    subsets: dict[str, Column],
     axes: dict[str, Sequence[float]],
     rounds: int = 3,
     fixed: Law = C4_LAW,
     tie: bool = False,
     loss: str = "loss",
 ) -> DataFrame:
-    """Best constants by coarse-to-fine search.
+    """Best constants of every named subset of the runs: ``(subset, constants, objective)``.
 
-    Each round scores a grid over all runs, then shrinks every free axis around
-    the best point to the spacing of the grid. The driver sees one row a round.
+    Coarse-to-fine search, all subsets at once: each round scores a grid for
+    each subset in one scan, then shrinks every free axis around the best point
+    to the spacing of its grid. The driver sees one row per subset and round.
+    Subsets may overlap; one without runs, or without a finite objective, has
+    no row.
     """
-    spans = {name: (min(values), max(values), len(values)) for name, values in axes.items()}
-    points = {name: list(values) for name, values in axes.items()}
-    best = None
+    spans = {key: {n: (min(v), max(v), len(v)) for n, v in axes.items()} for key in subsets}
+    points = {key: {n: list(v) for n, v in axes.items()} for key in subsets}
+    best: dict[str, Row] = {}
     for _ in range(rounds):
-        scored = objective(runs, parameter_grid(points, fixed, tie), loss, fixed)
-        found = scored.filter(F.col("objective").isNotNull() & ~F.isnan("objective")).agg(
+        grids = {key: parameter_grid(points[key], fixed, tie) for key in subsets}
+        scored = objectives(runs, subsets, grids, loss, fixed)
+        usable = scored.filter(F.col("objective").isNotNull() & ~F.isnan("objective"))
+        found = usable.groupBy("subset").agg(
             F.min_by(F.struct(*FIELDS, "objective"), F.struct("objective", "param_id")).alias("best")
-        ).select("best.*").first()
-        if best is None or found["objective"] <= best["objective"]:
-            best = found
-        for name, (low, high, count) in spans.items():
-            step = (high - low) / max(count - 1, 1)
-            low, high = best[name] - step, best[name] + step
-            if name in ("d_star", "n_star"):
-                low = max(low, 1e-6)
-            spans[name] = (low, high, count)
-            points[name] = [low + (high - low) * i / max(count - 1, 1) for i in range(count)] + [best[name]]
-    return runs.sparkSession.createDataFrame([tuple(best)], ", ".join(f"{n} double" for n in (*FIELDS, "objective")))
+        )
+        for row in found.collect():
+            key, tried = row["subset"], row["best"]
+            if key not in best or tried["objective"] <= best[key]["objective"]:
+                best[key] = tried
+            for name, (low, high, count) in spans[key].items():
+                step = (high - low) / max(count - 1, 1)
+                low, high = best[key][name] - step, best[key][name] + step
+                if name in ("d_star", "n_star"):
+                    low = max(low, 1e-6)
+                spans[key][name] = (low, high, count)
+                points[key][name] = [low + (high - low) * i / max(count - 1, 1) for i in range(count)] + [best[key][name]]
+    schema = "subset string, " + ", ".join(f"{name} double" for name in (*FIELDS, "objective"))
+    return runs.sparkSession.createDataFrame([(key, *best[key]) for key in sorted(best)], schema)
+
+
+def grid_fit(
+    runs: DataFrame,
+    axes: dict[str, Sequence[float]],
+    rounds: int = 3,
+    fixed: Law = C4_LAW,
+    tie: bool = False,
+    loss: str = "loss",
+) -> DataFrame:
+    """Best constants of all runs by coarse-to-fine search."""
+    return subset_fits(runs, {"all": F.lit(True)}, axes, rounds, fixed, tie, loss).drop("subset")
 
 
 def _distinct_budgets(budgets: DataFrame) -> DataFrame:

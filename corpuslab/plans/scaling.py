@@ -387,10 +387,69 @@ def objective_grid(spark, folder):
     return found.select("d_star", "n_star", F.round("objective", 6).alias("objective"))
 
 
-@query()
+# Subsets of the runs (a condition for Spark, one for SQL); a run may be in several.
+SUBSETS = {
+    "all": ("true", "true"),
+    "small": ("params < 1e9", "n < 1e9"),
+    "large": ("params > 100e6", "n > 100e6"),
+    "scarce": ("unique_tokens = 100e6", "u = 100e6"),
+    "plain": ("loss between 0.5 and 3", "loss BETWEEN 0.5 AND 3"),
+}
+
+
+def _fit_sql(names: list[str], rounds: int) -> str:
+    """The search unrolled: every round's grids, objectives, best points so far and next spans."""
+    chosen = " UNION ALL ".join(f"SELECT '{name}' AS subset, * FROM points WHERE {SUBSETS[name][1]}" for name in names)
+    keys = " UNION ALL ".join(f"SELECT '{name}' AS subset" for name in names)
+    first = list(STARS["d_star"])
+    steps = len(first)
+    parts = [
+        f"dealt AS ({chosen})",
+        f"axes0 AS (SELECT subset, unnest({first}::DOUBLE[]) AS v, unnest(range({steps})) AS i FROM ({keys}))",
+        "ds0 AS (SELECT subset, v, i FROM axes0), ns0 AS (SELECT subset, v, i FROM axes0)",
+        f"spans0 AS (SELECT subset, {first[0]}::DOUBLE AS dl, {first[-1]}::DOUBLE AS dh, {first[0]}::DOUBLE AS nl, {first[-1]}::DOUBLE AS nh FROM ({keys}))",
+    ]
+    for r in range(rounds):
+        before = f"UNION ALL SELECT subset, {r - 1} AS r, 0 AS id, ds, ns, objective FROM best{r - 1}" if r else ""
+        parts += [
+            f"""terms{r} AS (SELECT p.subset, a.i * 100 + b.i AS id, a.v AS ds, b.v AS ns, loss,
+              la - al * ln(un + un * b.v * (1 - exp(-xn / b.v))) AS t1, lb - be * ln(u + u * a.v * (1 - exp(-xd / a.v))) AS t2, le AS t3
+              FROM dealt p JOIN ds{r} a ON a.subset = p.subset JOIN ns{r} b ON b.subset = p.subset)""",
+            f"""errors{r} AS (SELECT subset, id, ds, ns, greatest(t1, t2, t3) + ln(exp(t1 - greatest(t1, t2, t3))
+              + exp(t2 - greatest(t1, t2, t3)) + exp(t3 - greatest(t1, t2, t3))) - ln(loss) AS e FROM terms{r})""",
+            f"""sums{r} AS (SELECT subset, {r} AS r, id, ds, ns,
+              sum(CASE WHEN abs(e) <= 0.001 THEN 0.5 * e * e ELSE 0.001 * (abs(e) - 0.0005) END) AS objective FROM errors{r}
+              GROUP BY subset, id, ds, ns {before})""",
+            f"best{r} AS (SELECT subset, ds, ns, objective FROM sums{r} QUALIFY row_number() OVER (PARTITION BY subset ORDER BY objective, r DESC, id) = 1)",
+            f"""spans{r + 1} AS (SELECT subset, greatest(ds - (dh - dl) / {steps - 1}, 1e-6) AS dl, ds + (dh - dl) / {steps - 1} AS dh,
+              greatest(ns - (nh - nl) / {steps - 1}, 1e-6) AS nl, ns + (nh - nl) / {steps - 1} AS nh FROM spans{r} JOIN best{r} USING (subset))""",
+        ]
+        for axis, low, high in (("ds", "dl", "dh"), ("ns", "nl", "nh")):
+            parts.append(
+                f"""{axis}{r + 1} AS (SELECT subset, {low} + ({high} - {low}) * i / {steps - 1} AS v, i FROM
+                  (SELECT *, unnest(range({steps})) AS i FROM spans{r + 1})
+                  UNION ALL SELECT subset, {axis} AS v, {steps} AS i FROM best{r})"""
+            )
+    return f"WITH {POINTS_SQL}, " + ", ".join(parts) + (
+        f" SELECT subset, round(ds, 6) AS d_star, round(ns, 6) AS n_star, round(objective, 6) AS objective FROM best{rounds - 1}"
+    )
+
+
+FITTED = [f"round({name}, 6) AS {name}" for name in ("d_star", "n_star", "objective")]
+
+
+@query(f"SELECT d_star, n_star, objective FROM ({_fit_sql(['all'], 3)})")
 def grid_fit(spark, folder):
     """Repeat constants found by coarse-to-fine search over all runs."""
-    return sweeps.grid_fit(materialize(_runs(spark, folder)), STARS, rounds=3)
+    return sweeps.grid_fit(materialize(_runs(spark, folder)), STARS, rounds=3).selectExpr(*FITTED)
+
+
+@query(_fit_sql(list(SUBSETS), 3))
+def subset_fits(spark, folder):
+    """The same search for subsets of the runs, all in one scan a round."""
+    subsets = {name: F.expr(condition) for name, (condition, _) in SUBSETS.items()}
+    found = sweeps.subset_fits(materialize(_runs(spark, folder)), subsets, STARS, rounds=3)
+    return found.selectExpr("subset", *FITTED)
 
 
 # Shapes (name, d_model, ffw, kv, heads, layers).
