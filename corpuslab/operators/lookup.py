@@ -72,11 +72,6 @@ def flag_against_index(df: DataFrame, index: DataFrame, key: str = "doc_id", **o
     )
 
 
-def occurs_in(queries: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``queries`` whose key columns also occur in ``index``."""
-    return queries.join(index.select(*on).distinct(), on, "left_semi")
-
-
 def _blocks_of_queries(queries: DataFrame, query: str) -> Iterator[list[str]]:
     """Distinct non-empty queries, in blocks of bounded size.
 

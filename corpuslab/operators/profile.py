@@ -193,8 +193,3 @@ def last_of_groups(df: DataFrame, keys: Sequence[str], order: str, count: int, s
     few = df.withColumn("__share", share).withColumn("__at", F.row_number().over(some)).filter(F.col("__at") <= count)
     ranked = few.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
     return ranked.filter(F.col("__at") <= count).drop("__share", "__at")
-
-
-def rows_in_order(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """1-based row number within groups that are known to be small."""
-    return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

@@ -39,10 +39,12 @@ LONG = ["dataset", "fewshots", "prompt", "metric", "value"]
 def flatten_harness(raw: DataFrame) -> DataFrame:
     """Results of the first kind: one row per task, shots, prompt and metric.
 
-    ``raw`` has ``config.num_fewshot``, ``results`` (array of string maps) and
-    ``file``. Only numeric fields are kept.
+    ``raw`` has ``config.num_fewshot``, ``results`` (array of maps of variants)
+    and ``file``. Only fields that are numbers in the file are kept; a text that
+    looks like one and a truth value are none.
     """
-    prompt = F.col("entry")["prompt_name"]
+    prompt = F.try_variant_get(F.col("entry")["prompt_name"], "$", "string")
+    task = F.try_variant_get(F.col("entry")["task_name"], "$", "string")
     pair = F.lit("")
     for language_pair in reversed(LANGUAGE_PAIRS):
         pair = F.when(prompt.contains(language_pair), F.lit("_" + language_pair)).otherwise(pair)
@@ -52,13 +54,13 @@ def flatten_harness(raw: DataFrame) -> DataFrame:
     return (
         entries.select(
             "file",
-            F.concat(F.col("entry")["task_name"], pair).alias("dataset"),
+            F.concat(task, pair).alias("dataset"),
             "fewshots",
             prompt.alias("prompt"),
             F.explode("entry").alias("metric", "raw_value"),
         )
-        .withColumn("value", F.col("raw_value").try_cast("double"))
-        .filter(F.col("value").isNotNull() & ~F.col("metric").isin("task_name", "prompt_name"))
+        .filter(F.schema_of_variant("raw_value").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"))
+        .withColumn("value", F.try_variant_get("raw_value", "$", "double"))
         .select("file", *LONG)
     )
 
@@ -156,8 +158,10 @@ def baselines(spark) -> DataFrame:
 
 
 def attach_baseline(scores: DataFrame, base: DataFrame) -> DataFrame:
-    """Add the baseline of each task; 0 where there is none."""
-    return scores.join(F.broadcast(base), "task", "left").fillna(0.0, ["baseline"])
+    """Add the baseline of each task; a task without one is an error."""
+    unknown = F.concat(F.lit("no baseline for task: "), F.coalesce("task", F.lit("null")))
+    known = F.when(F.col("baseline").isNotNull(), F.col("baseline")).otherwise(F.raise_error(unknown).cast("double"))
+    return scores.join(F.broadcast(base), "task", "left").withColumn("baseline", known)
 
 
 def normalized_score(value: Column, baseline: Column) -> Column:

@@ -18,11 +18,16 @@ def _merged(spark, folder):
     pair = F.element_at(F.array(*[F.lit(p) for p in ("en-fr", "fr-en", "hi-en", "plain")]), (F.col("user_id") % 4 + 1).cast("int"))
     prompt = F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string"), F.lit(" "), pair)
     metric = F.when(F.col("event_type") == "purchase", "rouge2_fmeasure").otherwise("acc")
-    entry = F.create_map(
-        F.lit("task_name"), F.concat(F.lit("set/"), "event_type"),
-        F.lit("prompt_name"), prompt,
-        metric, (F.col("value") / 1000).cast("string"),
-        F.lit("acc_stderr"), F.lit("0.5"),
+    value = F.col("value") / 1000
+    entry = F.struct(
+        F.concat(F.lit("set/"), "event_type").alias("task_name"),
+        prompt.alias("prompt_name"),
+        F.when(metric == "rouge2_fmeasure", value).alias("rouge2_fmeasure"),
+        F.when(metric == "acc", value).alias("acc"),
+        F.lit(0.5).alias("acc_stderr"),
+        # Texts and truth values are no metrics.
+        F.lit("0.7").alias("note"),
+        F.lit(True).alias("greedy"),
     )
     first = events.filter("event_type <> 'error'").select(
         "file",

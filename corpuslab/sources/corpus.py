@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.sources.names import source_name
+
 CORPUS_SCHEMA = "doc_id bigint, text string, meta string"
 
 
@@ -51,10 +53,11 @@ def read_scores(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def read_curves(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Loss curves; the run is the name of the file."""
+def read_curves(spark: SparkSession, path: str | Sequence[str], named_by: str = "file") -> DataFrame:
+    """Loss curves; the run is the name of the file, or of its folder."""
     schema = "row int, run_name string, tag string, step bigint, value double"
-    run = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(_training)?\.csv$", 1)
+    name = source_name(named_by)
+    run = F.regexp_extract(name, r"^(.*?)(_training)?\.csv$", 1) if named_by == "file" else name
     return (
         spark.read.schema(schema)
         .option("header", True)

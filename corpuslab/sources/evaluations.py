@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators.scores import flatten_harness, flatten_template, merge_results
+from corpuslab.sources.names import source_name
 
-HARNESS_SCHEMA = "config struct<num_fewshot: int>, results array<map<string, string>>"
+# Variants keep apart what is a number in the file and what is a text that looks like one.
+HARNESS_SCHEMA = "config struct<num_fewshot: int>, results array<map<string, variant>>"
 TEMPLATE_SCHEMA = (
     "dataset_name string, dataset_config_name string, template_name string, evaluation map<string, double>"
 )
 
 
-def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, folder: str, schema: str, named_by: str) -> DataFrame:
     return (
         spark.read.schema(schema)
         .option("recursiveFileLookup", True)
@@ -21,19 +23,19 @@ def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
         .option("pathGlobFilter", "*.json")
         .json(folder)
         .withColumn("file", F.col("_metadata.file_path"))
-        .withColumn("file_name", F.col("_metadata.file_name"))
+        .withColumn("file_name", source_name(named_by))
     )
 
 
-def read_eval_json(spark: SparkSession, folder: str) -> DataFrame:
+def read_eval_json(spark: SparkSession, folder: str, named_by: str = "file") -> DataFrame:
     """All result files below ``folder`` as one long table.
 
-    The file name decides: ``slim*`` holds many results of the first kind,
+    The name of the file (or of its folder, ``named_by="folder"``) decides: ``slim*`` holds many results of the first kind,
     ``agg*`` is skipped, anything else is one result of the second kind. A
     merged file from an earlier pass is not read again.
     """
-    first = _read(spark, folder, HARNESS_SCHEMA).filter(F.col("file_name").startswith("slim"))
-    second = _read(spark, folder, TEMPLATE_SCHEMA).filter(
+    first = _read(spark, folder, HARNESS_SCHEMA, named_by).filter(F.col("file_name").startswith("slim"))
+    second = _read(spark, folder, TEMPLATE_SCHEMA, named_by).filter(
         ~F.col("file_name").startswith("slim")
         & ~F.col("file_name").startswith("agg")
         & (F.col("file_name") != "merged.json")
