@@ -23,6 +23,30 @@ def top_ids(spark, folder):
     return profile.top_values(table(spark, folder, "lineitem"), "l_partkey", 20)
 
 
+@query("SELECT source, lang, count(*)::BIGINT AS count FROM documents GROUP BY source, lang")
+def sorted_sources(spark, folder):
+    """Sources and languages, the largest groups first."""
+    return profile.sort_by(profile.count_by(table(spark, folder, "documents"), "source", "lang"), "count", "source", "lang")
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, l_extendedprice, l_orderkey, l_linenumber FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice, l_orderkey, l_linenumber) = 1"""
+)
+def cheapest_lines(spark, folder):
+    """The lowest price of each group, and the line it stands on."""
+    lines = table(spark, folder, "lineitem")
+    return profile.top_of_group(lines, ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber"], "l_extendedprice")
+
+
+@query("SELECT DISTINCT o_custkey, l_suppkey AS member FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def customer_suppliers(spark, folder):
+    """All suppliers of each customer, out of the sets of single orders."""
+    sets = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
+    orders = table(spark, folder, "orders").join(sets, F.col("o_orderkey") == F.col("l_orderkey"))
+    return mixtures.union_sets(orders, "o_custkey", "suppliers")
+
+
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100")
 def longest_documents(spark, folder):
     return profile.top_k(table(spark, folder, "documents").select("doc_id", "n_chars"), "n_chars", 100)
@@ -579,6 +603,20 @@ def mixture_series(spark, folder):
 )
 def mixture_lines(spark, folder):
     """One-line specifications written from the corpus and read back."""
+    return _specification(spark, folder)
+
+
+@query(
+    """SELECT doc_id, round(1.0 * count(*) OVER (PARTITION BY source, lang) / 1000, 3)::DOUBLE AS weight FROM documents"""
+)
+def weighted_documents(spark, folder):
+    """Every document with the weight its source has for training."""
+    spec = _specification(spark, folder).filter("split = 'train'")
+    docs = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("/data/"), "source", F.lit("_"), "lang").alias("source"))
+    return mixtures.attach_weight(docs, spec).select("doc_id", "weight")
+
+
+def _specification(spark, folder):
     counts = profile.count_by(table(spark, folder, "documents"), "source", "lang")
     weight = F.round(F.col("count") / 1000, 3)
     path = F.concat(F.lit("/data/"), "source", F.lit("_"), "lang")

@@ -128,6 +128,35 @@ def clusters(spark, folder):
     return grouped.select("repetition_id", "num_docs", F.explode("ids").alias("doc_id"))
 
 
+@query(
+    CONTENTS_SQL
+    + """, texts_of AS (SELECT DISTINCT substr(t.x, (2 * r.s + 1)::BIGINT, (2 * (r.e - r.s))::BIGINT) AS content
+      FROM ranges r JOIN texts t USING (doc_id))
+    SELECT sha256(unhex(content)) AS repetition_id, content, (length(content) // 2)::BIGINT AS latin_length FROM texts_of"""
+)
+def repetition_contents(spark, folder):
+    """Every repetition with its bytes, and its length read as single-byte characters."""
+    contents = materialize(_contents(spark, folder))
+    found = dup.repetition_text(contents, dup.repetitions_table(contents))
+    return found.select(
+        "repetition_id",
+        F.hex("repetition").alias("content"),
+        F.length(dup.decode_repetition("repetition", "latin-1")).cast("bigint").alias("latin_length"),
+    )
+
+
+@query(
+    CONTENTS_SQL
+    + """, members AS (SELECT DISTINCT repetition_id, doc_id FROM contents)
+    SELECT DISTINCT a.doc_id, b.doc_id AS member FROM members a JOIN members b USING (repetition_id) WHERE a.doc_id % 100 = 0"""
+)
+def clusters_of_documents(spark, folder):
+    """The cluster of every hundredth document: all that share one of its repetitions."""
+    members = materialize(dup.memberships(_contents(spark, folder)))
+    chosen = table(spark, folder, "documents").filter("doc_id % 100 = 0")
+    return dup.document_clusters(members, chosen)
+
+
 @query(
     CONTENTS_SQL
     + """SELECT count(*)::BIGINT AS docs_with_dups, count(*) FILTER (n = 1)::BIGINT AS singleton_docs,

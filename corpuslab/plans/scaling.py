@@ -518,10 +518,12 @@ SHAPES_SQL = ", ".join(f"('{name}', {h}, {f}, {heads}, {layers})" for name, h, f
       FROM (VALUES {SHAPES_SQL}) AS v(shape, h, f, heads, layers)),"""
     + """
     sized AS (SELECT *, (layers * (4 * h * h + 4 * h + 2 * f * h + f + h + 2 * h) + h * 32000 + 32000 + 2048 * h)::DOUBLE AS n FROM shapes),
-    placed AS (SELECT r.o_orderkey, s.shape, s.n, 6.0 * r.n * r.d / 1000 / 6 / s.n AS d, least(r.u, 6.0 * r.n * r.d / 1000 / 6 / s.n) AS u FROM runs r, sized s),"""
-    + f"scored AS (SELECT o_orderkey, shape, n, d, {CONSTRAINED} AS loss FROM ({point_sql('placed')}))"
-    + """SELECT o_orderkey, arg_min(shape, loss) AS shape, arg_min(n, loss) AS params, round(log10(arg_min(d, loss)), 6) AS log_tokens,
-      round(min(loss), 6) AS loss FROM scored GROUP BY o_orderkey"""
+    placed AS (SELECT r.o_orderkey, s.shape, s.n, s.h, s.f, s.heads, s.layers, 6.0 * r.n * r.d / 1000 / 6 / s.n AS d, least(r.u, 6.0 * r.n * r.d / 1000 / 6 / s.n) AS u FROM runs r, sized s),"""
+    + f"scored AS (SELECT o_orderkey, shape, n, d, {CONSTRAINED} AS loss, h, f, heads, layers FROM ({point_sql('placed')})),"
+    + """counted AS (SELECT *, d / 2048 * 3 * (2 * 2 * 2048 * 32000 * h + layers * (2 * 4 * 2048 * h * h
+      + 2 * 2 * 2048 * 2048 * h + 3 * heads * 2048 * 2048 + 2 * 2 * 2048 * h * f)) AS flops FROM scored)
+    SELECT o_orderkey, round(log10(arg_min(flops, loss)), 6) AS log_flops, arg_min(shape, loss) AS shape, arg_min(n, loss) AS params, round(log10(arg_min(d, loss)), 6) AS log_tokens,
+      round(min(loss), 6) AS loss FROM counted GROUP BY o_orderkey"""
 )
 def plan_runs(spark, folder):
     """The architecture with the lowest predicted loss for every budget."""
@@ -530,5 +532,6 @@ def plan_runs(spark, folder):
     )
     found = sweeps.plan_runs(budgets, SHAPES)
     return found.select(
-        "o_orderkey", "shape", "params", F.round(F.log10("tokens"), 6).alias("log_tokens"), F.round("loss", 6).alias("loss")
+        "o_orderkey", "shape", "params", F.round(F.log10("tokens"), 6).alias("log_tokens"), F.round("loss", 6).alias("loss"),
+        F.round(F.log10("full_flops"), 6).alias("log_flops"),
     )
