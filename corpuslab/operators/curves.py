@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.profile import row_index
 from corpuslab.operators.scans import neighbours, running
+from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 1024
 
 
@@ -113,15 +120,28 @@ def _act(last: Column, step: Column) -> Column:
 def _fold_points(
     chunked: DataFrame, starts: DataFrame, keys: list[str], order: str, weight: float, name: str
 ) -> DataFrame:
-    folded = _states(
-        F.col("points"), F.col("start"), lambda last, point: _step(last, point["value"], weight)
-    )
-    return (
-        chunked.join(starts, [*keys, "chunk"])
-        .select(*keys, "points", F.slice(folded, F.lit(2), F.size("points")).alias("smoothed"))
-        .select(*keys, F.explode(F.arrays_zip("points", "smoothed")).alias("at"))
-        .select(*keys, f"at.points.{order}", "at.points.value", F.col("at.smoothed").alias(name))
-    )
+    """Every point of a chunk after the value before it, in one walk over the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, starts = batch.column("points"), batch.column("start").to_pylist()
+            rows, values = np.repeat(np.arange(batch.num_rows), points.value_lengths().to_numpy()), points.flatten()
+            smoothed, at = [], 0
+            numbers, sizes = values.field("value").to_pylist(), points.value_lengths().to_pylist()
+            for last, size in zip(starts, sizes, strict=True):
+                for value in numbers[at : at + size]:
+                    last = None if last is None or value is None else last * weight + (1.0 - weight) * value
+                    smoothed.append(last)
+                at += size
+            own = [batch.column(key).take(pa.array(rows)) for key in keys]
+            columns = [*own, values.field(order), values.field("value"), pa.array(smoothed, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, order, "value", name])
+
+    point = chunked.schema["points"].dataType.elementType
+    kinds = [(key, chunked.schema[key].dataType.simpleString()) for key in keys]
+    kinds += [(order, point[order].dataType.simpleString()), ("value", "double"), (name, "double")]
+    schema = ", ".join(f"`{column}` {kind}" for column, kind in kinds)
+    return chunked.join(starts, [*keys, "chunk"]).select(*keys, "points", "start").mapInArrow(run, schema)
 
 
 def smooth(df: DataFrame, weight: float = 0.999, keys: Sequence[str] = ("run", "tag")) -> DataFrame:
@@ -136,15 +156,16 @@ def label_runs(df: DataFrame, labels: DataFrame, run: str = "run") -> DataFrame:
     meet on the prefix itself, cut to the lengths that occur among the labels.
     """
     lengths = labels.agg(F.collect_set(F.length("prefix"))).scalar()
-    names = df.select(run).distinct()
-    cuts = names.withColumn("lengths", lengths).select(run, F.explode("lengths").alias("size"))
+    names = materialize(df.groupBy(run).agg(F.count("*").alias("fan_in")))
+    cuts = names.select(run).withColumn("lengths", lengths).select(run, F.explode("lengths").alias("size"))
     found = (
         cuts.withColumn("prefix", F.col(run).substr(F.lit(1), F.col("size")))
         .join(labels, "prefix")
         .groupBy(run)
         .agg(F.max_by("label", "size").alias("label"))
     )
-    return df.join(found, run, "left")
+    named = materialize(names.join(found, run, "left"))
+    return join_counted(df, named, run, "fan_in", "left")
 
 
 def min_loss(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -242,16 +242,18 @@ def annotate_duplicates(
     sample = df.filter(takes_part)
     ranges = duplicate_ranges(sample, length, unit, key, text)
     info = dup_info(sample, ranges, unit, 0, key, text)
-    size = text_size(text, ratio_unit or unit)
+    # Sizes are taken before the join, so that texts go through it only if they are asked for.
     return (
         df.withColumn("included_in_dedup", takes_part)
-        .join(info, key, "left")
         .withColumn("text_length", F.length(text).cast("bigint"))
+        .withColumn("__size", text_size(text, ratio_unit or unit))
+        .join(info, key, "left")
         .withColumn("dup_len", F.coalesce("dup_len", F.lit(0).cast("bigint")))
         .withColumn("pairs", F.coalesce("pairs", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))
         .withColumn("repetitions", F.coalesce("repetitions", F.expr("cast(array() as array<binary>)")))
-        .withColumn("dup_ratio", dup_ratio(F.col("dup_len"), size))
+        .withColumn("dup_ratio", dup_ratio(F.col("dup_len"), F.col("__size")))
         .withColumn("dup_pct", dup_percent(F.col("dup_ratio")))
+        .drop("__size")
     )
 
 

@@ -24,15 +24,6 @@ QUERY_BYTES = 4 << 20
 HITS_PER_BATCH = 100_000
 
 
-def _matching_windows(
-    index: DataFrame, anchors: DataFrame, length: int, unit: str, key: str, text: str
-) -> DataFrame:
-    """Windows of ``index``, at any position, whose anchor is among ``anchors``."""
-    runs = window_runs(index, length, unit, key, text)
-    wanted = runs.join(anchors, "anchor", "left_semi").select(key, "first", "last")
-    return windows_of_runs(index, wanted, length, unit, key, text)
-
-
 def matched_queries(
     df: DataFrame,
     index: DataFrame,
@@ -50,11 +41,13 @@ def matched_queries(
     compared by content.
     """
     queries = query_window_hashes(df, length, stride, key, text)
-    offered = window_runs(index, length, "chars", index_key, index_text).select("anchor").distinct()
+    runs = window_runs(index, length, "chars", index_key, index_text)
+    offered = runs.groupBy("anchor").agg(F.count("*").alias("runs"))
     fan_in = queries.groupBy("anchor").agg(F.count("*").alias("fan_in"))
-    shared = materialize(fan_in.join(offered, "anchor", "left_semi"))
-    candidates = materialize(join_counted(queries, shared, "anchor", "fan_in"))
-    found = _matching_windows(index, shared.select("anchor"), length, "chars", index_key, index_text)
+    shared = materialize(fan_in.join(offered, "anchor"))
+    candidates = materialize(join_counted(queries, shared.drop("runs"), "anchor", "fan_in"))
+    wanted = join_counted(runs, shared.drop("fan_in"), "anchor", "runs").select(index_key, "first", "last")
+    found = windows_of_runs(index, wanted, length, "chars", index_key, index_text)
     content = ["hash1", "hash2"]
     confirmed = materialize(
         candidates.groupBy(*content)

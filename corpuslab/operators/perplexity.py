@@ -57,46 +57,44 @@ def pair_log10(pairs: DataFrame, model: DataFrame, share: float = 0.75) -> DataF
     ``share`` weighs the bigram estimate, the rest goes to the unigram estimate
     with one added to every count, so that unknown words get a value too.
     """
-    contexts = model.groupBy("before").agg(F.sum("n").alias("n_before"))
-    words = model.groupBy("word").agg(F.sum("n").alias("n_word"))
+    contexts, words = _known(pairs, model, "before", "n_before"), _known(pairs, model, "word", "n_word")
     sizes = model.agg(F.sum("n").alias("total"), F.count_distinct("word").alias("vocabulary"))
     size = sizes.select(F.struct("total", "vocabulary")).scalar()
     total, vocabulary = size["total"], size["vocabulary"]
     bigram = F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("n_before").cast("double")), F.lit(0.0))
     unigram = (F.coalesce("n_word", F.lit(0)) + 1).cast("double") / (total + vocabulary + 1).cast("double")
+    met = pairs.join(model, ["before", "word"], "left")
     return (
-        pairs.join(model, ["before", "word"], "left")
-        .join(contexts, "before", "left")
-        .join(words, "word", "left")
+        join_counted(join_counted(met, contexts, "before", "pairs_of"), words, "word", "pairs_of")
         .withColumn("logp", F.log10(F.lit(share) * bigram + F.lit(1.0 - share) * unigram))
         .drop("n", "n_before", "n_word")
     )
 
 
+def _known(pairs: DataFrame, model: DataFrame, side: str, name: str) -> DataFrame:
+    """Counts in the model of every word on one side of the pairs, and how many pairs it is in."""
+    asked = pairs.groupBy(side).agg(F.count("*").alias("pairs_of"))
+    return materialize(asked.join(model.groupBy(side).agg(F.sum("n").alias(name)), side, "left"))
+
+
 def score_tokens(
     tokens: DataFrame, model: DataFrame, key: Sequence[str] = ("doc_id",), share: float = 0.75
 ) -> DataFrame:
     """``round(10 ** (-sum(log10 p) / (words + 1)), 1)`` per key.
 
-    Repeated pairs of one document are combined first. A pair common to very
-    many documents is spread over several tasks when its value is fetched.
+    Words travel as 64-bit numbers, a pair as two. Each distinct pair gets its
+    logarithm once; one common to very many documents is spread over several
+    tasks when its value is fetched.
     """
     key = list(key)
+    coded = [F.xxhash64(side).alias(side) for side in ("before", "word")]
     # Written once: normalising the texts a second time would cost more.
-    counted = materialize(
-        word_pairs(tokens, key).groupBy(*key, "before", "word").agg(F.count("*").alias("times"))
-    )
-    distinct = counted.groupBy("before", "word").agg(F.count("*").alias("fan_in"))
-    scored = materialize(pair_log10(distinct, model, share))
-    return (
-        join_counted(counted, scored, ["before", "word"], "fan_in")
-        .groupBy(*key)
-        .agg(
-            F.round(
-                F.pow(F.lit(10.0), -F.sum(F.col("logp") * F.col("times")) / F.sum("times")), 1
-            ).alias("perplexity")
-        )
-    )
+    pairs = materialize(word_pairs(tokens, key).select(*key, *coded))
+    distinct = materialize(pairs.groupBy("before", "word").agg(F.count("*").alias("fan_in")))
+    scored = materialize(pair_log10(distinct, materialize(model.select(*coded, "n")), share))
+    mean = -F.avg("logp")
+    fetched = join_counted(pairs, scored, ["before", "word"], "fan_in")
+    return fetched.groupBy(*key).agg(F.round(F.pow(F.lit(10.0), mean), 1).alias("perplexity"))
 
 
 def perplexity(

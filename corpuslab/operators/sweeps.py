@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from corpuslab.functions import laws
 from corpuslab.functions.laws import C4_LAW, Law, Point
 from corpuslab.operators.curves import improving_prefix
+from corpuslab.operators.skew import join_counted
+from corpuslab.session import materialize
 
 # Fixed value: transition point of the robust loss on log-losses.
 HUBER_DELTA = 1e-3
@@ -220,14 +222,14 @@ def grid_fit(
 
 
 def _distinct_budgets(budgets: DataFrame) -> DataFrame:
-    """Distinct budgets over a fixed number of tasks.
+    """Distinct budgets, with how often each is asked for, over a fixed number of tasks.
 
     Each row is about to become a thousand candidates, which the adaptive
     merging of small shuffle partitions does not foresee.
     """
     tasks = int(budgets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = budgets.select("compute", "unique_budget")
-    return given.repartition(tasks, "compute", "unique_budget").distinct()
+    counted = budgets.groupBy("compute", "unique_budget").agg(F.count("*").alias("asked"))
+    return counted.repartition(tasks, "compute", "unique_budget")
 
 
 def optimal_allocation(
@@ -270,7 +272,7 @@ def optimal_allocation(
     tried = start.withColumn("candidate", F.explode(candidates))
     if not with_start:
         tried = tried.filter("candidate != 0")
-    columns = ["compute", "unique_budget", "opt_tokens", "opt_params"]
+    columns = ["compute", "unique_budget", "asked", "opt_tokens", "opt_params"]
     best = (
         placed(tried)
         .groupBy(*columns)
@@ -281,7 +283,7 @@ def optimal_allocation(
         .withColumn("epochs", F.try_divide(F.col("tokens"), F.col("unique_budget")))
         .drop("candidate", "opt_tokens", "opt_params")
     )
-    return budgets.join(solved, ["compute", "unique_budget"])
+    return join_counted(budgets, materialize(solved), ["compute", "unique_budget"], "asked")
 
 
 def log_space(df: DataFrame, low: str, high: str, count: int, name: str = "compute") -> DataFrame:
@@ -437,8 +439,8 @@ def plan_runs(
     )
     tried = laws.with_loss(sized, "params", "tokens", "unique", law)
     best = (
-        tried.groupBy("compute", "unique_budget")
+        tried.groupBy("compute", "unique_budget", "asked")
         .agg(F.min_by(F.struct("shape", "params", "tokens", "loss", "full_flops"), "loss").alias("best"))
-        .select("compute", "unique_budget", "best.*")
+        .select("compute", "unique_budget", "asked", "best.*")
     )
-    return budgets.join(best, ["compute", "unique_budget"])
+    return join_counted(budgets, materialize(best), ["compute", "unique_budget"], "asked")

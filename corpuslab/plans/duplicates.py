@@ -110,7 +110,7 @@ def repetition_members(spark, folder):
     """The hundred most widespread repetitions with the documents behind them."""
     docs = table(spark, folder, "documents")
     contents = materialize(_contents(spark, folder))
-    top = dup.repetitions_table(contents).orderBy(F.desc("num_docs"), "repetition_id").limit(100)
+    top = materialize(dup.repetitions_table(contents).orderBy(F.desc("num_docs"), "repetition_id").limit(100))
     found = dup.cluster_members(dup.memberships(contents), top, docs.select("doc_id", "lang", "n_chars"))
     return found.join(top.select("repetition_id", "num_docs"), "repetition_id").select(
         "repetition_id", "num_docs", "doc_id", "lang", "n_chars"
