@@ -19,6 +19,7 @@ the sizes before leave a chance.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from corpuslab.session import materialize
 
 MAP_BITS = 22
 BLOCK = 1 << 22
+# Distinct grams a task holds before it sends their counts.
+HELD = 1 << 18
 SALTS = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -277,22 +280,25 @@ def _has(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _codes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """``(code, n)`` of the grams one word longer than the maps tell of; counts of single blocks."""
+    """``(code, n)`` of the grams one word longer than the maps tell of; counts of single blocks.
+
+    Codes have 32 bits: grams that share one are only taken for more frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             *_, able = block.possible(maps)
-            codes = block.gram_codes(len(maps) + 1)[: len(able)][able]
+            codes = block.gram_codes(len(maps) + 1)[: len(able)][able].astype(np.uint32)
             values, counts = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int32)), pa.array(counts)], ["code", "n"])
 
-    return rows.mapInArrow(run, "code bigint, n bigint")
+    return rows.mapInArrow(run, "code int, n bigint")
 
 
 def _bits(codes: DataFrame, minimum: int) -> np.ndarray:
     """A map of ``2 ** MAP_BITS`` bits with one for each code of ``minimum`` occurrences or more."""
     frequent = codes.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= minimum)
-    set_bits = frequent.select(F.expr(f"cast(code & {(1 << MAP_BITS) - 1} as int)").alias("bit")).distinct().toPandas()
+    set_bits = frequent.select(F.expr(f"code & {(1 << MAP_BITS) - 1}").alias("bit")).distinct().toPandas()
     bits = np.zeros(1 << MAP_BITS, bool)
     bits[set_bits["bit"].to_numpy()] = True
     return np.packbits(bits)
@@ -301,12 +307,24 @@ def _bits(codes: DataFrame, minimum: int) -> np.ndarray:
 def _edges(maps: list[np.ndarray], longest: int):
     names = ["lang", "gram", "size", "n"]
 
+    def merged(parts: list[tuple]) -> tuple:
+        """Grams of several blocks, each once."""
+        codes, counts = (np.concatenate([part[at] for part in parts]) for at in (0, 1))
+        codes, first, group = np.unique(codes, return_index=True, return_inverse=True)
+        total = np.zeros(len(codes), np.int64)
+        np.add.at(total, group, counts)
+        columns = [pa.concat_arrays([part[at] for part in parts]).take(pa.array(first)) for at in (2, 3, 4)]
+        return codes, total, *columns
+
+    def sent(part: tuple) -> pa.RecordBatch:
+        _, counts, langs, grams, sizes = part
+        return pa.RecordBatch.from_arrays([langs, grams, sizes, pa.array(counts)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        words: Counter = Counter()
         for block in _blocks(batches):
-            for at, total in enumerate(np.bincount(block.lang, minlength=len(block.langs)).tolist()):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block.langs[at]]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([total])], names
-                )
+            words.update(dict(zip(block.langs, np.bincount(block.lang, minlength=len(block.langs)).tolist(), strict=True)))
             reach = np.zeros(len(block.code), np.int64)
             for size, able in enumerate(block.possible(maps), 1):
                 reach[: len(able)][able] = size
@@ -318,7 +336,7 @@ def _edges(maps: list[np.ndarray], longest: int):
             for offset in range(longest):
                 here = size > offset
                 code[here] += block.code[places[here] + offset] * _ODD[offset + 3]
-            _, first, counts = np.unique(code, return_index=True, return_counts=True)
+            codes, first, counts = np.unique(code, return_index=True, return_counts=True)
             places, size = places[first], size[first]
             last = places + size - 1
             begin, end = block.starts[places], block.ends[last]
@@ -327,14 +345,17 @@ def _edges(maps: list[np.ndarray], longest: int):
             grams = [block.data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
             for at in np.flatnonzero(~plain):  # more than one space between words
                 grams[at] = b" ".join(gram for gram in grams[at].split(b" ") if gram)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block.langs).take(pa.array(block.lang[places])),
-                    pa.array(grams, pa.binary()).cast(pa.string()),
-                    pa.array(size.astype(np.int32)),
-                    pa.array(counts),
-                ],
-                names,
-            )
+            langs = pa.array(block.langs, pa.string()).take(pa.array(block.lang[places]))
+            held.append((codes, counts, langs, pa.array(grams, pa.binary()).cast(pa.string()), pa.array(size.astype(np.int32))))
+            if sum(len(part[0]) for part in held) >= 2 * HELD:
+                held = [merged(held)]
+                if len(held[0][0]) >= HELD:
+                    yield sent(held.pop())
+        if held:
+            yield sent(merged(held))
+        # Of size 0: all words of a language.
+        totals = [list(words), [None] * len(words), [0] * len(words), list(words.values())]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(totals, kinds, strict=True)], names)
 
     return run
