@@ -19,6 +19,9 @@ from corpuslab.session import materialize
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "Sra", "Госпожа", "г-жа")
 MALE = ("Mr", "Herr", "Señor", "Sr", "Господин", "г-н")
 
+# Draws in its own form before an identity gets a longer one.
+DRAWS = 12
+
 _TITLES = "|".join((*FEMALE, *MALE))
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
 
@@ -75,18 +78,38 @@ def _draw(stream: Column, at: Column, below: int) -> Column:
     return F.conv(F.substring(stream, start, F.lit(4)), 16, 10).cast("int") % below
 
 
-def like_characters(value: Column, stream: Column) -> Column:
-    """Digits for digits and letters for letters, of the same case; the rest stays."""
+# What characters of a kind are replaced by.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (
+    ("[0-9]", DIGITS),
+    ("[a-z]", LOWER),
+    ("[A-Z]", UPPER),
+    (r"(?=\p{Lu})\p{IsCyrillic}", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+    (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"),
+    (r"(?=\p{Lu})\p{IsGreek}", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねの"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノ"),
+    (r"\p{IsHan}", "山川田中村木林森水火土金石花草竹米糸車門雨雪風音"),
+    (r"\p{Lu}", "ÄÖÜÉÈÀÂÊÎÔÛÇÑÅØÆ"),
+    (r"[\p{L}\p{M}]", "äöüéèàâêîôûçñåøæ"),
+    (r"\p{N}", DIGITS),
+)
+SYMBOLS = "!#$%&*+-/=?@^_~"
+
+
+def like_characters(value: Column, stream: Column, symbols: bool = False) -> Column:
+    """A character of the same script and case, or a digit, for each; other signs stay unless ``symbols``."""
 
     def one(char: Column, at: Column) -> Column:
-        lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-        pick = lambda alphabet: F.substring(F.lit(alphabet), _draw(stream, at, len(alphabet)) + 1, F.lit(1))
-        return (
-            F.when(char.between("0", "9"), pick(digits))
-            .when(char.between("a", "z"), pick(lower))
-            .when(char.between("A", "Z"), pick(upper))
-            .otherwise(char)
-        )
+        def pick(alphabet: str) -> Column:
+            return F.substring(F.lit(alphabet), _draw(stream, at, len(alphabet)) + 1, F.lit(1))
+
+        chosen = F.when(char.between("0", "9"), pick(DIGITS)).when(char.between("a", "z"), pick(LOWER))
+        chosen = chosen.when(char.between("A", "Z"), pick(UPPER)).when(char <= "~", pick(SYMBOLS) if symbols else char)
+        for pattern, alphabet in ALPHABETS[3:]:
+            chosen = chosen.when(char.rlike(pattern), pick(alphabet))
+        return chosen.otherwise(pick(SYMBOLS) if symbols else char)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -146,55 +169,110 @@ def _syllables(stream: Column, script: str, count: int) -> Column:
     return F.concat(*parts)
 
 
-def _name_word(word: Column, role: str, gender: Column, secret: Column, attempt: Column) -> Column:
-    """A word is drawn from itself alone, so a person named in full and by family name stays one."""
+def _wide(stream: Column) -> Column:
+    """120 bits, for what has no room left in its own form."""
+    return F.substring(stream, 1, 30)
+
+
+def _name_word(kind: Column, word: Column, gender: Column, stream: Column, wide: Column) -> Column:
     made = None
     for script in ("latin", "cyrillic"):
-        stream = _stream(secret, F.lit(role), F.lower(word), attempt)
-        base = F.initcap(_syllables(stream, script, 4 if role == "family" else 3))
-        own = F.concat(base, F.when(gender == "f", ENDINGS[script, role, "f"]).otherwise(ENDINGS[script, role, "m"]))
-        made = own if made is None else F.when(word.rlike(r"\p{IsCyrillic}"), own).otherwise(made)
+        for role, count in (("given", 3), ("family", 4)):
+            base = F.when(wide, _syllables(stream, script, 30)).otherwise(_syllables(stream, script, count))
+            female, male = ENDINGS[script, role, "f"], ENDINGS[script, role, "m"]
+            own = F.concat(F.initcap(base), F.when(gender == "f", female).otherwise(male))
+            fits = (kind == role) & (word.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else F.lit(True))
+            made = own if made is None else F.when(fits, own).otherwise(made)
     return made
 
 
-def _name(value: Column, secret: Column, attempt: Column) -> Column:
-    words = F.split(value, " ")
-    title = F.get(words, 0)
-    gender = F.when(F.regexp_replace(title, r"\.", "").isin(*FEMALE), "f").otherwise("m")
-    first, second = F.get(words, 1), F.get(words, 2)
-    given, family = _name_word(first, "given", gender, secret, attempt), _name_word(second, "family", gender, secret, attempt)
-    lone = _name_word(first, "family", gender, secret, attempt)
-    return F.when(second.isNotNull(), F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, lone))
-
-
-def surrogate(kind: Column, entity: Column, secret: Column, attempt: Column) -> Column:
-    stream = _stream(secret, kind, identity(kind, entity), attempt)
+def surrogate(kind: Column, entity: Column, identity_: Column, secret: Column, attempt: Column) -> Column:
+    """The draw number ``attempt`` for an entity; from ``DRAWS`` on it has a longer form, distinct by 120 bits."""
+    stream = _stream(secret, kind, identity_, attempt)
+    wide = attempt >= DRAWS
     # "token = ..." keeps everything before the quoted value.
     label = F.regexp_extract(entity, r"^[^\"]*\"", 0)
-    inner = F.substring(entity, F.length(label) + 1, F.length(entity))
-    hexadecimal = inner.rlike('^[0-9a-f]+"$')
+    inner = F.substring(entity, F.length(label) + 1, F.length(entity) - F.length(label) - 1)
+    hidden = F.when(inner.rlike("^[0-9a-f]+$"), _hex_like(inner, stream)).otherwise(like_characters(inner, stream, symbols=True))
+    quoted = F.concat(label, F.when(wide, _wide(stream)).otherwise(hidden), F.lit('"'))
     fixed = F.regexp_extract(entity, "^(?:AKIA|gh[pousr]_|sk-)", 0)
-    coded = F.concat(fixed, like_characters(F.substring(entity, F.length(fixed) + 1, F.length(entity)), stream))
-    key = F.when(label != "", F.concat(label, F.when(hexadecimal, _hex_like(inner, stream)).otherwise(like_characters(inner, stream)))).otherwise(coded)
-    return (
-        F.when(kind == "email", _email(entity, stream))
-        .when(kind == "key", key)
-        .when(kind == "iban", _iban(entity, stream))
+    rest = F.when(wide, _wide(stream)).otherwise(like_characters(F.substring(entity, F.length(fixed) + 1, F.length(entity)), stream))
+    key = F.when(label != "", quoted).otherwise(F.concat(fixed, rest))
+    email = F.when(wide, F.concat(F.lit("u"), _wide(stream), F.lit("@mail.example.org"))).otherwise(_email(entity, stream))
+    # Numbers are continued after a hyphen, two digits for four bits.
+    more = F.concat(F.lit("-"), F.array_join(F.transform(F.split(_wide(stream), ""), lambda c: F.lpad(F.conv(c, 16, 10), 2, "0")), ""))
+    number = (
+        F.when(kind == "iban", _iban(entity, stream))
         .when(kind == "card", _card(entity, stream))
         .when(kind == "ip", _ip(stream))
         .when(kind == "phone", _phone(entity, stream))
-        .when(kind == "ssn", like_characters(entity, stream))
-        .otherwise(_name(entity, secret, attempt))
+        .otherwise(like_characters(entity, stream))
+    )
+    gender = F.substring_index(identity_, "|", -1)
+    return (
+        F.when(kind == "email", email)
+        .when(kind == "key", key)
+        .when(kind.isin("given", "family"), _name_word(kind, entity, gender, stream, wide))
+        .otherwise(F.when(wide, F.concat(number, more)).otherwise(number))
     )
 
 
+def _name_parts(names: DataFrame) -> DataFrame:
+    """``(entity, title, kind, word, identity, place)``: the words of every name by what they are.
+
+    A family name is one identity whoever bears it, unless its form tells the
+    gender, as in Cyrillic script; a given name goes with its gender. So a
+    person named in full, by family name or with another title stays one.
+    """
+    words = F.split("entity", " ")
+    gender = F.when(F.regexp_replace(F.get(words, 0), r"\.", "").isin(*FEMALE), "f").otherwise("m")
+    kinds = F.when(F.size(words) > 2, F.array(F.lit("given"), F.lit("family"))).otherwise(F.array(F.lit("family")))
+    told = names.select("entity", F.get(words, 0).alias("title"), gender.alias("gender"), words.alias("words"), F.posexplode(kinds).alias("place", "kind"))
+    word = F.get("words", F.col("place") + 1)
+    shown = F.when((F.col("kind") == "given") | word.rlike(r"\p{IsCyrillic}"), F.col("gender")).otherwise("")
+    return told.select("entity", "title", "kind", "place", word.alias("word"), F.concat_ws("|", F.lower(word), shown).alias("identity"))
+
+
+def _shown(kind: Column, identity_: Column) -> Column:
+    """What two replacements of a kind must not have in common."""
+    return F.when(kind.isin("given", "family"), F.substring_index(identity_, "|", 1)).otherwise(identity_)
+
+
+def _drawn(people: DataFrame, secret: str) -> DataFrame:
+    """``(kind, identity, replacement)`` for ``people(kind, identity, entity)``, in at most ``DRAWS + 1`` rounds.
+
+    An identity whose replacement another identity of its kind has too, or that
+    is itself an identity of the corpus, draws again; the smallest keeps its
+    own. What is still open after ``DRAWS`` draws, because its form has too
+    little room, takes the longer form, which needs no check.
+    """
+    key = F.lit(secret)
+    kind, own = F.col("kind"), F.col("identity")
+    taken = people.select("kind", _shown(kind, own).alias("made_identity")).distinct()
+    settled, open_ones = None, people.withColumn("attempt", F.lit(0))
+    for attempt in range(DRAWS + 1):
+        made = open_ones.withColumn("made", surrogate(kind, F.col("entity"), own, key, F.lit(attempt)))
+        made_identity = F.when(kind.isin("given", "family"), F.lower("made")).otherwise(identity(kind, F.col("made")))
+        made = made.withColumn("made_identity", made_identity)
+        if attempt < DRAWS:
+            clear = made.join(taken, ["kind", "made_identity"], "left_anti")
+            if settled is not None:
+                clear = clear.join(settled, ["kind", "made_identity"], "left_anti")
+            winners = clear.groupBy("kind", "made_identity").agg(F.min("identity").alias("identity"))
+            made = clear.join(winners, ["kind", "made_identity", "identity"], "left_semi")
+        won = made.select("kind", "identity", "made", "made_identity")
+        settled = materialize(won if settled is None else settled.unionByName(won))
+        open_ones = materialize(open_ones.join(settled, ["kind", "identity"], "left_anti"))
+        if open_ones.isEmpty():
+            break
+    return settled.select("kind", "identity", F.col("made").alias("replacement"))
+
+
 def assign_surrogates(mentions: DataFrame, secret: str) -> DataFrame:
     """A replacement for every distinct mention: ``(entity, kind, replacement, fan_in)``.
 
     Mentions of one identity differ in case or punctuation only and share the
-    draw. An identity whose replacement another identity has too, or that is
-    itself an identity of the corpus, draws again; the smallest keeps its own.
-    Each round is a shuffle of the identities that are still open.
+    draw. Names are put together from the replacements of their words.
     """
     entities = materialize(
         mentions.groupBy("entity")
@@ -202,29 +280,35 @@ def assign_surrogates(mentions: DataFrame, secret: str) -> DataFrame:
         .withColumn("kind", kind_of(F.col("entity")))
         .withColumn("identity", identity(F.col("kind"), F.col("entity")))
     )
-    people = entities.groupBy("kind", "identity").agg(F.min("entity").alias("entity"), F.lit(0).alias("attempt"))
-    key = F.lit(secret)
-    settled = None
-    open_ones = materialize(people)
-    while True:
-        made = open_ones.withColumn("made", surrogate(F.col("kind"), F.col("entity"), key, F.col("attempt")))
-        made = made.withColumn("made_identity", identity(F.col("kind"), F.col("made")))
-        taken = people.select("kind", F.col("identity").alias("made_identity"))
-        if settled is not None:
-            taken = taken.unionByName(settled.select("kind", "made_identity"))
-        clear = made.join(taken.distinct(), ["kind", "made_identity"], "left_anti")
-        winners = clear.groupBy("kind", "made_identity").agg(F.min("identity").alias("identity"))
-        won = clear.join(winners, ["kind", "made_identity", "identity"], "left_semi")
-        won = won.select("kind", "identity", "attempt", "made_identity")
-        settled = materialize(won if settled is None else settled.unionByName(won))
-        open_ones = materialize(
-            open_ones.join(settled, ["kind", "identity"], "left_anti").withColumn("attempt", F.col("attempt") + 1)
-        )
-        if open_ones.isEmpty():
-            break
-    drawn = entities.join(settled.select("kind", "identity", "attempt"), ["kind", "identity"])
-    replacement = surrogate(F.col("kind"), F.col("entity"), key, F.col("attempt"))
-    return drawn.select("entity", "kind", replacement.alias("replacement"), "fan_in")
+    parts = materialize(_name_parts(entities.filter("kind = 'name'")))
+    words = parts.groupBy("kind", "identity").agg(F.min("word").alias("entity"))
+    others = entities.filter("kind <> 'name'").groupBy("kind", "identity").agg(F.min("entity").alias("entity"))
+    drawn = materialize(_drawn(materialize(others.unionByName(words)), secret))
+
+    # The identity is what is drawn for; a mention keeps its own punctuation.
+    forms = entities.filter("kind <> 'name'").select("kind", "identity", "entity", "fan_in")
+    same = forms.join(drawn, ["kind", "identity"])
+    plain = same.select("entity", "kind", _in_form(F.col("kind"), F.col("entity"), F.col("replacement")).alias("replacement"), "fan_in")
+
+    counts = parts.groupBy("kind", "identity").agg(F.count("*").alias("met"))
+    offered = materialize(drawn.join(counts, ["kind", "identity"]))
+    named = join_counted(parts, offered, ["kind", "identity"], "met")
+    named = named.groupBy("entity", "title").agg(F.array_sort(F.collect_list(F.struct("place", "replacement"))).alias("made"))
+    named = named.select("entity", F.concat_ws(" ", "title", F.array_join(F.transform("made", lambda x: x["replacement"]), " ")).alias("replacement"))
+    names = entities.filter("kind = 'name'").select("entity", "kind", "fan_in").join(named, "entity")
+    return plain.unionByName(names.select("entity", "kind", "replacement", "fan_in"))
+
+
+def _in_form(kind: Column, entity: Column, made: Column) -> Column:
+    """A replacement in the form of the mention: its digits (and letters, of an IBAN) where the mention has some."""
+    out = made
+    for kinds, counted, others in ((("card", "phone", "ssn"), "[0-9]", "[^0-9]"), (("iban",), "[0-9A-Za-z]", "[^0-9A-Za-z]")):
+        plain, signs = F.regexp_replace(made, others, ""), F.split(entity, "")
+        place = lambda at: F.size(F.filter(F.slice(signs, 1, at), lambda x: x.rlike(counted))) + 1  # noqa: E731, B023
+        put = F.transform(signs, lambda c, at: F.when(c.rlike(counted), F.substring(plain, place(at), F.lit(1))).otherwise(c))  # noqa: B023
+        fits = F.length(plain) == F.length(F.regexp_replace(entity, others, ""))
+        out = F.when(kind.isin(*kinds) & fits, F.array_join(put, "")).otherwise(out)
+    return out
 
 
 def replace_personal_data(
@@ -240,16 +324,17 @@ def replace_personal_data(
     try out which entity gave a replacement.
     """
     names = [name for name in docs.columns if name not in ("n_entities", "entities")]
+    # Columns used inside must not meet columns of the caller.
+    one, two, found = (_unused(name, names) for name in ("one", "two", "found"))
     docs = docs.select(*names)
-    found = F.regexp_extract_all(F.col(text).cast("string"), F.lit(ANY), F.lit(0))
-    dirty = F.coalesce(F.col(text).cast("string").rlike(ANY), F.lit(False))
+    body = F.col(f"`{text}`").cast("string")
+    dirty = F.coalesce(body.rlike(ANY), F.lit(False))
     nothing = F.array().cast("array<struct<kind: string, replacement: string>>")
     clean = docs.filter(~dirty).select(*names, F.lit(0).cast("bigint").alias("n_entities"), nothing.alias("entities"))
 
-    one, two = F.xxhash64(key, text), F.hash(text, key)
-    marked = docs.filter(dirty)
+    marked = docs.filter(dirty).withColumn(one, F.xxhash64(key, text)).withColumn(two, F.hash(text, key))
     mentions = materialize(
-        marked.select(one.alias("one"), two.alias("two"), found.alias("found"))
+        marked.select(F.col(one).alias("one"), F.col(two).alias("two"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("found"))
         .dropDuplicates(["one", "two"])
         .select("one", "two", F.posexplode("found").alias("at", "entity"))
     )
@@ -258,15 +343,23 @@ def replace_personal_data(
     changed = (
         join_counted(mentions, table, "entity", "fan_in")
         .groupBy("one", "two")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "kind", "replacement"))).alias("found"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "kind", "replacement"))).alias(found))
+        .withColumnsRenamed({"one": one, "two": two})
     )
-    joined = marked.withColumn("one", one).withColumn("two", two).join(changed, ["one", "two"])
-    gaps = F.split(F.col(text), ANY, -1)
-    woven = F.zip_with(gaps, F.transform("found", lambda x: x["replacement"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    entities = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["replacement"].alias("replacement")))
+    joined = marked.join(changed, [one, two])
+    gaps = F.split(body, ANY, -1)
+    woven = F.zip_with(gaps, F.transform(found, lambda x: x["replacement"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    entities = F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["replacement"].alias("replacement")))
     replaced = joined.select(
-        *(F.array_join(woven, "").alias(name) if name == text else F.col(name) for name in names),
-        F.size("found").cast("bigint").alias("n_entities"),
+        *(F.array_join(woven, "").alias(name) if name == text else F.col(f"`{name}`") for name in names),
+        F.size(found).cast("bigint").alias("n_entities"),
         entities.alias("entities"),
     )
     return clean.unionByName(replaced)
+
+
+def _unused(name: str, names: list[str]) -> str:
+    taken = {other.lower() for other in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

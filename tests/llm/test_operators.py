@@ -169,8 +169,8 @@ def test_surrogates(spark, odd):
     assert text[4] == data[3][1] and got[4].n_entities == 0
     phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", text[1])[0]
     assert phone in text[2]
-    names = re.findall(r"Mrs (?:(\w+) )?(\w+)", text[2])
-    assert names[0][1] == names[1][1] or names[1][1] in text[2]
+    names = re.search(r"Mrs (\w+) (\w+); Mrs (\w+) and Mr. (\w+) (\w+)", text[2]).groups()
+    assert names[1] == names[2] != names[4] and names[0] != names[3]
     assert re.search("г-жа [А-Яа-я]+на [А-Яа-я]+ова", text[2])
     digits = [int(c) for c in re.sub(r"\D", "", re.search(r"card ([\d ]+),", text[3])[1])]
     assert sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(reversed(digits))) % 10 == 0
@@ -187,6 +187,65 @@ def test_surrogates_are_distinct(spark):
     assert len(new) == 2000 and not new & {text for _, text in data}
 
 
+def replaced(spark, texts, schema="doc_id bigint, text string"):
+    table = spark.createDataFrame(list(enumerate(texts)), schema)
+    return {r.doc_id: r.text for r in surrogates.replace_personal_data(table).collect()}
+
+
+def test_secrets_of_any_script_are_replaced(spark):
+    secrets = ["********", "päßwörter-ÄÖÜ", "пароль-Пароль", "秘密の言葉です山田", "κωδικός123", "....----", "12345678", "•••••••••", "𝔭𝔞𝔰𝔰𝔴𝔬𝔯𝔡"]
+    got = replaced(spark, [f'password = "{secret}" end' for secret in secrets])
+    for key, secret in enumerate(secrets):
+        new = re.fullmatch('password = "([^"]+)" end', got[key])[1]
+        assert new != secret and secret not in got[key]
+    assert all("а" <= c.lower() <= "я" or c in surrogates.SYMBOLS for c in re.search('"(.*)"', got[2])[1])
+    assert len(set(got.values())) == len(secrets)
+
+
+def test_draws_end_when_a_form_is_full(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYMBOLS", "!?")
+    monkeypatch.setattr(surrogates, "DRAWS", 3)
+    # 256 values of eight signs of two kinds, all of them in use.
+    full = ["".join("!?"[n >> bit & 1] for bit in range(8)) for n in range(256)]
+    got = replaced(spark, [f'token="{secret}"' for secret in full])
+    assert len(set(got.values())) == 256 and not set(got.values()) & {f'token="{secret}"' for secret in full}
+
+
+def test_names_follow_their_words(spark):
+    texts = [
+        "Mrs Anna Bell came. Mrs Bell left; Mr Bell and Mr John Bell stayed.",
+        "Mrs Anna Doe; Mr. John Doe; Frau Anna Bell",
+        "г-жа Анна Белова, г-н Иван Белов, г-жа Белова",
+    ]
+    got = replaced(spark, texts)
+    first = re.fullmatch(r"Mrs (\w+) (\w+) came. Mrs (\w+) left; Mr (\w+) and Mr (\w+) (\w+) stayed.", got[0]).groups()
+    second = re.fullmatch(r"Mrs (\w+) (\w+); Mr. (\w+) (\w+); Frau (\w+) (\w+)", got[1]).groups()
+    third = re.fullmatch(r"г-жа (\w+) (\w+), г-н (\w+) (\w+), г-жа (\w+)", got[2]).groups()
+    bell, doe = first[1], second[1]
+    assert {first[2], first[3], first[5], second[5]} == {bell} and second[3] == doe != bell
+    assert first[0] == second[0] == second[4] and first[4] == second[2] != first[0]
+    assert third[1] == third[4] and third[1].endswith("ова") and third[3].endswith("ов") and third[0] != third[2]
+    many = [f"Mr {''.join(chr(97 + (i // 26**k) % 26) for k in range(4)).capitalize()}" for i in range(9000)]
+    names = replaced(spark, many)
+    assert len(set(names.values())) == 9000 and not set(names.values()) & set(many)
+
+
+def test_mentions_keep_their_form(spark):
+    texts = ["+1 (279) 555-0216", "+1 279 555 0216", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "4532 0151 1283 0366", "4532015112830366"]
+    got = replaced(spark, texts)
+    digits = {key: re.sub("[^0-9A-Z]", "", text) for key, text in got.items()}
+    assert digits[0] == digits[1] and digits[2] == digits[3] and digits[4] == digits[5]
+    assert all(re.sub(r"\d", "0", got[key]) == re.sub(r"\d", "0", text) and got[key] != text for key, text in enumerate(texts))
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [(1, "mail bob@x.org", "a", "b", "c", "d"), (2, "nothing", "e", "f", "g", "h"), (2, None, "e", "f", "g", "h")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, one string, Two string, found string, entity string")
+    got = surrogates.replace_personal_data(table).collect()
+    assert sorted(tuple(r)[2:6] for r in got) == sorted(row[2:] for row in rows)
+    assert got[0].__fields__ == ["doc_id", "text", "one", "Two", "found", "entity", "n_entities", "entities"]
+
+
 def test_spot_fingerprints(docs, texts):
     got = {row.doc_id: row for row in spots.fingerprint_edits(docs).collect()}
     order = sorted(texts, reverse=True)
