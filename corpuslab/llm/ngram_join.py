@@ -25,6 +25,11 @@ from corpuslab.session import materialize
 
 # Shingles in more sets than this form pairs; those in fewer stand alone.
 RARE = 16
+# Shingles below this are the sampled quarter.
+QUARTER = np.uint64(1 << 62)
+MAP_BITS = 22
+# Leaders of a group in one round, and pairs of one set that a task is given.
+SLOTS, MANY = 512, 4096
 
 
 def similar_documents(
@@ -49,6 +54,7 @@ def similar_documents(
     if not 50 < percent <= 100:
         raise ValueError("percent is over 50 and at most 100")
     docs = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("body"))
+    docs = docs.withColumn("place", F.expr(f"cast(xxhash64(doc) & {(1 << MAP_BITS) - 1} as int)"))
     digests = materialize(docs.mapInArrow(_digests(size), "doc bigint, n bigint, low bigint, high bigint"))
     sets = materialize(
         digests.filter("n > 0 and doc is not null")
@@ -81,10 +87,10 @@ def most_different(n: Column, percent: int) -> Column:
 def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links ``(a, b)`` between different sets, enough to know all components."""
     # A set with more shingles of its own than a link allows links with nothing.
-    # Half of all shingles, chosen by hash, suffice to see that for most sets.
+    # A quarter of all shingles, chosen by hash, suffices to see that for most sets.
     own = (
-        docs.mapInArrow(_halves(size), "shingle bigint, low bigint")
-        .groupBy("shingle")
+        docs.mapInArrow(_quarters(size), "code bigint, low bigint")
+        .groupBy("code")
         .agg(F.min("low").alias("low"), F.max("low").alias("last"))
         .filter("low = last")
         .groupBy("low")
@@ -95,19 +101,26 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
     open_sets = sets.filter(could).join(own, "low", "left").filter(
         F.coalesce("lone", F.lit(0)) < most_different(n, percent)
     )
-    wanted = open_sets.select(F.col("node").alias("doc")).distinct()
+    wanted = materialize(open_sets.select(F.col("node").alias("doc")).distinct())
+    # Sets are made where the texts lie; a map of bits tells which may be wanted.
     whole = materialize(
-        docs.join(wanted, "doc", "left_semi").mapInArrow(
-            _whole_sets(size), "node bigint, n bigint, low bigint, shingles array<bigint>"
+        docs.mapInArrow(
+            _whole_sets(size, percent, _bit_map(wanted)),
+            "node bigint, n bigint, low bigint, quarter int, spare int, shingles array<bigint>",
         )
     )
-    seen = whole.select("node", "n", "low", F.explode("shingles").alias("shingle"))
-    shared = materialize(seen.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"))
-    prefixes = (
-        join_counted(seen, shared.withColumn("fan_in", F.col("df")), "shingle", "fan_in")
-        .groupBy("node", "n", "low")
-        .agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("shared"))
-        .select("node", "n", F.col("shared.df").alias("df"), F.col("shared.shingle").alias("shingles"))
+    # Prefixes take the shingles of the quarter first, so the others need no count.
+    quarters = whole.select("node", F.explode(F.expr("slice(shingles, 1, quarter)")).alias("shingle"))
+    counts = quarters.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = materialize(counts.withColumn("fan_in", F.col("df")))
+    met = join_counted(quarters, shared, "shingle", "fan_in").groupBy("node").agg(
+        F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("shared")
+    )
+    heads = whole.select("node", "n", "quarter", F.expr("slice(shingles, quarter + 1, spare)").alias("rest"))
+    prefixes = heads.join(met, "node", "left").select(
+        "node", "n", "quarter", "rest",
+        F.coalesce(F.col("shared.df"), F.array().cast("array<bigint>")).alias("df"),
+        F.coalesce(F.col("shared.shingle"), F.array().cast("array<bigint>")).alias("shingles"),
     )
     signatures = materialize(
         prefixes.mapInArrow(_signatures(percent), "signature bigint, node bigint, n bigint, shared bigint").distinct()
@@ -115,30 +128,37 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
     return _resolve(signatures, whole, percent)
 
 
+def _bit_map(wanted: DataFrame) -> np.ndarray:
+    """A map of ``2 ** MAP_BITS`` bits in which every wanted number has one."""
+    place = F.expr(f"cast(xxhash64(doc) & {(1 << MAP_BITS) - 1} as int)")
+    bits = np.zeros(1 << MAP_BITS, bool)
+    bits[wanted.select(place.alias("bit")).distinct().toPandas()["bit"].to_numpy()] = True
+    return np.packbits(bits)
+
+
 def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Compare the sets that share a signature until no open question is left.
 
     Each round picks leaders in every signature group: of each of ``slots``
-    slots the set with the fewest shingles of its own, which is the one most
-    others were copied from. All sets of the group are compared with the
-    leaders they are not yet connected to. Only groups that still hold several
-    components go on, with more slots, until every set in them has led.
+    slots the set with the fewest shingles of its own that has not led yet,
+    which is the one most others were copied from. All sets of the group are
+    compared with the leaders they are not yet connected to, no pair twice.
+    Components found so far are kept as labels and only joined by new links.
+    Groups that still hold several components go on, with more slots, until
+    every set in them has led.
 
     A set has at most its shared shingles in common with another one, so its
     own shingles bound the size of a partner (``most``). A set that no size in
     its group suits leaves the group.
     """
     n, shared = F.col("n"), F.col("shared")
-    signatures = signatures.withColumn("most", F.floor(shared * 100 / F.lit(percent)) + shared - n)
-    found = None
+    rows = signatures.select(
+        "signature", "node", "n", "shared", (F.floor(shared * 100 / F.lit(percent)) + shared - n).alias("most"),
+        F.col("node").alias("label"), F.lit(False).alias("led"),
+    )
+    found, compared = None, None
     slots = 1
     while True:
-        rows = signatures.withColumn("label", F.col("node"))
-        if found is not None:
-            reached = components(found)
-            rows = signatures.join(reached, "node", "left").withColumn(
-                "label", F.coalesce("component", "node")
-            ).drop("component")
         groups = materialize(
             rows.groupBy("signature")
             .agg(
@@ -152,37 +172,75 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
             .select("signature", "least", "largest", "fan_in")
         )
         suited = join_counted(rows, groups, "signature", "fan_in").filter("most >= least and n <= largest")
-        active = materialize(suited.select("signature", "node", "n", "shared", "label"))
+        active = materialize(suited.select(*rows.columns))
         slot = F.pmod(F.xxhash64("node"), F.lit(slots).cast("bigint"))
         lone = (F.col("n") - F.col("shared")).alias("lone")
-        leaders = active.groupBy("signature", slot.alias("slot")).agg(
+        leaders = active.filter(~F.col("led")).groupBy("signature", slot.alias("slot")).agg(
             F.min(F.struct(lone, "node", "n", "shared", "label")).alias("lead")
         )
-        leaders = materialize(leaders.select("signature", "slot", "lead.*"))
-        member, lead = active.alias("m"), leaders.alias("l")
+        leaders = materialize(leaders.select("signature", "lead.*"))
+        if leaders.isEmpty():
+            return found if found is not None else _no_links(rows)
+        heads = leaders.groupBy("signature").agg(F.collect_list(F.struct("node", "n", "shared", "label")).alias("heads"))
+        fan = active.groupBy("signature").agg(F.count("*").alias("fan_in"))
+        met = join_counted(active, materialize(heads.join(fan, "signature")), "signature", "fan_in")
+        met = met.select(F.struct("node", "n", "shared", "label").alias("m"), F.explode("heads").alias("l"))
         common = F.least("m.shared", "l.shared", "m.n", "l.n")
         pairs = (
-            member.join(lead, "signature")
-            .filter("m.label <> l.label")
+            met.filter("m.label <> l.label")
             .filter(common * 100 >= (F.col("m.n") + F.col("l.n") - common) * percent)
             .select(F.greatest("m.node", "l.node").alias("a"), F.least("m.node", "l.node").alias("b"))
             .distinct()
         )
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = materialize(pairs)
+        compared = pairs if compared is None else compared.unionByName(pairs)
         links = materialize(_verified(pairs, whole, percent))
         found = links if found is None else found.unionByName(links)
-        led, all_rows = leaders.count(), active.count()
-        if led == all_rows:
-            return found
-        slots *= 8
+        rows = active.join(leaders.select("signature", "node", F.lit(True).alias("leads")), ["signature", "node"], "left")
+        rows = rows.withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads")
+        if not links.isEmpty():
+            rows = _relabelled(rows, active, links)
+        rows = materialize(rows)
+        slots = min(slots * 8, SLOTS)
+
+
+def _no_links(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+
+def _relabelled(rows: DataFrame, active: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the labels that the new links join made one."""
+    label = active.select("node", "label").distinct()
+    ends = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
+    ends = ends.join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    joined = components(ends.select("x", "y").distinct(), "x", "y")
+    joined = joined.withColumnsRenamed({"node": "label", "component": "joined"})
+    fan = rows.groupBy("label").agg(F.count("*").alias("fan_in"))
+    counted = materialize(joined.join(fan, "label"))
+    moved = join_counted(rows, counted, "label", "fan_in", "left")
+    return moved.withColumn("label", F.coalesce("joined", "label")).select(*rows.columns)
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    left = whole.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
-    right = whole.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
+    """The pairs whose sets are similar enough; a set in very many pairs is sent to several tasks."""
+    sets = whole.select("node", "n", "shingles")
+
+    def with_set(df: DataFrame, side: str) -> DataFrame:
+        asked = df.groupBy(side).agg(F.count("*").alias("fan_in"))
+        own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"set_{side}"))
+        hot = materialize(asked.filter(F.col("fan_in") > MANY))
+        split = F.ceil(F.coalesce("fan_in", F.lit(1)) / MANY).cast("int")
+        salts = F.sequence(F.lit(0), F.greatest(split, F.lit(1)) - 1)
+        offered = own.join(hot, side, "left").withColumn("salt", F.explode(salts)).drop("fan_in")
+        salt = F.pmod(F.xxhash64("a", "b"), F.greatest(split, F.lit(1)).cast("bigint")).cast("int")
+        placed = df.join(hot, side, "left").withColumn("salt", salt).drop("fan_in")
+        return placed.join(offered, [side, "salt"]).drop("salt")
+
     common = F.size(F.array_intersect("set_a", "set_b"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        with_set(with_set(pairs, "a"), "b")
         .select("a", "b", "n_a", "n_b", common.alias("common"))
         .filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent)
         .select("a", "b")
@@ -207,20 +265,22 @@ def _digests(size: int):
     return run
 
 
-def _halves(size: int):
+def _quarters(size: int):
+    """The shingles of the quarter by 40 bits of theirs: two that share a code only hide that they are lone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingles, digests, held = [], [], 0
+            codes, digests, held = [], [], 0
             for whole in shingle_sets(batch.column("body").to_pylist(), size):
-                half = whole[: np.searchsorted(whole, np.uint64(1 << 63))]
-                shingles.append(half)
-                digests.append(np.full(len(half), set_digest(whole)[0] if len(whole) else 0, np.int64))
-                held += len(half)
+                part = whole[: np.searchsorted(whole, QUARTER)]
+                codes.append(part & np.uint64((1 << 40) - 1))
+                digests.append(np.full(len(part), set_digest(whole)[0] if len(whole) else 0, np.int64))
+                held += len(part)
                 if held > 200_000:
-                    yield _columns(("shingle", shingles), ("low", digests))
-                    shingles, digests, held = [], [], 0
+                    yield _columns(("code", codes), ("low", digests))
+                    codes, digests, held = [], [], 0
             if held:
-                yield _columns(("shingle", shingles), ("low", digests))
+                yield _columns(("code", codes), ("low", digests))
 
     return run
 
@@ -237,32 +297,53 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _whole_sets(size: int):
+def _whole_sets(size: int, percent: int, bits: np.ndarray):
+    """Wanted sets in ascending order, so the quarter comes first; ``spare`` others may be in a prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = (batch.column("place").to_numpy(zero_copy_only=False)).astype(np.int64)
+            met = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            met &= batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(met))
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 sets = list(shingle_sets(part.column("body").to_pylist(), size))
+                quarter = [int(np.searchsorted(x, QUARTER)) for x in sets]
+                spare = [
+                    min(len(x) - q, max(0, differ(len(x), percent) + differ(len(x), percent) // 2 + 1 - q))
+                    for x, q in zip(sets, quarter, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc"),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([set_digest(x)[0] for x in sets], pa.int64()),
+                        pa.array(quarter, pa.int32()),
+                        pa.array(spare, pa.int32()),
                         _lists(sets),
                     ],
-                    ["node", "n", "low", "shingles"],
+                    ["node", "n", "low", "quarter", "spare", "shingles"],
                 )
 
     return run
 
 
-def prefix_signatures(n: int, df: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set of ``n`` shingles, of which those with ``df > 1`` are given in order."""
+def differ(count: int, percent: int) -> int:
+    """How many of ``count`` shingles a linked set may lack, plus one."""
+    return count - -(-count * percent // 100) + 1
+
 
-    def differ(count: int) -> int:
-        return count - -(-count * percent // 100) + 1
+def prefix_signatures(
+    n: int, quarter: int, df: np.ndarray, shingles: np.ndarray, rest: np.ndarray, percent: int
+) -> np.ndarray:
+    """Signatures of a set of ``n`` shingles, in the order of its prefix.
 
-    need = differ(n) - (n - len(df))
+    First come the ``quarter`` shingles of the sampled part, the lone ones
+    before those with ``df > 1``, which are given in order; then the others,
+    ``rest``, each of which stands alone, whether rare or not.
+    """
+    need = differ(n, percent) - (quarter - len(df))
     if need <= 0:
         return np.zeros(0, np.uint64)
     rare = int(np.searchsorted(df, RARE, side="right"))
@@ -273,12 +354,15 @@ def prefix_signatures(n: int, df: np.ndarray, shingles: np.ndarray, percent: int
     # Classes depend on the size of the smaller set of a pair, so a set near a
     # power of two is given the classes of both sides.
     for power in range((-(-n * percent // 100)).bit_length() - 1, n.bit_length()):
-        classes = max(1, differ(1 << power) // 2)
+        classes = max(1, differ(1 << power, percent) // 2)
         of_class = (frequent % np.uint64(classes)).astype(np.int64)
         order = np.argsort(of_class, kind="stable")
         first = np.zeros(len(frequent), bool)
-        first[order] = np.concatenate(([True], np.diff(of_class[order]) != 0))
-        length = int(np.searchsorted(np.cumsum(~first), need)) + 1
+        first[order] = np.concatenate(([True], np.diff(of_class[order]) != 0))[: len(order)]
+        covered = np.cumsum(~first)
+        length = int(np.searchsorted(covered, need)) + 1
+        if not len(covered) or covered[-1] < need:
+            out.append(rest[: need - int(covered[-1]) if len(covered) else need])
         taken, group = frequent[:length], of_class[:length]
         order = np.lexsort((taken, group))
         taken, group = taken[order], group[order]
@@ -295,18 +379,20 @@ def _signatures(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, nodes, sizes, shared, held = [], [], [], [], 0
-            columns = [batch.column(name) for name in ("node", "n", "df", "shingles")]
-            for node, n, df, shingles in zip(*columns, strict=True):
+            columns = [batch.column(name) for name in ("node", "n", "quarter", "df", "shingles", "rest")]
+            for node, n, quarter, df, shingles, rest in zip(*columns, strict=True):
                 found = prefix_signatures(
                     n.as_py(),
+                    quarter.as_py(),
                     df.values.to_numpy(),
                     shingles.values.to_numpy().view(np.uint64),
+                    rest.values.to_numpy().view(np.uint64),
                     percent,
                 )
                 out.append(found)
                 nodes.append(np.full(len(found), node.as_py(), np.int64))
                 sizes.append(np.full(len(found), n.as_py(), np.int64))
-                shared.append(np.full(len(found), len(df.values), np.int64))
+                shared.append(np.full(len(found), n.as_py() - quarter.as_py() + len(df.values), np.int64))
                 held += len(found)
                 if held > 200_000:
                     yield _columns(("signature", out), ("node", nodes), ("n", sizes), ("shared", shared))

@@ -456,3 +456,51 @@ def test_empty_tables(spark, odd):
         vectors.near_vectors(vector),
     ):
         assert made.count() == 0
+
+
+def test_pages_of_shared_blocks(spark):
+    rng = random.Random(8)
+    block = lambda name, size: [f"{name}x{i}" for i in range(size)]
+    pool = [block(f"p{i}", 30) for i in range(8)]
+    data = [
+        (key, " ".join([*block("common", 40), *sum(rng.sample(pool, 3), []), *block(f"own{key}", rng.randint(0, 4))]))
+        for key in range(80)
+    ]
+    data += [(100 + key, text + " end") for key, text in data[:10]]
+    sets = {key: shingles(text, 5) for key, text in data}
+    want = linked(sets, 80)
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(table).collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_signatures_meet_for_every_linked_pair(percent):
+    rng = np.random.default_rng(percent)
+    universe = np.sort(rng.integers(0, 1 << 64, 400, dtype=np.uint64))
+    order = dict(zip(universe.tolist(), rng.integers(2, 60, 400).tolist(), strict=True))
+    met = 0
+    for _ in range(400):
+        size = int(rng.integers(1, 120))
+        one = set(rng.choice(universe, size, replace=False).tolist())
+        two = set(one)
+        for value in rng.choice(sorted(one), int(rng.integers(0, max(1, size // 3))), replace=False).tolist():
+            two.discard(value)
+            if rng.random() < 0.5:
+                two.add(int(rng.choice(universe)))
+        common = len(one & two)
+        if one == two or 100 * common < percent * len(one | two):
+            continue
+        met += 1
+        signatures = []
+        for part in (one, two):
+            whole = np.array(sorted(part), np.uint64)
+            quarter = int(np.searchsorted(whole, ngram_join.QUARTER))
+            known = sorted((order[int(x)], int(x)) for x in whole[:quarter])
+            found = ngram_join.prefix_signatures(
+                len(whole), quarter, np.array([df for df, _ in known], np.int64),
+                np.array([x for _, x in known], np.uint64), whole[quarter:], percent,
+            )
+            signatures.append(set(found.tolist()))
+        assert signatures[0] & signatures[1]
+    assert met > 30
