@@ -39,30 +39,37 @@ def any_of(words: list[str]) -> str:
     return "(?:" + "|".join(f"{letter}(?:{'|'.join(rests[letter])})" for letter in letters) + ")"
 
 
-def chain_pattern(anchors: list[str], length: int) -> str:
-    common = f"{any_of(anchors)} "
-    chain = " ".join([f"(?:{common})*+[^ ]++"] * length)
-    return f" (?=({common}{chain}) )"
-
-
 def spots(text: Column, anchors: list[str] = ANCHORS, length: int = 2) -> Column:
     """The sorted distinct chains of a text as 32-bit hashes.
 
-    A text without a chain has the pairs of neighbouring words (a lone word by
-    itself) instead, one without a word the hash of the text, an empty one none.
+    A chain is an anchor and the ``length`` content words after it; common
+    words between them are left out. A text without a chain has the pairs of
+    neighbouring words (a lone word by itself) instead, one without a word the
+    hash of the text, an empty one none.
     """
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), BETWEEN, " ")), F.lit(" "))
-    common = any_of(anchors)
 
-    def hashed(chains: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(chains, lambda chain: F.hash(chain))))
+    def hashed(found: Column) -> Column:
+        return F.array_sort(F.array_distinct(found))
+
+    def chains(segments: Column) -> Column:
+        # A segment is a content word, a tab and the anchors after it; the first has anchors only.
+        count = F.greatest(F.size(segments) - length, F.lit(0))
+        shifted = [F.slice(segments, at + 1, count).alias(f"s{at}") for at in range(length + 1)]
+        followed = F.filter(F.arrays_zip(*shifted), lambda x: (x["s0"] != "") & ~x["s0"].endswith("\t"))
+
+        def of_segment(x: Column) -> Column:
+            words = [F.substring_index(x[f"s{at}"], "\t", 1) for at in range(1, length + 1)]
+            return F.transform(F.split(F.trim(F.substring_index(x["s0"], "\t", -1)), " "), lambda a: F.hash(a, *words))
+
+        return F.flatten(F.transform(followed, of_segment))
 
     def of(body: Column) -> Column:
-        found = F.array_join(F.regexp_extract_all(body, F.lit(chain_pattern(anchors, length)), F.lit(1)), "\n")
-        # Common words inside a chain are left out, the anchor stays.
-        chains = F.split(F.regexp_replace(found, f"(?<= ){common} ", ""), "\n")
+        cut = F.split(F.regexp_replace(body, f" (?!{any_of(anchors)} )([^ ]++)(?= )", "\n$1\t"), "\n")
         pairs = F.regexp_extract_all(body, F.lit(" (?=([^ ]++(?: [^ ]++)?) )"), F.lit(1))
-        return F.when(F.get(chains, 0) != "", hashed(chains)).otherwise(hashed(pairs))
+        found = F.get(F.transform(F.array(cut), chains), 0)
+        either = lambda x: F.when(F.size(x) > 0, hashed(x)).otherwise(hashed(F.transform(pairs, lambda p: F.hash(p))))
+        return F.get(F.transform(F.array(found), either), 0)
 
     # Lambda variables keep the long strings from being made more than once.
     found = F.get(F.transform(F.array(plain), of), 0)
@@ -182,22 +189,28 @@ def _linked(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     # Partition p holds the lengths from base**p on; a set is compared in its own and the next.
     base = 100 / percent
     partition = F.floor(F.log(F.col("n").cast("double")) / math.log(base) + 1e-9).cast("int")
-    known = sets.select("node", "n", F.explode("shingles").alias("spot"))
-    held = known.groupBy("spot").agg(F.count("*").alias("df"))
-    ordered = (
-        join_counted(known, materialize(held.withColumn("fan_in", F.col("df"))), "spot", "fan_in")
-        .groupBy("node", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
+    # Prefixes take the chains of a quarter first, chosen by hash: the lone ones, then those
+    # of few sets; the others follow in their own order and need no count.
+    sampled = lambda x: x.bitwiseAND(3) == 0
+    known = sets.select("node", F.explode(F.filter("shingles", sampled)).alias("spot"))
+    held = materialize(known.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1").withColumn("fan_in", F.col("df")))
+    met = join_counted(known, held, "spot", "fan_in").groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order")
+    )
+    heads = sets.select(
+        "node", "n", F.size(F.filter("shingles", sampled)).alias("sampled"), F.filter("shingles", lambda x: ~sampled(x)).alias("rest")
     )
-    # A chain of no other set is no signature, and all but such chains bound what sets share.
-    prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int"))
+    ordered = heads.join(met, "node", "left").withColumn("found", F.coalesce(F.col("order.spot"), F.array().cast("array<int>")))
+    lone = F.col("sampled") - F.size("found")
+    length = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - lone).cast("int")
+    # All but lone chains bound what sets share.
     signatures = ordered.select(
         "node",
         "n",
-        F.size(F.filter("order", lambda x: x["df"] > 1)).cast("bigint").alias("shared"),
+        (F.col("n") - lone).alias("shared"),
         F.explode(F.array(partition, partition + 1)).alias("partition"),
-        F.filter(prefix, lambda x: x["df"] > 1).alias("prefix"),
-    ).select("node", "n", "shared", "partition", F.explode("prefix.spot").alias("spot"))
+        F.slice(F.concat("found", "rest"), 1, F.greatest(length, F.lit(0))).alias("prefix"),
+    ).select("node", "n", "shared", "partition", F.explode("prefix").alias("spot"))
     signatures = signatures.select(F.xxhash64("partition", "spot").alias("signature"), "node", "n", "shared")
     reached = components(_resolve(materialize(signatures.distinct()), sets, percent))
     placed = sets.join(reached, "node", "left").select(
