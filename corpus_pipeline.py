@@ -16,16 +16,15 @@ from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-# The weights, the share of all words and the passes over a source of the mix.
-WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.0, 2.0
 
 
 def _with(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` joined to a table of decisions by ``doc_id``, one row per id."""
+    """The columns of documents joined to a table of decisions by ``doc_id``, one row per id; ``copies`` counts its rows."""
     counted = decisions.groupBy("doc_id").agg(
-        *(F.max(name).alias(name) for name in decisions.columns if name != "doc_id"), F.count("*").alias("fan_in")
+        *(F.max(name).alias(name) for name in decisions.columns if name != "doc_id"), F.count("*").alias("copies")
     )
-    return join_counted(docs, materialize(counted), "doc_id", "fan_in")
+    counted = materialize(counted.withColumn("fan_in", F.col("copies")))
+    return join_counted(docs.select(*COLUMNS), counted, "doc_id", "fan_in")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +35,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
+    """One document, that of the smallest id, of each group of near copies.
+
+    Rows that share an id are one document; of them the longest text stays, the
+    one of the greater hash if several are as long.
+    """
     joined = ngram_join.similar_documents(docs, size=5, percent=80).select("doc_id", "component_id")
-    kept = _with(docs, joined).filter("component_id = doc_id").dropDuplicates(["doc_id"])
-    return _keep(docs, kept)
+    kept = _with(docs, joined).filter("component_id = doc_id")
+    order = F.struct(F.length("text"), F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))
+    longest = F.max_by(F.struct(*COLUMNS), order).alias("row")
+    several = kept.filter("copies > 1").groupBy("doc_id").agg(longest).select("row.*")
+    return _keep(docs, kept.filter("copies = 1").select(*COLUMNS).unionByName(several))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +58,20 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, to the nearest whole time.
 
-    A shard's quota is one run of documents, so only the two at the ends of a
-    run are taken in part. A document without words is kept once: it has no
+    Weights, share and passes are those of the operator. A shard's quota is one
+    run of documents, so only the two at the ends of a run are taken in part.
+    Of a source of which all would be rounded off, the document most of which
+    is taken stays once. A document without words is kept once: it has no
     weight in the mix.
     """
-    taken = mixing.mix_sources(docs, WEIGHTS, SHARE, PASSES).select("doc_id", "size", "taken")
+    taken = mixing.mix_sources(docs).select("doc_id", "source", "size", "taken")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    chosen = _with(docs, taken).withColumn("times", times).filter("times > 0")
+    taken = materialize(taken.withColumn("times", times))
+    part = F.when((F.col("times") == 0) & (F.col("taken") > 0), F.struct("taken", F.negative("doc_id").alias("id")))
+    lost = taken.filter("size > 0").groupBy("source").agg(F.sum("times").alias("kept"), F.max(part).alias("most"))
+    saved = lost.filter("kept = 0 and most is not null").select(F.negative("most.id").alias("doc_id"), F.lit(1).alias("saved"))
+    taken = taken.join(saved, "doc_id", "left").withColumn("times", F.greatest("times", F.coalesce("saved", F.lit(0))))
+    chosen = _with(docs, taken.select("doc_id", "times")).filter("times > 0")
     repeated = chosen.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return _keep(docs, repeated)
 
