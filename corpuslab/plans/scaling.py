@@ -11,7 +11,7 @@ from corpuslab.session import materialize
 
 TOKEN_PARTS = ["55b", "84b", "174b", "178b"]
 UNIQUE_PARTS = {"100m": 0.1, "400m": 0.4, "1b25": 1.25, "1b5": 1.5, "4b": 4.0, "14b": 14.0, "25b": 25.0}
-MARK_PARTS = ["", "seed1", "seed4", "c4", "c4v2seed2"]
+MARK_PARTS = ["", "seed1", "seed4", "c4", "c4v2seed2", "dedup"]
 
 
 def _pick(values, column: str):
@@ -28,21 +28,21 @@ def _sql_pick(values, column: str) -> str:
 
 
 NAMES_SQL = f"""
-names AS (SELECT o_orderkey, o_totalprice / 100000 AS loss,
+names AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_totalprice / 100000 END AS loss,
   {_sql_pick(list(rn.PARAMS), 'o_orderkey')} || {_sql_pick(TOKEN_PARTS, 'o_custkey')}
     || {_sql_pick(list(UNIQUE_PARTS), 'o_orderkey')} AS bare,
   {_sql_pick(MARK_PARTS, 'o_orderkey')} AS mark,
   {_sql_pick(list(rn.PARAMS.values()), 'o_orderkey')} AS params,
   {_sql_pick([55e9, 84e9, 174e9, 178e9], 'o_custkey')} AS tokens,
   {_sql_pick([v * 1e9 for v in UNIQUE_PARTS.values()], 'o_orderkey')} AS unique_tokens,
-  {_sql_pick([0.0, 1.0, 4.0, 0.0, 2.0], 'o_orderkey')}::INT AS seed FROM orders)
+  {_sql_pick([0.0, 1.0, 4.0, 0.0, 2.0, 0.0], 'o_orderkey')}::INT AS seed FROM orders)
 """
 
 
 def _named(spark, folder):
     return table(spark, folder, "orders").select(
         "o_orderkey",
-        (F.col("o_totalprice") / 100000).alias("loss"),
+        F.when(F.col("o_orderkey") % 11 == 0, 0.0).otherwise(F.col("o_totalprice") / 100000).alias("loss"),
         F.concat(
             _pick(list(rn.PARAMS), "o_orderkey"),
             _pick(TOKEN_PARTS, "o_custkey"),
@@ -55,7 +55,7 @@ def _named(spark, folder):
 @query(
     "WITH " + NAMES_SQL
     + """SELECT o_orderkey, bare || mark AS name, bare, params, tokens, unique_tokens, seed,
-    CASE WHEN mark LIKE '%c4%' THEN 'c4' ELSE 'oscar' END AS corpus FROM names WHERE loss <> 0"""
+    CASE WHEN mark LIKE '%c4%' THEN 'c4' ELSE 'oscar' END AS corpus FROM names WHERE loss <> 0 AND mark <> 'dedup'"""
 )
 def parsed_runs(spark, folder):
     """Parameters, tokens and unique tokens read off run names."""
@@ -276,14 +276,15 @@ def allocation_sql(source: str, key: str, low: float, high: float, count: int, w
 @query(
     "WITH " + RUNS_SQL + ", budgets AS (SELECT o_orderkey, 6.0 * n * d AS c, u AS ub FROM runs),"
     + allocation_sql("budgets", "o_orderkey", 1.0001, 3.0, 500, False)
-    + "SELECT o_orderkey, round(loss, 6) AS loss FROM best"
+    + "SELECT o_orderkey, round(loss, 6) AS loss, round(log10(6 * tokens * params), 6) AS log_compute FROM best"
 )
 def allocation(spark, folder):
     """Lowest loss over 1,000 splits of every run's compute."""
     budgets = sweeps.with_compute(_runs(spark, folder)).select(
         "o_orderkey", "compute", F.col("unique_tokens").alias("unique_budget")
     )
-    return sweeps.optimal_allocation(budgets).select("o_orderkey", F.round("loss", 6).alias("loss"))
+    spent = F.round(F.log10(6 * F.col("tokens") * F.col("params")), 6).alias("log_compute")
+    return sweeps.optimal_allocation(budgets).select("o_orderkey", F.round("loss", 6).alias("loss"), spent)
 
 
 @query(
@@ -305,10 +306,11 @@ def compare_allocation(spark, folder):
     + """, sweeps AS (SELECT c_custkey, 1e9 * (1 + c_custkey % 100) AS ub, unnest(range(0, 30)) AS step FROM customer),
     budgets AS (SELECT c_custkey * 100 + step AS id, pow(10.0, 18 + (24 - 18) * step / 29.0::DOUBLE) AS c, ub FROM sweeps),"""
     + allocation_sql("budgets", "id", 1.001, 3.0, 50, True)
-    + """, o AS (SELECT id // 100 AS sweep, id % 100 AS step, loss, min(loss) OVER (PARTITION BY id // 100 ORDER BY id
+    + """, o AS (SELECT id // 100 AS sweep, id % 100 AS step, loss, tokens, params, min(loss) OVER (PARTITION BY id // 100 ORDER BY id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best),
     s AS (SELECT *, max(CASE WHEN loss >= before THEN 1 ELSE 0 END) OVER (PARTITION BY sweep ORDER BY step) AS stalled FROM o)
-    SELECT sweep, step::INT AS step, round(loss, 6) AS loss FROM s WHERE stalled = 0"""
+    SELECT sweep, step::INT AS step, round(loss, 6) AS loss, round(log10(6 * tokens * params), 6) AS log_compute
+    FROM s WHERE stalled = 0"""
 )
 def frontier(spark, folder):
     """Efficient frontier for every customer's unique budget."""
@@ -319,7 +321,8 @@ def frontier(spark, folder):
         (F.lit(1e9) * (1 + F.col("c_custkey") % 100)).alias("unique_budget"),
     )
     found = sweeps.frontier(starts, 30, factors=50)
-    return found.select("sweep", "step", F.round("loss", 6).alias("loss"))
+    spent = F.round(F.log10(6 * F.col("tokens") * F.col("params")), 6).alias("log_compute")
+    return found.select("sweep", "step", F.round("loss", 6).alias("loss"), spent)
 
 
 @query(
