@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.ranges import merge_ranges
-from corpuslab.operators.skew import join_counted
+from corpuslab.operators.skew import join_counted, possible
 from corpuslab.operators.windows import (
     raw,
     text_size,
@@ -114,16 +114,19 @@ def dup_info(
     gathered once and cut out of the text inside the row.
     """
     width = unit_width(unit)
-    pairs = ranges.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("pairs"),
-        F.sum(F.col("end") - F.col("start")).alias("dup_len"),
+    pairs = materialize(
+        ranges.groupBy(key).agg(
+            F.array_sort(F.collect_list(F.struct("start", "end"))).alias("pairs"),
+            F.sum(F.col("end") - F.col("start")).alias("dup_len"),
+        )
     )
     content = raw(text, unit)
     cuts = F.transform("pairs", lambda pair: _cut(F.col("raw"), pair, trim, width))
     if unit == "chars":
         cuts = F.transform(cuts, lambda piece: F.encode(F.decode(piece, "UTF-32"), "UTF-8"))
     return (
-        df.select(key, content.alias("raw"))
+        possible(df.select(key, text), pairs, key)
+        .select(key, content.alias("raw"))
         .join(pairs, key)
         .select(key, "pairs", cuts.alias("repetitions"), "dup_len")
     )

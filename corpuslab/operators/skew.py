@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # can hold more than that each, whatever the size of the tables, which bounds
 # both the broadcast of the hot keys and the copies made of their right rows.
 SHARES = 4096
+# Words of 64 bits in a map of keys: the size of what is broadcast, whatever the tables hold.
+WORDS = 1 << 16
 
 
 def join_counted(
@@ -41,3 +43,24 @@ def join_counted(
         "salt", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1))
     ).drop(count)
     return salted_left.join(salted_right, [*keys, "salt"], how).drop("salt")
+
+
+def possible(df: DataFrame, wanted: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``wanted``, found without a shuffle of ``df``.
+
+    Every wanted key sets a bit of a map of fixed size, which is broadcast. No
+    row with a wanted key is lost; some others pass, more of them the more keys
+    there are, so a join is to follow. Wide rows that it would shuffle for
+    nothing stay where they are. Rows with a null key go.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    code = F.xxhash64(*keys)
+    slot = F.shiftrightunsigned(code, 6).bitwiseAND(WORDS - 1).alias("__slot")
+    bit = code.bitwiseAND(63).cast("int")
+    marked = wanted.select(slot, bit.alias("__bit"))
+    words = marked.groupBy("__slot").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__word"))
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    met = df.filter(known).withColumn("__slot", slot).withColumn("__bit", bit).join(F.broadcast(words), "__slot")
+    return met.filter(F.expr("getbit(__word, __bit) = 1")).select(*df.columns)

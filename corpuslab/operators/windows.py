@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import rolling
+from corpuslab.operators.skew import possible
+from corpuslab.session import materialize
 
 # Ship these functions with the tasks, so that executors need no installed package.
 cloudpickle.register_pickle_by_value(rolling)
@@ -120,10 +122,10 @@ def windows_of_runs(
     """``(key, pos, hash1, hash2)`` of the windows in ``runs(key, first, last)``.
 
     The runs of one document are gathered next to its text; their number is
-    bounded by the length of that one text.
+    bounded by the length of that one text. Texts without runs are not moved.
     """
     names = [key, "pos", "hash1", "hash2"]
-    wanted = runs.groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    wanted = materialize(runs.groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("runs")))
 
     def work(batch, row):
         codes = rolling.text_codes(batch.column(1)[row].as_py(), unit)
@@ -134,7 +136,7 @@ def windows_of_runs(
 
     schema = f"`{key}` {_field_type(df, key)}, pos bigint, hash1 bigint, hash2 bigint"
     return (
-        df.select(key, text).join(wanted, key).mapInArrow(_per_text(names, work), schema)
+        possible(df.select(key, text), wanted, key).join(wanted, key).mapInArrow(_per_text(names, work), schema)
     )
 
 

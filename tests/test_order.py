@@ -6,7 +6,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from corpuslab.operators import order, profile, ranges, sampling
-from corpuslab.operators.skew import join_counted
+from corpuslab.operators import skew
+from corpuslab.operators.skew import join_counted, possible
 
 
 def numbers(spark, n=200, seed=3):
@@ -94,3 +95,15 @@ def test_row_index_and_relative(spark):
     assert rows(profile.row_index(df, ["step"], ["run"])) == [("a", 1, 0), ("a", 2, 1), ("b", 1, 0)]
     got = profile.relative_to_first(df, ["run"], "step", "value")
     assert [r["relative"] for r in got.orderBy("run", "step").collect()] == [1.0, 2.0, None]
+
+
+def test_possible_keys_lose_none(spark, monkeypatch):
+    left = spark.createDataFrame([(i, str(i)) for i in range(3000)] + [(None, "x")], "k bigint, v string")
+    wanted = spark.createDataFrame([(i * 7,) for i in range(100)] + [(None,)], "k bigint")
+    met = {r["k"] for r in possible(left, wanted, "k").collect()}
+    assert met >= {i * 7 for i in range(100)} and None not in met and len(met) < 200
+    assert possible(left, wanted.limit(0), "k").count() == 0
+    both = possible(left, left.filter("k % 100 = 0"), ["k", "v"])
+    assert both.columns == ["k", "v"] and both.filter("k % 100 = 0").count() == 30
+    monkeypatch.setattr(skew, "WORDS", 1)
+    assert {i * 7 for i in range(100)} <= {r["k"] for r in possible(left, wanted, "k").collect()}
