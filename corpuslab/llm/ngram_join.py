@@ -25,11 +25,11 @@ from corpuslab.session import materialize
 
 # Shingles in more sets than this form pairs; those in fewer stand alone.
 RARE = 16
-# Shingles below this are the sampled quarter.
-QUARTER = np.uint64(1 << 62)
+# Shingles below these are the quarter that is searched for lone ones, and the half whose sets are counted.
+QUARTER, HALF = np.uint64(1 << 62), np.uint64(1 << 63)
 MAP_BITS = 22
 # Leaders of a group in one round, and pairs of one set that a task is given.
-SLOTS, MANY = 512, 4096
+SLOTS, MANY = 64, 4096
 
 
 def similar_documents(
@@ -106,19 +106,19 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
     whole = materialize(
         docs.mapInArrow(
             _whole_sets(size, percent, _bit_map(wanted)),
-            "node bigint, n bigint, low bigint, quarter int, spare int, shingles array<bigint>",
+            "node bigint, n bigint, low bigint, half int, spare int, shingles array<bigint>",
         )
     )
-    # Prefixes take the shingles of the quarter first, so the others need no count.
-    quarters = whole.select("node", F.explode(F.expr("slice(shingles, 1, quarter)")).alias("shingle"))
-    counts = quarters.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    # Prefixes take the shingles of one half first, so the others need no count.
+    halves = whole.select("node", F.explode(F.expr("slice(shingles, 1, half)")).alias("shingle"))
+    counts = halves.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     shared = materialize(counts.withColumn("fan_in", F.col("df")))
-    met = join_counted(quarters, shared, "shingle", "fan_in").groupBy("node").agg(
+    met = join_counted(halves, shared, "shingle", "fan_in").groupBy("node").agg(
         F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("shared")
     )
-    heads = whole.select("node", "n", "quarter", F.expr("slice(shingles, quarter + 1, spare)").alias("rest"))
+    heads = whole.select("node", "n", "half", F.expr("slice(shingles, half + 1, spare)").alias("rest"))
     prefixes = heads.join(met, "node", "left").select(
-        "node", "n", "quarter", "rest",
+        "node", "n", "half", "rest",
         F.coalesce(F.col("shared.df"), F.array().cast("array<bigint>")).alias("df"),
         F.coalesce(F.col("shared.shingle"), F.array().cast("array<bigint>")).alias("shingles"),
     )
@@ -298,7 +298,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _whole_sets(size: int, percent: int, bits: np.ndarray):
-    """Wanted sets in ascending order, so the quarter comes first; ``spare`` others may be in a prefix."""
+    """Wanted sets in ascending order, so the half comes first; ``spare`` others may be in a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,21 +309,21 @@ def _whole_sets(size: int, percent: int, bits: np.ndarray):
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 sets = list(shingle_sets(part.column("body").to_pylist(), size))
-                quarter = [int(np.searchsorted(x, QUARTER)) for x in sets]
+                half = [int(np.searchsorted(x, HALF)) for x in sets]
                 spare = [
                     min(len(x) - q, max(0, differ(len(x), percent) + differ(len(x), percent) // 2 + 1 - q))
-                    for x, q in zip(sets, quarter, strict=True)
+                    for x, q in zip(sets, half, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc"),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([set_digest(x)[0] for x in sets], pa.int64()),
-                        pa.array(quarter, pa.int32()),
+                        pa.array(half, pa.int32()),
                         pa.array(spare, pa.int32()),
                         _lists(sets),
                     ],
-                    ["node", "n", "low", "quarter", "spare", "shingles"],
+                    ["node", "n", "low", "half", "spare", "shingles"],
                 )
 
     return run
@@ -335,15 +335,15 @@ def differ(count: int, percent: int) -> int:
 
 
 def prefix_signatures(
-    n: int, quarter: int, df: np.ndarray, shingles: np.ndarray, rest: np.ndarray, percent: int
+    n: int, half: int, df: np.ndarray, shingles: np.ndarray, rest: np.ndarray, percent: int
 ) -> np.ndarray:
     """Signatures of a set of ``n`` shingles, in the order of its prefix.
 
-    First come the ``quarter`` shingles of the sampled part, the lone ones
-    before those with ``df > 1``, which are given in order; then the others,
+    First come the ``half`` shingles of the counted part, the lone ones before
+    those with ``df > 1``, which are given in order; then the others,
     ``rest``, each of which stands alone, whether rare or not.
     """
-    need = differ(n, percent) - (quarter - len(df))
+    need = differ(n, percent) - (half - len(df))
     if need <= 0:
         return np.zeros(0, np.uint64)
     rare = int(np.searchsorted(df, RARE, side="right"))
@@ -379,11 +379,11 @@ def _signatures(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, nodes, sizes, shared, held = [], [], [], [], 0
-            columns = [batch.column(name) for name in ("node", "n", "quarter", "df", "shingles", "rest")]
-            for node, n, quarter, df, shingles, rest in zip(*columns, strict=True):
+            columns = [batch.column(name) for name in ("node", "n", "half", "df", "shingles", "rest")]
+            for node, n, half, df, shingles, rest in zip(*columns, strict=True):
                 found = prefix_signatures(
                     n.as_py(),
-                    quarter.as_py(),
+                    half.as_py(),
                     df.values.to_numpy(),
                     shingles.values.to_numpy().view(np.uint64),
                     rest.values.to_numpy().view(np.uint64),
@@ -392,7 +392,7 @@ def _signatures(percent: int):
                 out.append(found)
                 nodes.append(np.full(len(found), node.as_py(), np.int64))
                 sizes.append(np.full(len(found), n.as_py(), np.int64))
-                shared.append(np.full(len(found), n.as_py() - quarter.as_py() + len(df.values), np.int64))
+                shared.append(np.full(len(found), n.as_py() - half.as_py() + len(df.values), np.int64))
                 held += len(found)
                 if held > 200_000:
                     yield _columns(("signature", out), ("node", nodes), ("n", sizes), ("shared", shared))

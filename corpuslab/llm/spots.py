@@ -189,9 +189,9 @@ def _linked(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     # Partition p holds the lengths from base**p on; a set is compared in its own and the next.
     base = 100 / percent
     partition = F.floor(F.log(F.col("n").cast("double")) / math.log(base) + 1e-9).cast("int")
-    # Prefixes take the chains of a quarter first, chosen by hash: the lone ones, then those
+    # Prefixes take the chains of one half first, chosen by hash: the lone ones, then those
     # of few sets; the others follow in their own order and need no count.
-    sampled = lambda x: x.bitwiseAND(3) == 0
+    sampled = lambda x: x.bitwiseAND(1) == 0
     known = sets.select("node", F.explode(F.filter("shingles", sampled)).alias("spot"))
     held = materialize(known.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1").withColumn("fan_in", F.col("df")))
     met = join_counted(known, held, "spot", "fan_in").groupBy("node").agg(
