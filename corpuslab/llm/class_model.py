@@ -1,129 +1,188 @@
 """Brown class-based n-gram model: exchange clustering, transitions and emissions.
 
 Every word belongs to a class, and a text scores
-``P(class | class before) * P(word | class)`` per token. Words of a fixed
-share of all tokens are clustered as themselves, all others by their ending,
-so what the tasks hold is bounded while word counts cover the whole corpus.
-Clustering moves units between classes to raise the likelihood of the class
-bigrams; groups of units move at the same time and meet again after each round.
+``P(class | class before) * P(word | class)`` per token. Clustering moves units
+between classes to raise the likelihood of the class bigrams. It is done twice: first
+for the most frequent words and, as one unit each, the endings of all others;
+then every other known word leaves the class of its ending for the one its own
+neighbours call for, groups of words at the same time. Only words not known from training, and those rarer than a
+fixed share of the tokens, stay with their ending, so the clustered vocabulary
+grows with the evidence for its words. Counts cover all words of the corpus.
+
+Words are named by 64-bit hashes throughout.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.shingles import blocks, mix, powers
 from corpuslab.session import materialize
 
-# Maps A-Z to a-z; bytes.split() then cuts at 0x20 and 0x09-0x0D.
-LOWER = bytes(byte + 32 if 0x41 <= byte <= 0x5A else byte for byte in range(256))
-# The end of a text: no word is empty.
-END = b""
+# Maps A-Z to a-z and ASCII white space to a space.
+FOLD = bytes(
+    32 if byte == 0x20 or 0x09 <= byte <= 0x0D else byte + 32 if 0x41 <= byte <= 0x5A else byte for byte in range(256)
+)
+# The end of a text, a number like that of a word, and characters of an ending.
+END, ENDING = 1, 3
+# Known words that are exchanged in turn by one task, about.
+GROUP = 8000
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of some texts, of their endings, and the text each is in.
+
+    A text is its words and then an end, so the token before a text's first is
+    the end of the text before it.
+    """
+    data = np.frombuffer((b"\n".join(texts) + b"\n").translate(FOLD), np.uint8)
+    ends_of_texts = np.cumsum([len(text) + 1 for text in texts])
+    gap = data == 32
+    before = np.concatenate(([True], gap[:-1]))
+    starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+    owner = np.searchsorted(ends_of_texts, starts, side="right")
+    codes = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * powers(_STEP, len(data)), out=total[1:])
+    unshift = powers(_BACK, len(data))
+
+    def hashed(first: np.ndarray) -> np.ndarray:
+        return mix((total[ends] - total[first]) * unshift[first] + (ends - first).astype(np.uint64))
+
+    # Endings are cut before characters, which may be several bytes long.
+    characters = np.flatnonzero((data & 0xC0) != 0x80)
+    low, high = np.searchsorted(characters, starts), np.searchsorted(characters, ends)
+    late = np.maximum(high - ENDING, low)
+    tail = np.where(late < high, characters[np.minimum(late, len(characters) - 1)], starts)
+    place = np.arange(len(starts)) + owner
+    size = len(starts) + len(texts)
+    words, endings, owners = np.full(size, END, np.uint64), np.full(size, END, np.uint64), np.zeros(size, np.int64)
+    words[place], endings[place], owners[place] = hashed(starts), hashed(tail), owner
+    owners[np.cumsum(np.bincount(owner, minlength=len(texts))) + np.arange(len(texts))] = np.arange(len(texts))
+    return words, endings, owners
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and endings of the first column, some texts at a time; an end stands before them all."""
+    first = np.array([END], np.uint64)
+    for batch in batches:
+        texts = [(value.as_py() or "").encode("utf-8", "surrogatepass") for value in batch.column(0)]
+        for low, high in blocks(texts):
+            words, endings, _ = lines(texts[low:high])
+            yield np.concatenate((first, words)), np.concatenate((first, endings))
+
+
+def _numbers(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
+    arrays = [pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64)) for _, values in columns]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in columns])
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """Count of every token of all texts (first column): ``(word binary, n)``."""
+    """Count of every token of all texts (first column): ``(word, ending, n)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-            counts[END] += batch.num_rows
-            if len(counts) > 1_000_000:
-                yield rows(counts)
-                counts = Counter()
-        yield rows(counts)
-
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-        )
+        for words, endings in _lines(batches):
+            found, first, counts = np.unique(words[1:], return_index=True, return_counts=True)
+            yield _numbers(("word", found), ("ending", endings[1:][first]), ("n", counts))
 
-    counted = texts.mapInArrow(run, "word binary, n bigint").filter("n > 0")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, "word bigint, ending bigint, n bigint")
+    return counted.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+
+
+def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` in a sorted table, and which of them are in it."""
+    at = np.minimum(np.searchsorted(table, values), max(len(table) - 1, 0))
+    return at, (table[at] == values) if len(table) else np.zeros(len(values), bool)
 
 
 class Units:
-    """The unit a word is clustered as: itself, its ending, or the unit of all others."""
+    """The unit a word is clustered as at first: itself, its ending, or the unit of all others."""
 
-    def __init__(self, own: list[bytes], endings: list[bytes]) -> None:
-        self.own = {word: at for at, word in enumerate(own)}
-        self.endings = {ending: at + len(own) for at, ending in enumerate(endings)}
+    def __init__(self, own: np.ndarray, endings: np.ndarray) -> None:
+        self.own, self.endings = np.sort(own), np.sort(endings)
         self.size = len(own) + len(endings) + 1
 
-    def of(self, word: bytes) -> int:
-        at = self.own.get(word)
-        return self.endings.get(word[-3:], self.size - 1) if at is None else at
+    def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at, here = _found(self.own, words)
+        by_ending, there = _found(self.endings, endings)
+        return np.where(here, at, np.where(there, by_ending + len(self.own), self.size - 1))
 
 
-def choose_units(vocabulary: DataFrame, total: int, parts: int) -> Units:
-    """Words, and endings of the other words, with at least 1/``parts`` of all tokens."""
-    own = vocabulary.filter((F.col("n") * parts >= total) | (F.length("word") == 0))
-    own_words = sorted(bytes(row.word) for row in own.select("word").collect())
-    held = frozenset(own_words)
+class Classes:
+    """The class of every word: its own, if the word is known, or that of its ending."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if word not in held:
-                    counts[word[-3:]] += n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["ending", "n"]
-        )
+    def __init__(self, units: Units, of_unit: np.ndarray, known: np.ndarray, of_known: np.ndarray) -> None:
+        self.units, self.of_unit, self.known, self.of_known = units, of_unit, known, of_known
+
+    def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at, here = _found(self.known, words)
+        out = self.of_unit[self.units.of(words, endings)]
+        out[here] = self.of_known[at[here]]
+        return out
+
+
+def _column(df: DataFrame, name: str) -> np.ndarray:
+    return df.select(name).toPandas()[name].to_numpy(np.int64).view(np.uint64)
 
-    endings = vocabulary.select("word", "n").mapInArrow(run, "ending binary, n bigint")
-    endings = endings.groupBy("ending").agg(F.sum("n").alias("n")).filter(F.col("n") * parts >= total)
-    return Units(own_words, sorted(bytes(row.ending) for row in endings.select("ending").collect()))
+
+def choose_units(vocabulary: DataFrame, total: int, parts: int) -> Units:
+    """Words, and endings of the other words, with at least 1/``parts`` of all tokens."""
+    frequent = (F.col("n") * parts >= total) | (F.col("word") == END)
+    endings = vocabulary.filter(~frequent).groupBy("ending").agg(F.sum("n").alias("n")).filter(F.col("n") * parts >= total)
+    return Units(_column(vocabulary.filter(frequent), "word"), _column(endings, "ending"))
 
 
 def count_bigrams(texts: DataFrame, units: Units) -> DataFrame:
     """Counts of neighbouring units; a text follows an end and is followed by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, size, parts, held = units.of(END), units.size, [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                line = [end, *map(units.of, words_of(text.as_py())), end]
-                parts.append(np.array(line[:-1], np.int64) * size + np.array(line[1:], np.int64))
-                held += len(line) - 1
-                if held > 4_000_000:
-                    yield rows(parts, size)
-                    parts, held = [], 0
-        if parts:
-            yield rows(parts, size)
-
-    def rows(parts: list[np.ndarray], size: int) -> pa.RecordBatch:
-        codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-        columns = [pa.array(codes // size), pa.array(codes % size), pa.array(counts.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["one", "two", "n"])
+        for words, endings in _lines(batches):
+            line = units.of(words, endings)
+            codes, counts = np.unique(line[:-1] * units.size + line[1:], return_counts=True)
+            yield _numbers(("one", codes // units.size), ("two", codes % units.size), ("n", counts))
 
     pairs = texts.mapInArrow(run, "one bigint, two bigint, n bigint")
     return pairs.groupBy("one", "two").agg(F.sum("n").alias("n"))
 
 
 def class_bigrams(bigrams: DataFrame, classes: np.ndarray, count: int) -> np.ndarray:
-    """The bigrams added up to a matrix of classes."""
+    """The bigrams of units added up to a matrix of classes."""
     pairs = _with_class(_with_class(bigrams, classes, "one"), classes, "two")
+    return _matrix(pairs.groupBy(F.col("one_class").alias("one"), F.col("two_class").alias("two")).agg(F.sum("n").alias("n")), count)
+
+
+def _matrix(pairs: DataFrame, count: int) -> np.ndarray:
     matrix = np.zeros((count, count))
-    for row in pairs.groupBy("one_class", "two_class").agg(F.sum("n").alias("n")).collect():
-        matrix[row.one_class, row.two_class] = row.n
+    for row in pairs.collect():
+        matrix[row["one"], row["two"]] = row["n"]
     return matrix
 
 
+def class_matrix(texts: DataFrame, classes: Classes, count: int) -> np.ndarray:
+    """Counts of neighbouring classes in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(count * count, np.int64)
+        for words, endings in _lines(batches):
+            line = classes.of(words, endings)
+            total += np.bincount(line[:-1] * count + line[1:], minlength=count * count)
+        codes = np.flatnonzero(total)
+        yield _numbers(("one", codes // count), ("two", codes % count), ("n", total[codes]))
+
+    pairs = texts.mapInArrow(run, "one bigint, two bigint, n bigint")
+    return _matrix(pairs.groupBy("one", "two").agg(F.sum("n").alias("n")), count)
+
+
 def _with_class(bigrams: DataFrame, classes: np.ndarray, unit: str) -> DataFrame:
     """Add the class of a unit; the map has one row per unit, a bounded number."""
     table = pd.DataFrame({unit: np.arange(len(classes)), f"{unit}_class": classes})
@@ -152,7 +211,8 @@ def best_moves(
         matrix[:, home] -= before
         matrix[home, :] -= after
         matrix[home, home] -= loop
-        rows, columns = matrix.sum(1), matrix.sum(0)
+        # What stands before and after the unit counts in the totals whatever its class.
+        rows, columns = matrix.sum(1) + before, matrix.sum(0) + after
         gain = (_likelihood(matrix + before[:, None]) - _likelihood(matrix)).sum(0)
         gain += (_likelihood(matrix + after[None, :]) - _likelihood(matrix)).sum(1)
         corner = np.diagonal(matrix)
@@ -169,14 +229,14 @@ def best_moves(
     return moved
 
 
-def exchange(bigrams: DataFrame, units: int, count: int, rounds: int, groups: int = 8) -> np.ndarray:
-    """Classes of all units. The units of a group are exchanged in turn, groups at the same time."""
+def exchange(bigrams: DataFrame, units: int, count: int, rounds: int) -> np.ndarray:
+    """Classes of all units, a bounded number, which one task exchanges in turn by their counts of classes."""
     sizes = np.zeros(units)
     for row in bigrams.groupBy("two").agg(F.sum("n").alias("n")).collect():
         sizes[row.two] = row.n
     classes = np.zeros(units, np.int64)
     classes[np.argsort(-sizes, kind="stable")] = np.arange(units) % count
-    for turn in range(rounds):
+    for _ in range(rounds):
         matrix = class_bigrams(bigrams, classes, count)
         after = _with_class(bigrams, classes, "two").groupBy(F.col("one").alias("unit"), F.col("two_class").alias("class"))
         before = _with_class(bigrams, classes, "one").groupBy(F.col("two").alias("unit"), F.col("one_class").alias("class"))
@@ -187,8 +247,7 @@ def exchange(bigrams: DataFrame, units: int, count: int, rounds: int, groups: in
             .unionByName(loops)
         )
 
-        group = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(groups))
-        moved = near.withColumn("group", group).groupBy("group").applyInPandas(_mover(classes, matrix), "unit bigint, class bigint")
+        moved = near.groupBy(F.lit(0).alias("all")).applyInPandas(_mover(classes, matrix), "unit bigint, class bigint")
         changed = classes.copy()
         for row in moved.collect():
             changed[row["unit"]] = row["class"]
@@ -209,14 +268,54 @@ def _mover(classes: np.ndarray, matrix: np.ndarray):
     return move
 
 
+def refine(texts: DataFrame, classes: Classes, movable: np.ndarray, matrix: np.ndarray) -> Classes:
+    """One exchange step for every known word that is ``movable``, by the classes next to it in all texts.
+
+    A task sends counts of a word's neighbouring classes; groups of about
+    ``GROUP`` words move at the same time, each against the counts of all.
+    """
+    count, known, start = len(matrix), classes.known, classes.of_known
+    width = 2 * count + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, endings in _lines(batches):
+            line = classes.of(words, endings)
+            at, here = _found(known, words)
+            here &= movable[at] if len(movable) else False
+            after, before = np.flatnonzero(here[1:]) + 1, np.flatnonzero(here[:-1])
+            loops = before[words[before] == words[before + 1]]
+            codes = np.concatenate(
+                (at[after] * width + line[after - 1], at[before] * width + count + line[before + 1], at[loops] * width + 2 * count)
+            )
+            found, counts = np.unique(codes, return_counts=True)
+            yield _numbers(("unit", found // width), ("slot", found % width), ("n", counts))
+
+    near = texts.mapInArrow(run, "unit bigint, slot bigint, n bigint").groupBy("unit", "slot").agg(F.sum("n").alias("n"))
+    groups = max(1, -(-int(movable.sum()) // GROUP))
+
+    def move(rows: pd.DataFrame) -> pd.DataFrame:
+        own, at = np.unique(rows["unit"].to_numpy(), return_inverse=True)
+        sides = np.zeros((len(own), width))
+        np.add.at(sides, (at, rows["slot"].to_numpy()), rows["n"].to_numpy())
+        moved = best_moves(own, sides[:, :count], sides[:, count : 2 * count], sides[:, 2 * count], start, matrix)
+        return pd.DataFrame({"unit": own, "class": moved})
+
+    group = F.pmod(F.xxhash64("unit"), F.lit(groups)).alias("group")
+    moved = near.select("*", group).groupBy("group").applyInPandas(move, "unit bigint, class bigint").toPandas()
+    of_known = start.copy()
+    of_known[moved["unit"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
+    return Classes(classes.units, classes.of_unit, known, of_known)
+
+
 def score_texts(
     docs: DataFrame,
     folds: int = 5,
     held: int = 1,
     classes: int = 48,
     parts: int = 4_000,
-    known_parts: int = 200_000,
+    known_parts: int = 1_000_000,
     rounds: int = 6,
+    refinements: int = 2,
     smoothing: float = 50.0,
     key: str = "doc_id",
     text: str = "text",
@@ -234,8 +333,11 @@ def score_texts(
     and V. A transition is smoothed with ``smoothing`` tokens of the class's
     own share. Null and empty texts are an end alone. Repeated rows are scored
     each; an empty table, or one held out as a whole, has N = 0.
-    Words with less than 1/``known_parts`` of all tokens are looked up by a
-    join on their 64-bit hash, all others are sent to the tasks.
+
+    Words with 1/``parts`` of all tokens are exchanged in ``rounds`` rounds with
+    the endings, all known words, those with 1/``known_parts``, in
+    ``refinements`` more. Known words are sent to the tasks, as numbers; the
+    counts of all others are looked up by a join.
     """
     fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
     rows = docs.select(
@@ -251,20 +353,31 @@ def score_texts(
     count = max(1, min(classes, units.size))
     of_unit = exchange(bigrams, units.size, count, rounds)
     matrix = class_bigrams(bigrams, of_unit, count)
-    kinds = words_of_classes(vocabulary, units, of_unit, count)
+
+    is_known = (F.col("n") * known_parts >= total) | (F.col("word") == END)
+    known = vocabulary.filter(is_known).toPandas()
+    known = known.assign(word=known["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
+    names, endings = known["word"].to_numpy(), known["ending"].to_numpy(np.int64).view(np.uint64)
+    first = units.of(names, endings)
+    model = Classes(units, of_unit, names, of_unit[first])
+    # Words that were units by themselves have had their rounds.
+    movable = first >= len(units.own)
+    for _ in range(refinements if movable.any() else 0):
+        model = refine(training, model, movable, matrix)
+        matrix = class_matrix(training, model, count)
+
+    kinds = words_of_classes(vocabulary, model, count)
     # Probabilities of classes, of transitions, and the denominator of words.
     own = (matrix.sum(0) + 1) / (matrix.sum() + count)
     step = np.log10((matrix + smoothing * own) / (matrix.sum(1, keepdims=True) + smoothing))
     below = np.log10(matrix.sum(0) + 0.5 * (kinds + 1))
 
-    frequent = vocabulary.filter(F.col("n") * known_parts >= total)
-    counts = {bytes(row.word): row.n for row in frequent.collect()}
-    scanned = materialize(_scan(rows, units, of_unit, counts, step - below[None, :]))
+    logs = np.log10(known["n"].to_numpy(np.int64) + 0.5)
+    scanned = materialize(_scan(rows, model, logs, step - below[None, :]))
     rare = scanned.select("row", F.explode("rare").alias("word")).select("row", "word.*")
-    looked_up = vocabulary.filter(F.col("n") * known_parts < total)
-    looked_up = looked_up.select(F.xxhash64("word").alias("hash"), F.col("n").alias("c"))
+    looked_up = vocabulary.filter(~is_known).select("word", F.col("n").alias("c"))
     seen = F.coalesce("c", F.lit(0))
-    added = rare.join(looked_up, "hash", "left").groupBy("row").agg(
+    added = rare.join(looked_up, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(seen + 0.5)).alias("more"),
         F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("found"),
     )
@@ -286,72 +399,64 @@ def score_texts(
     )
 
 
-def words_of_classes(vocabulary: DataFrame, units: Units, of_unit: np.ndarray, count: int) -> np.ndarray:
+def words_of_classes(vocabulary: DataFrame, classes: Classes, count: int) -> np.ndarray:
     """Distinct words of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = np.zeros(count, np.int64)
         for batch in batches:
-            at = of_unit[[units.of(word) for word in batch.column(0).to_pylist()]] if batch.num_rows else []
-            np.add.at(kinds, at, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array(kinds)], ["class", "n"])
+            words, endings = (batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) for at in (0, 1))
+            kinds += np.bincount(classes.of(words, endings), minlength=count)
+        yield _numbers(("class", np.arange(count)), ("n", kinds))
 
     kinds = np.zeros(count)
-    counted = vocabulary.select("word").mapInArrow(run, "class bigint, n bigint")
+    counted = vocabulary.select("word", "ending").mapInArrow(run, "class bigint, n bigint")
     for row in counted.groupBy("class").agg(F.sum("n").alias("n")).collect():
         kinds[row["class"]] = row["n"]
     return kinds
 
 
-def _scan(rows: DataFrame, units: Units, of_unit: np.ndarray, counts: dict[bytes, int], step: np.ndarray) -> DataFrame:
-    """Per text what needs no lookup, and its rare words as hashes with their number."""
+def _scan(rows: DataFrame, classes: Classes, logs: np.ndarray, step: np.ndarray) -> DataFrame:
+    """Per text what needs no lookup, and its rare words with their number."""
     id_type = rows.schema["id"].dataType.simpleString()
-    word = pa.struct([("hash", pa.int64()), ("times", pa.int64())])
+    names = ["id", "held_out", "row", "n_tokens", "n_known", "log_counts", "steps", "rare"]
+
+    def scored(texts: list[bytes]) -> list[pa.Array]:
+        words, endings, owner = lines(texts)
+        line = classes.of(words, endings)
+        before = np.concatenate((classes.of(np.array([END], np.uint64), np.array([END], np.uint64)), line[:-1]))
+        at, here = _found(classes.known, words)
+        count = len(texts)
+        # Rare words of a text, each once with how often it occurs.
+        order = np.lexsort((words[~here], owner[~here]))
+        rare, own = words[~here][order], owner[~here][order]
+        opens = np.concatenate(([True], (rare[1:] != rare[:-1]) | (own[1:] != own[:-1])))[: len(rare)]
+        starts = np.flatnonzero(opens)
+        times = np.diff(np.append(starts, len(rare)))
+        offsets = np.searchsorted(own[starts], np.arange(count + 1)).astype(np.int32)
+        fields = [pa.array(rare[starts].view(np.int64)), pa.array(times.astype(np.int64))]
+        held = pa.StructArray.from_arrays(fields, ["word", "times"])
+        return [
+            pa.array(np.bincount(owner, minlength=count)),
+            pa.array(np.bincount(owner[here], minlength=count)),
+            pa.array(np.bincount(owner[here], weights=logs[at[here]], minlength=count)),
+            pa.array(np.bincount(owner, weights=step[before, line], minlength=count)),
+            pa.ListArray.from_arrays(pa.array(offsets), held),
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = {known: float(np.log10(n + 0.5)) for known, n in counts.items()}
-        classes = {known: int(of_unit[units.of(known)]) for known in counts}
-        end = int(of_unit[units.of(END)])
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                out: list[list] = [[], [], [], [], [], []]
-                for at, text in enumerate(part.column("body")):
-                    words = words_of(text.as_py())
-                    words.append(END)
-                    line = [end]
-                    rare: Counter = Counter()
-                    total, known = 0.0, 0
-                    for token in words:
-                        log = logs.get(token)
-                        if log is None:
-                            rare[token] += 1
-                            line.append(int(of_unit[units.of(token)]))
-                        else:
-                            total, known = total + log, known + 1
-                            line.append(classes[token])
-                    steps = float(step[line[:-1], line[1:]].sum())
-                    hashes = [
-                        {"hash": _signed(xxhash.xxh64_intdigest(token, 42)), "times": times}
-                        for token, times in rare.items()
-                    ]
-                    for column, value in zip(out, (first + at, len(words), known, total, steps, hashes), strict=True):
-                        column.append(value)
-                first += part.num_rows
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(word)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held_out")]
-                    + [pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)],
-                    ["id", "held_out", "row", "n_tokens", "n_known", "log_counts", "steps", "rare"],
-                )
+            texts = [(value.as_py() or "").encode("utf-8", "surrogatepass") for value in batch.column("body")]
+            for low, high in blocks(texts):
+                part = batch.slice(low, high - low)
+                numbers = pa.array(np.arange(first, first + high - low))
+                first += high - low
+                columns = [part.column("id"), part.column("held_out"), numbers, *scored(texts[low:high])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(
         run,
         f"id {id_type}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, log_counts double, "
-        "steps double, rare array<struct<hash: bigint, times: bigint>>",
+        "steps double, rare array<struct<word: bigint, times: bigint>>",
     )
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value

@@ -495,12 +495,76 @@ def test_signatures_meet_for_every_linked_pair(percent):
         signatures = []
         for part in (one, two):
             whole = np.array(sorted(part), np.uint64)
-            quarter = int(np.searchsorted(whole, ngram_join.QUARTER))
-            known = sorted((order[int(x)], int(x)) for x in whole[:quarter])
+            half = int(np.searchsorted(whole, ngram_join.HALF))
+            known = sorted((order[int(x)], int(x)) for x in whole[:half])
             found = ngram_join.prefix_signatures(
-                len(whole), quarter, np.array([df for df, _ in known], np.int64),
-                np.array([x for _, x in known], np.uint64), whole[quarter:], percent,
+                len(whole), half, np.array([df for df, _ in known], np.int64),
+                np.array([x for _, x in known], np.uint64), whole[half:], percent,
             )
             signatures.append(set(found.tolist()))
         assert signatures[0] & signatures[1]
     assert met > 30
+
+
+def test_lines_of_tokens():
+    texts = ["", "One two  ÉCOLE naïve", " \t", "日本語の x", "end"]
+    words, endings, owner = class_model.lines([text.encode() for text in texts])
+    plain = [[*text.translate(LOW).split(), None] for text in texts]
+    assert owner.tolist() == [at for at, line in enumerate(plain) for _ in line]
+    flat = [word for line in plain for word in line]
+    code = lambda word: int(class_model.lines([word.encode()])[0][0]) if word else class_model.END
+    assert words.tolist() == [code(word) for word in flat]
+    assert endings.tolist() == [code(word[-3:]) if word else class_model.END for word in flat]
+
+
+def test_exchange_steps_raise_the_likelihood():
+    rng = np.random.default_rng(3)
+    units, count = 30, 5
+    pairs = rng.poisson(1.0, (units, units)).astype(float)
+    classes = rng.integers(0, count, units)
+
+    def likelihood(of):
+        hot = np.eye(count)[of]
+        matrix = hot.T @ pairs @ hot
+        f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+        return f(matrix) - f(matrix.sum(0)) - f(matrix.sum(1))
+
+    for unit in range(units):
+        hot = np.eye(count)[classes]
+        matrix = hot.T @ pairs @ hot
+        into, out = (pairs.T @ hot)[[unit]], (pairs @ hot)[[unit]]
+        new = class_model.best_moves(np.array([unit]), into, out, np.diag(pairs)[[unit]], classes, matrix)[0]
+        tried = []
+        for c in range(count):
+            moved = classes.copy()
+            moved[unit] = c
+            tried.append(likelihood(moved))
+        assert tried[new] >= max(tried) - 1e-6
+        classes[unit] = new
+
+
+def test_class_scores_follow_the_classes(spark, docs, texts):
+    # One class leaves the unigram model.
+    for row in class_model.score_texts(docs, classes=1).collect():
+        assert math.isclose(row.score, row.base_score, rel_tol=1e-9)
+    # Words that alternate get classes of their own, seen or not in the held-out fold.
+    rng = random.Random(4)
+    sides = [[f"{side}{i}{side}" for i in range(40)] for side in ("red", "blue")]
+    data = [(key, " ".join(rng.choice(sides[at % 2]) for at in range(60))) for key in range(200)]
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    for parts in (4_000, 12):  # 12: no word is frequent enough, only endings and later steps
+        got = class_model.score_texts(table, classes=3, parts=parts).collect()
+        held = [row for row in got if row.held_out]
+        assert held and all(row.score > row.base_score + 10 for row in held)
+
+
+def test_known_words_leave_the_class_of_their_ending(spark):
+    rng = random.Random(5)
+    one, two = [f"a{i}xyz" for i in range(30)], [f"b{i}xyz" for i in range(30)]
+    # Two frequent words tell the sides apart; the others share their ending.
+    draw = lambda at: ("left", "right")[at % 2] if rng.random() < 0.4 else rng.choice((one, two)[at % 2])
+    data = [(key, " ".join(draw(at) for at in range(80))) for key in range(300)]
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    options = {"classes": 4, "parts": 10, "known_parts": 100_000}
+    score = lambda **more: sum(r.score for r in class_model.score_texts(table, **options, **more).collect() if r.held_out)
+    assert score(refinements=1) > score(refinements=0) + 100
