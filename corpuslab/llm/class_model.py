@@ -34,6 +34,8 @@ FOLD = bytes(
 END, ENDING = 1, 3
 # Known words that are exchanged in turn by one task, about.
 GROUP = 8000
+# Groups of units in the first rounds.
+EARLY = 8
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -230,13 +232,18 @@ def best_moves(
 
 
 def exchange(bigrams: DataFrame, units: int, count: int, rounds: int) -> np.ndarray:
-    """Classes of all units, a bounded number, which one task exchanges in turn by their counts of classes."""
+    """Classes of all units, a bounded number.
+
+    In the first half of the rounds groups of units move at the same time, each
+    by the counts all had before, which tells apart units that look alike at
+    the start; in the second half one task exchanges all units in turn.
+    """
     sizes = np.zeros(units)
     for row in bigrams.groupBy("two").agg(F.sum("n").alias("n")).collect():
         sizes[row.two] = row.n
     classes = np.zeros(units, np.int64)
     classes[np.argsort(-sizes, kind="stable")] = np.arange(units) % count
-    for _ in range(rounds):
+    for turn in range(rounds):
         matrix = class_bigrams(bigrams, classes, count)
         after = _with_class(bigrams, classes, "two").groupBy(F.col("one").alias("unit"), F.col("two_class").alias("class"))
         before = _with_class(bigrams, classes, "one").groupBy(F.col("two").alias("unit"), F.col("one_class").alias("class"))
@@ -247,11 +254,13 @@ def exchange(bigrams: DataFrame, units: int, count: int, rounds: int) -> np.ndar
             .unionByName(loops)
         )
 
-        moved = near.groupBy(F.lit(0).alias("all")).applyInPandas(_mover(classes, matrix), "unit bigint, class bigint")
+        groups = EARLY if 2 * turn < rounds else 1
+        group = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(groups)).alias("group")
+        moved = near.select("*", group).groupBy("group").applyInPandas(_mover(classes, matrix), "unit bigint, class bigint")
         changed = classes.copy()
         for row in moved.collect():
             changed[row["unit"]] = row["class"]
-        if np.array_equal(changed, classes):
+        if np.array_equal(changed, classes) and groups == 1:
             break
         classes = changed
     return classes
