@@ -8,7 +8,10 @@ from __spark_entry__ import entry, oracle_sql, queries
 FOLDER = "/root/testdata/sf0.001"
 QUICK = (
     "dup_ranges length_stats domain_counts blindspots normalize_text segments ratio_subsets mixture_lines "
-    "merged_results seed_stats iteration_records parsed_runs law_predict objective_grid"
+    "merged_results seed_stats iteration_records parsed_runs law_predict objective_grid "
+    "near_duplicates occurrence_positions count_occurrences assign_document improving_curves turning_points "
+    "run_summary smooth_curves labelled_runs ppl_thresholds subset_fits result_files log_files jsonl_documents "
+    "curve_files clusters_of_documents repetition_contents lookup_windows choose_passage plan_runs"
 ).split()
 
 
