@@ -1,44 +1,5 @@
-"""Connected components of a graph given as a table of links."""
+"""Connected components, as the core finds them."""
 
-from __future__ import annotations
+from corpuslab.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from corpuslab.operators.skew import join_counted
-from corpuslab.session import materialize
-
-
-def components(links: DataFrame, one: str = "a", other: str = "b") -> DataFrame:
-    """Every node that has a link, with the smallest node it reaches: ``(node, component)``.
-
-    Large-star and small-star steps in turn (each node hands its neighbours to
-    the smallest node it knows) until the links are stars. A step shuffles the
-    links once or twice; hubs are split by their number of links, and every
-    step is a written table. Self-links are ignored; nulls are not allowed.
-    """
-    edges = _written(links.select(F.greatest(one, other).alias("a"), F.least(one, other).alias("b")))
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        stars = _smallest(both)
-        large = join_counted(both, stars, "a", "fan_in").filter("b > a")
-        large = _written(large.select(F.col("b").alias("a"), F.col("root").alias("b")))
-        stars = _smallest(large)
-        small = join_counted(large, stars, "a", "fan_in").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        edges = _written(small.unionByName(stars.select("a", F.col("root").alias("b"))))
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == state:
-            break
-        state = now
-    roots = edges.groupBy(F.col("b").alias("node")).agg(F.min("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
-def _written(edges: DataFrame) -> DataFrame:
-    return materialize(edges.filter("a <> b").distinct())
-
-
-def _smallest(edges: DataFrame) -> DataFrame:
-    least = F.least("a", F.min("b")).alias("root")
-    return materialize(edges.groupBy("a").agg(least, F.count("*").alias("fan_in")))
+__all__ = ["components"]
