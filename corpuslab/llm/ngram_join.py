@@ -145,7 +145,8 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
     compared with the leaders they are not yet connected to, no pair twice.
     Components found so far are kept as labels and only joined by new links.
     Groups that still hold several components go on, with more slots, until
-    every set in them has led.
+    all sets have led but those of the largest component, which the others
+    have then been compared with.
 
     A set has at most its shared shingles in common with another one, so its
     own shingles bound the size of a partner (``most``). A set that no size in
@@ -159,23 +160,26 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
     found, compared = None, None
     slots = 1
     while True:
+        by_label = rows.groupBy("signature", "label").agg(
+            F.min("n").alias("least"), F.max("most").alias("largest"), F.count("*").alias("members")
+        )
         groups = materialize(
-            rows.groupBy("signature")
+            by_label.groupBy("signature")
             .agg(
-                F.min("label").alias("low"),
-                F.max("label").alias("high"),
-                F.min("n").alias("least"),
-                F.max("most").alias("largest"),
-                F.count("*").alias("fan_in"),
+                F.max_by("label", F.struct("members", "label")).alias("major"),
+                F.min("least").alias("least"),
+                F.max("largest").alias("largest"),
+                F.sum("members").alias("fan_in"),
+                F.count("*").alias("labels"),
             )
-            .filter("low < high")
-            .select("signature", "least", "largest", "fan_in")
+            .filter("labels > 1")
+            .drop("labels")
         )
         suited = join_counted(rows, groups, "signature", "fan_in").filter("most >= least and n <= largest")
-        active = materialize(suited.select(*rows.columns))
+        active = materialize(suited.select(*rows.columns, "major"))
         slot = F.pmod(F.xxhash64("node"), F.lit(slots).cast("bigint"))
         lone = (F.col("n") - F.col("shared")).alias("lone")
-        leaders = active.filter(~F.col("led")).groupBy("signature", slot.alias("slot")).agg(
+        leaders = active.filter(~F.col("led") & (F.col("label") != F.col("major"))).groupBy("signature", slot.alias("slot")).agg(
             F.min(F.struct(lone, "node", "n", "shared", "label")).alias("lead")
         )
         leaders = materialize(leaders.select("signature", "lead.*"))
@@ -183,7 +187,8 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
             return found if found is not None else _no_links(rows)
         heads = leaders.groupBy("signature").agg(F.collect_list(F.struct("node", "n", "shared", "label")).alias("heads"))
         fan = active.groupBy("signature").agg(F.count("*").alias("fan_in"))
-        met = join_counted(active, materialize(heads.join(fan, "signature")), "signature", "fan_in")
+        open_groups = materialize(heads.join(fan, "signature"))
+        met = join_counted(active, open_groups, "signature", "fan_in")
         met = met.select(F.struct("node", "n", "shared", "label").alias("m"), F.explode("heads").alias("l"))
         common = F.least("m.shared", "l.shared", "m.n", "l.n")
         pairs = (
@@ -198,6 +203,8 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
         compared = pairs if compared is None else compared.unionByName(pairs)
         links = materialize(_verified(pairs, whole, percent))
         found = links if found is None else found.unionByName(links)
+        # A group without a leader is done.
+        active = join_counted(active.drop("major"), open_groups.drop("heads"), "signature", "fan_in")
         rows = active.join(leaders.select("signature", "node", F.lit(True).alias("leads")), ["signature", "node"], "left")
         rows = rows.withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads")
         if not links.isEmpty():
