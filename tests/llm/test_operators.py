@@ -568,3 +568,29 @@ def test_known_words_leave_the_class_of_their_ending(spark):
     options = {"classes": 4, "parts": 10, "known_parts": 100_000}
     score = lambda **more: sum(r.score for r in class_model.score_texts(table, **options, **more).collect() if r.held_out)
     assert score(refinements=1) > score(refinements=0) + 100
+
+
+def plain_chains(text):
+    words = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", text.lower()).split(" ")
+    words = [word for word in words if word]
+    common, out = set(spots.ANCHORS), set()
+    for at, word in enumerate(words):
+        after = [w for w in words[at + 1 : at + 200] if w not in common][:2]
+        if word in common and len(after) == 2:
+            out.add((word, *after))
+    if not out:
+        out = {tuple(words[at : at + 2]) for at in range(len(words))}
+    return out or ({text} if text else set())
+
+
+def test_spot_likeness_follows_plain_chains(docs, texts):
+    got = {row.doc_id: row for row in spots.fingerprint_edits(docs).collect()}
+    order = sorted(texts, reverse=True)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for at, key in enumerate(order):
+        text, after = texts[key], texts[order[(at + 1) % len(order)]]
+        half = len(text) // 2
+        own, edited = plain_chains(text), plain_chains(text[: len(text) - half] + after[:half])
+        assert len(got[key].fingerprint) == 8 * len(own)
+        assert math.isclose(got[key].near_edited, alike(own, edited), abs_tol=1e-9)
+        assert math.isclose(got[key].near_next, alike(own, plain_chains(after)), abs_tol=1e-9)
