@@ -112,21 +112,29 @@ def _links(member: DataFrame, percent: int) -> DataFrame:
     waiting = materialize(join_counted(spread, materialize(crowded), "band", "fan_in").select("band", "node", F.col("node").alias("cluster")))
     found, compared, led = [], None, None
     while True:
-        # Bands whose members are all in one cluster are done.
-        mixed = waiting.groupBy("band").agg(
-            F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("fan_in")
+        # Bands whose members are all in one cluster are done. In the others, members of the
+        # largest cluster need not lead: those of the other clusters are compared with them.
+        by_cluster = waiting.groupBy("band", "cluster").agg(F.count("*").alias("members"))
+        mixed = by_cluster.groupBy("band").agg(
+            F.max_by("cluster", F.struct("members", "cluster")).alias("major"),
+            F.sum("members").alias("fan_in"),
+            F.count("*").alias("clusters"),
         )
-        mixed = materialize(mixed.filter("low < high").select("band", "fan_in"))
+        mixed = materialize(mixed.filter("clusters > 1").select("band", "major", "fan_in"))
         if mixed.isEmpty():
             break
         waiting = materialize(join_counted(waiting, mixed, "band", "fan_in"))
-        able = waiting if led is None else waiting.join(led, ["band", "node"], "left_anti")
+        able = waiting.filter("cluster <> major")
+        waiting, mixed = waiting.drop("major"), mixed.drop("major")
+        able = able if led is None else able.join(led, ["band", "node"], "left_anti")
         leaders = materialize(_first_of_bands(able))
         if leaders.isEmpty():
             break
         led = leaders.select("band", "node") if led is None else materialize(led.unionByName(leaders.select("band", "node")))
         heads = leaders.groupBy("band").agg(F.collect_list(F.struct(F.col("node").alias("leader"), F.col("cluster").alias("own"))).alias("heads"))
         heads = materialize(heads.join(mixed, "band"))
+        # A band without a leader is done.
+        waiting = join_counted(waiting, heads.drop("heads"), "band", "fan_in")
         met = join_counted(waiting, heads, "band", "fan_in").select("node", "cluster", F.inline("heads")).filter("cluster <> own")
         pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if compared is not None:
