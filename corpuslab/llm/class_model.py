@@ -41,47 +41,77 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens of some texts, of their endings, and the text each is in.
+_powers: dict[int, np.ndarray] = {}
 
-    A text is its words and then an end, so the token before a text's first is
-    the end of the text before it.
+
+def _power(base: np.uint64, length: int) -> np.ndarray:
+    known = _powers.get(int(base))
+    if known is None or len(known) < length:
+        known = _powers[int(base)] = powers(base, max(length, 1 << 20))
+    return known[:length]
+
+
+class Lines:
+    """Hashes of all tokens of some texts (``words``), and the text each is in (``owner``).
+
+    A text is its words and then an end. With ``lead`` an end stands before
+    them all, as one stands before every text.
     """
-    data = np.frombuffer((b"\n".join(texts) + b"\n").translate(FOLD), np.uint8)
-    ends_of_texts = np.cumsum([len(text) + 1 for text in texts])
-    gap = data == 32
-    before = np.concatenate(([True], gap[:-1]))
-    starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-    owner = np.searchsorted(ends_of_texts, starts, side="right")
-    codes = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * powers(_STEP, len(data)), out=total[1:])
-    unshift = powers(_BACK, len(data))
-
-    def hashed(first: np.ndarray) -> np.ndarray:
-        return mix((total[ends] - total[first]) * unshift[first] + (ends - first).astype(np.uint64))
-
-    # Endings are cut before characters, which may be several bytes long.
-    characters = np.flatnonzero((data & 0xC0) != 0x80)
-    low, high = np.searchsorted(characters, starts), np.searchsorted(characters, ends)
-    late = np.maximum(high - ENDING, low)
-    tail = np.where(late < high, characters[np.minimum(late, len(characters) - 1)], starts)
-    place = np.arange(len(starts)) + owner
-    size = len(starts) + len(texts)
-    words, endings, owners = np.full(size, END, np.uint64), np.full(size, END, np.uint64), np.zeros(size, np.int64)
-    words[place], endings[place], owners[place] = hashed(starts), hashed(tail), owner
-    owners[np.cumsum(np.bincount(owner, minlength=len(texts))) + np.arange(len(texts))] = np.arange(len(texts))
-    return words, endings, owners
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and endings of the first column, some texts at a time; an end stands before them all."""
-    first = np.array([END], np.uint64)
+
+    def __init__(self, texts: list[bytes], lead: bool = False) -> None:
+        data = np.frombuffer((b"\n".join(texts) + b"\n").translate(FOLD), np.uint8)
+        ends_of_texts = np.cumsum([len(text) + 1 for text in texts])
+        gap = data == 32
+        before = np.concatenate(([True], gap[:-1]))
+        starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+        owner = np.searchsorted(ends_of_texts, starts, side="right")
+        codes = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+        self._data, self._total = data, np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(codes[data] * _power(_STEP, len(data)), out=self._total[1:])
+        place = np.arange(len(starts)) + owner + lead
+        size = len(starts) + len(texts) + lead
+        self.words, self.owner = np.full(size, END, np.uint64), np.zeros(size, np.int64)
+        self._starts, self._ends = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self._starts[place], self._ends[place] = starts, ends
+        self.words[place], self.owner[place] = self._hashed(starts, ends), owner
+        last = np.cumsum(np.bincount(owner, minlength=len(texts))) + np.arange(len(texts)) + lead
+        self.owner[last] = np.arange(len(texts))
+        self._characters: np.ndarray | None = None
+
+    def _hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        unshift = _power(_BACK, len(self._total))[starts]
+        return mix((self._total[ends] - self._total[starts]) * unshift + (ends - starts).astype(np.uint64))
+
+    def endings(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the last characters of the tokens at some places; characters may be several bytes long."""
+        if self._characters is None:
+            begins = (self._data & 0xC0) != 0x80
+            self._characters = np.flatnonzero(begins)
+            self._before = np.concatenate(([0], np.cumsum(begins)))
+        starts, ends = self._starts[at], self._ends[at]
+        late = np.maximum(self._before[ends] - ENDING, self._before[starts])
+        tail = np.where(ends > starts, self._characters[np.minimum(late, len(self._characters) - 1)], starts)
+        out = self._hashed(tail, ends)
+        out[self.words[at] == END] = END
+        return out
+
+
+class Named:
+    """Words that are known by their hashes and those of their endings."""
+
+    def __init__(self, words: np.ndarray, endings: np.ndarray) -> None:
+        self.words, self._endings = words, endings
+
+    def endings(self, at: np.ndarray) -> np.ndarray:
+        return self._endings[at]
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+    """Tokens of the first column, some texts at a time; an end stands before them all."""
     for batch in batches:
         texts = [(value.as_py() or "").encode("utf-8", "surrogatepass") for value in batch.column(0)]
         for low, high in blocks(texts):
-            words, endings, _ = lines(texts[low:high])
-            yield np.concatenate((first, words)), np.concatenate((first, endings))
+            yield Lines(texts[low:high], lead=True)
 
 
 def _numbers(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
@@ -93,9 +123,9 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     """Count of every token of all texts (first column): ``(word, ending, n)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, endings in _lines(batches):
-            found, first, counts = np.unique(words[1:], return_index=True, return_counts=True)
-            yield _numbers(("word", found), ("ending", endings[1:][first]), ("n", counts))
+        for tokens in _lines(batches):
+            found, first, counts = np.unique(tokens.words[1:], return_index=True, return_counts=True)
+            yield _numbers(("word", found), ("ending", tokens.endings(first + 1)), ("n", counts))
 
     counted = texts.mapInArrow(run, "word bigint, ending bigint, n bigint")
     return counted.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
@@ -114,10 +144,15 @@ class Units:
         self.own, self.endings = np.sort(own), np.sort(endings)
         self.size = len(own) + len(endings) + 1
 
-    def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        at, here = _found(self.own, words)
-        by_ending, there = _found(self.endings, endings)
-        return np.where(here, at, np.where(there, by_ending + len(self.own), self.size - 1))
+    def of(self, tokens: Lines | Named) -> np.ndarray:
+        out, here = _found(self.own, tokens.words)
+        others = np.flatnonzero(~here)
+        out[others] = self.of_endings(tokens.endings(others))
+        return out
+
+    def of_endings(self, endings: np.ndarray) -> np.ndarray:
+        at, here = _found(self.endings, endings)
+        return np.where(here, at + len(self.own), self.size - 1)
 
 
 class Classes:
@@ -126,11 +161,13 @@ class Classes:
     def __init__(self, units: Units, of_unit: np.ndarray, known: np.ndarray, of_known: np.ndarray) -> None:
         self.units, self.of_unit, self.known, self.of_known = units, of_unit, known, of_known
 
-    def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        at, here = _found(self.known, words)
-        out = self.of_unit[self.units.of(words, endings)]
-        out[here] = self.of_known[at[here]]
-        return out
+    def of(self, tokens: Lines | Named) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, places among the known words, and which are known (as all units of their own are)."""
+        at, here = _found(self.known, tokens.words)
+        out = self.of_known[at] if len(self.known) else np.zeros(len(at), np.int64)
+        others = np.flatnonzero(~here)
+        out[others] = self.of_unit[self.units.of_endings(tokens.endings(others))]
+        return out, at, here
 
 
 def _column(df: DataFrame, name: str) -> np.ndarray:
@@ -148,8 +185,8 @@ def count_bigrams(texts: DataFrame, units: Units) -> DataFrame:
     """Counts of neighbouring units; a text follows an end and is followed by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, endings in _lines(batches):
-            line = units.of(words, endings)
+        for tokens in _lines(batches):
+            line = units.of(tokens)
             codes, counts = np.unique(line[:-1] * units.size + line[1:], return_counts=True)
             yield _numbers(("one", codes // units.size), ("two", codes % units.size), ("n", counts))
 
@@ -175,14 +212,22 @@ def class_matrix(texts: DataFrame, classes: Classes, count: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(count * count, np.int64)
-        for words, endings in _lines(batches):
-            line = classes.of(words, endings)
-            total += np.bincount(line[:-1] * count + line[1:], minlength=count * count)
-        codes = np.flatnonzero(total)
-        yield _numbers(("one", codes // count), ("two", codes % count), ("n", total[codes]))
+        for tokens in _lines(batches):
+            total += _neighbours(classes.of(tokens)[0], count)
+        yield _numbers(("unit", np.full(count * count, -1)), ("slot", np.arange(count * count)), ("n", total))
 
-    pairs = texts.mapInArrow(run, "one bigint, two bigint, n bigint")
-    return _matrix(pairs.groupBy("one", "two").agg(F.sum("n").alias("n")), count)
+    pairs = texts.mapInArrow(run, "unit bigint, slot bigint, n bigint")
+    return _square(pairs.groupBy("slot").agg(F.sum("n").alias("n")).toPandas(), count)
+
+
+def _neighbours(line: np.ndarray, count: int) -> np.ndarray:
+    return np.bincount(line[:-1] * count + line[1:], minlength=count * count)
+
+
+def _square(counted: pd.DataFrame, count: int) -> np.ndarray:
+    matrix = np.zeros(count * count)
+    matrix[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(float)
+    return matrix.reshape(count, count)
 
 
 def _with_class(bigrams: DataFrame, classes: np.ndarray, unit: str) -> DataFrame:
@@ -277,20 +322,22 @@ def _mover(classes: np.ndarray, matrix: np.ndarray):
     return move
 
 
-def refine(texts: DataFrame, classes: Classes, movable: np.ndarray, matrix: np.ndarray) -> Classes:
+def refine(texts: DataFrame, classes: Classes, movable: np.ndarray, count: int) -> Classes:
     """One exchange step for every known word that is ``movable``, by the classes next to it in all texts.
 
-    A task sends counts of a word's neighbouring classes; groups of about
-    ``GROUP`` words move at the same time, each against the counts of all.
+    A task sends counts of a word's neighbouring classes, and of all classes
+    next to each other; groups of about ``GROUP`` words move at the same time,
+    each against the counts of all.
     """
-    count, known, start = len(matrix), classes.known, classes.of_known
+    known, start = classes.known, classes.of_known
     width = 2 * count + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, endings in _lines(batches):
-            line = classes.of(words, endings)
-            at, here = _found(known, words)
-            here &= movable[at] if len(movable) else False
+        total = np.zeros(count * count, np.int64)
+        for tokens in _lines(batches):
+            words, (line, at, here) = tokens.words, classes.of(tokens)
+            total += _neighbours(line, count)
+            here &= movable[at]
             after, before = np.flatnonzero(here[1:]) + 1, np.flatnonzero(here[:-1])
             loops = before[words[before] == words[before + 1]]
             codes = np.concatenate(
@@ -298,8 +345,11 @@ def refine(texts: DataFrame, classes: Classes, movable: np.ndarray, matrix: np.n
             )
             found, counts = np.unique(codes, return_counts=True)
             yield _numbers(("unit", found // width), ("slot", found % width), ("n", counts))
+        yield _numbers(("unit", np.full(count * count, -1)), ("slot", np.arange(count * count)), ("n", total))
 
     near = texts.mapInArrow(run, "unit bigint, slot bigint, n bigint").groupBy("unit", "slot").agg(F.sum("n").alias("n"))
+    near = materialize(near)
+    matrix = _square(near.filter("unit = -1").toPandas(), count)
     groups = max(1, -(-int(movable.sum()) // GROUP))
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +360,7 @@ def refine(texts: DataFrame, classes: Classes, movable: np.ndarray, matrix: np.n
         return pd.DataFrame({"unit": own, "class": moved})
 
     group = F.pmod(F.xxhash64("unit"), F.lit(groups)).alias("group")
-    moved = near.select("*", group).groupBy("group").applyInPandas(move, "unit bigint, class bigint").toPandas()
+    moved = near.filter("unit >= 0").select("*", group).groupBy("group").applyInPandas(move, "unit bigint, class bigint").toPandas()
     of_known = start.copy()
     of_known[moved["unit"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
     return Classes(classes.units, classes.of_unit, known, of_known)
@@ -363,16 +413,18 @@ def score_texts(
     of_unit = exchange(bigrams, units.size, count, rounds)
     matrix = class_bigrams(bigrams, of_unit, count)
 
-    is_known = (F.col("n") * known_parts >= total) | (F.col("word") == END)
+    # Units of their own are known, whatever is asked for.
+    is_known = (F.col("n") * max(known_parts, parts) >= total) | (F.col("word") == END)
     known = vocabulary.filter(is_known).toPandas()
     known = known.assign(word=known["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
     names, endings = known["word"].to_numpy(), known["ending"].to_numpy(np.int64).view(np.uint64)
-    first = units.of(names, endings)
+    first = units.of(Named(names, endings))
     model = Classes(units, of_unit, names, of_unit[first])
     # Words that were units by themselves have had their rounds.
     movable = first >= len(units.own)
-    for _ in range(refinements if movable.any() else 0):
-        model = refine(training, model, movable, matrix)
+    if movable.any() and refinements:
+        for _ in range(refinements):
+            model = refine(training, model, movable, count)
         matrix = class_matrix(training, model, count)
 
     kinds = words_of_classes(vocabulary, model, count)
@@ -415,7 +467,7 @@ def words_of_classes(vocabulary: DataFrame, classes: Classes, count: int) -> np.
         kinds = np.zeros(count, np.int64)
         for batch in batches:
             words, endings = (batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) for at in (0, 1))
-            kinds += np.bincount(classes.of(words, endings), minlength=count)
+            kinds += np.bincount(classes.of(Named(words, endings))[0], minlength=count)
         yield _numbers(("class", np.arange(count)), ("n", kinds))
 
     kinds = np.zeros(count)
@@ -431,10 +483,10 @@ def _scan(rows: DataFrame, classes: Classes, logs: np.ndarray, step: np.ndarray)
     names = ["id", "held_out", "row", "n_tokens", "n_known", "log_counts", "steps", "rare"]
 
     def scored(texts: list[bytes]) -> list[pa.Array]:
-        words, endings, owner = lines(texts)
-        line = classes.of(words, endings)
-        before = np.concatenate((classes.of(np.array([END], np.uint64), np.array([END], np.uint64)), line[:-1]))
-        at, here = _found(classes.known, words)
+        tokens = Lines(texts)
+        words, owner, (line, at, here) = tokens.words, tokens.owner, classes.of(tokens)
+        end = np.array([END], np.uint64)
+        before = np.concatenate((classes.of(Named(end, end))[0], line[:-1]))
         count = len(texts)
         # Rare words of a text, each once with how often it occurs.
         order = np.lexsort((words[~here], owner[~here]))

@@ -508,11 +508,14 @@ def test_signatures_meet_for_every_linked_pair(percent):
 
 def test_lines_of_tokens():
     texts = ["", "One two  ÉCOLE naïve", " \t", "日本語の x", "end"]
-    words, endings, owner = class_model.lines([text.encode() for text in texts])
+    tokens = class_model.Lines([text.encode() for text in texts])
+    words, endings, owner = tokens.words, tokens.endings(np.arange(len(tokens.words))), tokens.owner
+    led = class_model.Lines([text.encode() for text in texts], lead=True)
+    assert led.words[0] == class_model.END and (led.words[1:] == words).all()
     plain = [[*text.translate(LOW).split(), None] for text in texts]
     assert owner.tolist() == [at for at, line in enumerate(plain) for _ in line]
     flat = [word for line in plain for word in line]
-    code = lambda word: int(class_model.lines([word.encode()])[0][0]) if word else class_model.END
+    code = lambda word: int(class_model.Lines([word.encode()]).words[0]) if word else class_model.END
     assert words.tolist() == [code(word) for word in flat]
     assert endings.tolist() == [code(word[-3:]) if word else class_model.END for word in flat]
 
