@@ -153,7 +153,7 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
     its group suits leaves the group.
     """
     n, shared = F.col("n"), F.col("shared")
-    rows = signatures.select(
+    rows = _distinct_groups(signatures).select(
         "signature", "node", "n", "shared", (F.floor(shared * 100 / F.lit(percent)) + shared - n).alias("most"),
         F.col("node").alias("label"), F.lit(False).alias("led"),
     )
@@ -189,14 +189,13 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
         fan = active.groupBy("signature").agg(F.count("*").alias("fan_in"))
         open_groups = materialize(heads.join(fan, "signature"))
         met = join_counted(active, open_groups, "signature", "fan_in")
-        met = met.select(F.struct("node", "n", "shared", "label").alias("m"), F.explode("heads").alias("l"))
-        common = F.least("m.shared", "l.shared", "m.n", "l.n")
-        pairs = (
-            met.filter("m.label <> l.label")
-            .filter(common * 100 >= (F.col("m.n") + F.col("l.n") - common) * percent)
-            .select(F.greatest("m.node", "l.node").alias("a"), F.least("m.node", "l.node").alias("b"))
-            .distinct()
-        )
+
+        def could_link(lead: Column) -> Column:
+            common = F.least("shared", lead["shared"], "n", lead["n"])
+            return (F.col("label") != lead["label"]) & (common * 100 >= (F.col("n") + lead["n"] - common) * percent)
+
+        met = met.select("node", F.explode(F.filter("heads", could_link)).alias("lead"))
+        pairs = met.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
@@ -213,6 +212,17 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
         slots = min(slots * 8, SLOTS)
 
 
+def _distinct_groups(signatures: DataFrame) -> DataFrame:
+    """Signatures of several sets, one of those that have the same sets: a shared passage gives many of these."""
+    groups = signatures.groupBy("signature").agg(
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.sum(F.hash("node").cast("bigint")).alias("two"),
+        F.count("*").alias("fan_in"),
+    )
+    kept = groups.filter("fan_in > 1").groupBy("one", "two", "fan_in").agg(F.min("signature").alias("signature"))
+    return materialize(join_counted(signatures, materialize(kept.select("signature", "fan_in")), "signature", "fan_in"))
+
+
 def _no_links(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
