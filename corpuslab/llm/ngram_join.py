@@ -199,9 +199,9 @@ def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        compared = pairs if compared is None else compared.unionByName(pairs)
+        compared = pairs if compared is None else materialize(compared.unionByName(pairs))
         links = materialize(_verified(pairs, whole, percent))
-        found = links if found is None else found.unionByName(links)
+        found = links if found is None else materialize(found.unionByName(links))
         # A group without a leader is done.
         active = join_counted(active.drop("major"), open_groups.drop("heads"), "signature", "fan_in")
         rows = active.join(leaders.select("signature", "node", F.lit(True).alias("leads")), ["signature", "node"], "left")
