@@ -34,6 +34,8 @@ FOLD = bytes(
 END, ENDING = 1, 3
 # Known words that are exchanged in turn by one task, about.
 GROUP = 8000
+# Bytes of texts that are counted together before their counts are sent.
+BLOCK = 1 << 22
 # Groups of units in the first rounds.
 EARLY = 8
 
@@ -47,7 +49,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: np.uint64, length: int) -> np.ndarray:
     known = _powers.get(int(base))
     if known is None or len(known) < length:
-        known = _powers[int(base)] = powers(base, max(length, 1 << 20))
+        known = _powers[int(base)] = powers(base, max(length, BLOCK + (1 << 18)))
     return known[:length]
 
 
@@ -110,7 +112,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
     """Tokens of the first column, some texts at a time; an end stands before them all."""
     for batch in batches:
         texts = [(value.as_py() or "").encode("utf-8", "surrogatepass") for value in batch.column(0)]
-        for low, high in blocks(texts):
+        for low, high in blocks(texts, BLOCK):
             yield Lines(texts[low:high], lead=True)
 
 
