@@ -403,7 +403,7 @@ def error_nodes(spark, folder):
     FROM events WHERE event_type = 'error' AND user_id % 3 <> 0"""
 )
 def unranked_errors(spark, folder):
-    return trainlogs.unranked_errors(_lines(spark, folder))
+    return trainlogs.unranked_errors(_lines(spark, folder)).drop("line")
 
 
 @query(
