@@ -35,7 +35,7 @@ END, ENDING = 1, 3
 # Known words that are exchanged in turn by one task, about.
 GROUP = 8000
 # Bytes of texts that are counted together before their counts are sent.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 # Groups of units in the first rounds.
 EARLY = 8
 
