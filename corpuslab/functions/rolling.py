@@ -115,7 +115,7 @@ def _blocks(codes: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, codes[at : at + BLOCK + length - 1]
 
 
-def anchor_runs(codes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def anchor_runs(codes: np.ndarray, length: int, gram: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of neighbouring windows that share their smallest gram.
 
     Yields arrays ``(first, last, anchor, span1, span2)``: window starts
@@ -123,7 +123,7 @@ def anchor_runs(codes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ..
     and ``span1, span2`` name the content from the first window's start to the
     last window's end. Equal windows have equal anchors wherever they occur.
     """
-    gram = gram_size(length)
+    gram = gram or gram_size(length)
     for at, block in _blocks(codes, length):
         hashes = [PrefixHash(block, base) for base in BASES]
         grams = hashes[0].windows(gram)
@@ -137,6 +137,62 @@ def anchor_runs(codes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ..
         yield first + at, last + at, grams[anchors[first]], spans[0], spans[1]
 
 
+def batches_of_blocks(texts: Iterator[np.ndarray], length: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Blocks of texts, ``(number of the text, start, codes)``, as many together as one array may hold."""
+    waiting, size = [], 0
+    for row, codes in enumerate(texts):
+        for at, block in _blocks(codes, length):
+            if waiting and size + len(block) > BLOCK:
+                yield waiting
+                waiting, size = [], 0
+            waiting.append((row, at, block))
+            size += len(block)
+    if waiting:
+        yield waiting
+
+
+def anchored_blocks(blocks: list[tuple[int, int, np.ndarray]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The runs of ``anchor_runs`` of several blocks at once: ``(codes, block, first, last, place, anchor)``.
+
+    ``codes`` are all blocks one after the other; ``first``, ``last`` and
+    ``place`` (of the anchor) are places in it, and ``block`` is the number of
+    the block they lie in.
+    """
+    codes = np.concatenate([block for _, _, block in blocks])
+    ends = np.cumsum([len(block) for _, _, block in blocks])
+    begins = np.concatenate(([0], ends[:-1]))
+    grams = PrefixHash(codes, BASES[0]).windows(gram)
+    anchors = leftmost_minimum(grams, length - gram + 1)
+    breaks = np.concatenate(([True], anchors[1:] != anchors[:-1]))
+    breaks[begins] = True
+    first = np.flatnonzero(breaks)
+    block = np.searchsorted(begins, first, "right") - 1
+    # Windows across two blocks are none.
+    latest = ends[block] - length
+    last = np.minimum(np.concatenate((first[1:], [len(anchors)])) - 1, latest)
+    real = first <= latest
+    first, last, block = first[real], last[real], block[real]
+    place = anchors[first]
+    return codes, block, first, last, place, grams[place]
+
+
+def repeated(hash1: np.ndarray, hash2: np.ndarray) -> np.ndarray:
+    """Whether another place has the same pair of hashes."""
+    # Only places that share their lower bits with others are sorted.
+    slots = (hash1 & np.uint64((1 << max(16, len(hash1).bit_length() + 2)) - 1)).astype(np.int64)
+    shared = np.flatnonzero(np.bincount(slots)[slots] > 1)
+    order = shared[np.argsort(hash1[shared])]
+    one, two = hash1[order], hash2[order]
+    if ((one[1:] == one[:-1]) & (two[1:] != two[:-1])).any():
+        order = shared[np.lexsort((hash2[shared], hash1[shared]))]
+        one, two = hash1[order], hash2[order]
+    same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    found = np.zeros(len(hash1), bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    return found
+
+
 def windows_in(codes: np.ndarray, length: int, first: np.ndarray, last: np.ndarray):
     """``(start, hash1, hash2)`` of every window starting inside the runs."""
     for at, block in _blocks(codes, length):

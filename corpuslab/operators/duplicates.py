@@ -5,14 +5,16 @@ occurs at least twice in the corpus. How the windows are compared:
 
 1. Each text is cut into runs of windows that share an anchoring gram (the
    smallest gram hash inside the window). Equal windows have equal anchors, so
-   a window can only repeat if its anchor does. The corpus-wide shuffle carries
-   one narrow row per run, combined on the map side.
-2. A run whose content as a whole repeats is duplicated as a whole.
-3. Only runs that share an anchor but differ in content are opened into single
-   windows, and of equal runs only one. These are counted by content.
-
-Groups are counted, never collected, and no pairs are formed, so boilerplate
-found in a third of the corpus costs one counter plus its own output rows.
+   a window can only repeat if its anchor does.
+2. Anchors are counted, combined on the map side. Those of at most ``CROWD``
+   runs have a bucket: every run goes there once, as the units it covers, and
+   the task that holds the bucket compares its windows. Windows are rows
+   nowhere, however many anchors repeat by chance.
+3. Runs of crowded anchors (boilerplate) are counted by content, and opened
+   into windows only where they differ. Their groups are held by no task.
+
+No pairs are formed, so boilerplate found in a third of the corpus costs one
+counter plus its own output rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from pyspark.sql import functions as F
 from corpuslab.operators.ranges import merge_ranges
 from corpuslab.operators.skew import join_counted, possible
 from corpuslab.operators.windows import (
+    bucket_gram,
     raw,
+    repeated_in_buckets,
+    run_anchors,
+    run_units,
     text_size,
     unit_width,
     window_runs,
@@ -31,12 +37,31 @@ from corpuslab.operators.windows import (
 )
 from corpuslab.session import materialize
 
+# Runs of one anchor that a single task compares.
+CROWD = 1 << 16
+
 
 def duplicate_windows(
     df: DataFrame, length: int = 50, unit: str = "bytes", key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Runs of duplicated windows as ``(key, first, last)`` window starts."""
-    runs = window_runs(df, length, unit, key, text)
+    anchors = run_anchors(df, length, unit, text).groupBy("anchor").agg(F.count("*").alias("occurrences"))
+    crowded = materialize(anchors.filter(F.col("occurrences") > CROWD).select("anchor"))
+    units = run_units(df, length, unit, key, text)
+    if crowded.isEmpty():
+        return repeated_in_buckets(units, length, unit, key)
+    others = units.join(F.broadcast(crowded), "anchor", "left_anti")
+    return repeated_in_buckets(others, length, unit, key).unionByName(_crowded_windows(df, crowded, length, unit, key, text))
+
+
+def _crowded_windows(df: DataFrame, crowded: DataFrame, length: int, unit: str, key: str, text: str) -> DataFrame:
+    """The duplicated windows of the ``crowded`` anchors, found without a task that holds a bucket.
+
+    A run whose content as a whole repeats is duplicated as a whole. Only runs
+    that share an anchor but differ in content are opened into single windows,
+    and of equal runs only one. These are counted by content.
+    """
+    runs = window_runs(df, length, unit, key, text, bucket_gram(length)).join(F.broadcast(crowded), "anchor")
     differs = [F.min(span) != F.max(span) for span in ("span1", "span2")]
     anchors = materialize(
         runs.groupBy("anchor")
@@ -194,6 +219,7 @@ def clusters_by_repetition(
     Every id is listed; a repetition with more documents than ``max_ids``
     spreads over several rows instead of one unbounded array.
     """
+    members = materialize(members)
     sizes = materialize(members.groupBy("repetition_id").agg(F.count("*").alias("num_docs")))
     chunks = F.ceil(F.col("num_docs") / F.lit(max_ids))
     counted = sizes.withColumn("fan_in", F.col("num_docs"))

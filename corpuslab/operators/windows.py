@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_BATCH = 200_000
 WINDOWS_PER_BATCH = 20_000
+# Runs whose windows are compared at a time; a bucket larger than that is taken whole.
+RUNS_AT_ONCE = 1 << 14
 
 
 def raw(text: str, unit: str) -> Column:
@@ -99,18 +101,151 @@ def _per_text(names: list[str], work):
 
 
 def window_runs(
-    df: DataFrame, length: int, unit: str = "bytes", key: str = "doc_id", text: str = "text"
+    df: DataFrame, length: int, unit: str = "bytes", key: str = "doc_id", text: str = "text", gram: int | None = None
 ) -> DataFrame:
     """``(key, first, last, anchor, span1, span2)``: see ``rolling.anchor_runs``."""
     names = [key, "first", "last", "anchor", "span1", "span2"]
 
     def work(batch, row):
-        yield from rolling.anchor_runs(rolling.text_codes(batch.column(1)[row].as_py(), unit), length)
+        yield from rolling.anchor_runs(rolling.text_codes(batch.column(1)[row].as_py(), unit), length, gram)
 
     schema = f"`{key}` {_field_type(df, key)}, first bigint, last bigint, anchor bigint, span1 bigint, span2 bigint"
     return df.select(key, text).mapInArrow(_per_text(names, work), schema)
 
 
+def bucket_gram(length: int) -> int:
+    """Length of the grams that deal runs to buckets: shorter ones give fewer runs and larger buckets."""
+    return max(1, length // 3)
+
+
+def run_anchors(df: DataFrame, length: int, unit: str = "bytes", text: str = "text") -> DataFrame:
+    """``(anchor)`` of every run of windows."""
+    gram = bucket_gram(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (rolling.text_codes(value.as_py(), unit) for value in batch.column(0))
+            for blocks in rolling.batches_of_blocks(texts, length):
+                anchor = rolling.anchored_blocks(blocks, length, gram)[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
+
+    return df.select(text).mapInArrow(run, "anchor bigint")
+
+
+def run_units(
+    df: DataFrame, length: int, unit: str = "bytes", key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``(key, place, before, anchor, units)`` of every run of windows.
+
+    ``units`` are those from the start of its first window to the end of its
+    last, without the anchoring gram, which is at ``place``, ``before`` units
+    after the start, and which its hash ``anchor`` stands for.
+    """
+    width, gram = unit_width(unit), bucket_gram(length)
+    names = [key, "place", "before", "anchor", "units"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (rolling.text_codes(value.as_py(), unit) for value in batch.column(1))
+            for blocks in rolling.batches_of_blocks(texts, length):
+                codes, block, first, last, place, anchor = rolling.anchored_blocks(blocks, length, gram)
+                rows = np.array([row for row, _, _ in blocks])[block]
+                begins = np.cumsum([0, *(len(codes) for _, _, codes in blocks[:-1])])
+                starts = np.array([at for _, at, _ in blocks])
+                sizes = last - first + length - gram
+                ends = np.cumsum(sizes)
+                taken = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+                taken += gram * (taken >= np.repeat(place, sizes))
+                units = codes[taken]
+                offsets = np.concatenate(([0], ends * width)).astype(np.int32)
+                content = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(units.tobytes())])
+                columns = [
+                    batch.column(0).take(pa.array(rows)),
+                    pa.array(place - begins[block] + starts[block]),
+                    pa.array((place - first).astype(np.int32)),
+                    pa.array(anchor.view(np.int64)),
+                    content,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"`{key}` {_field_type(df, key)}, place bigint, before int, anchor bigint, units binary"
+    return df.select(key, text).mapInArrow(run, schema)
+
+
+def repeated_in_buckets(units: DataFrame, length: int, unit: str = "bytes", key: str = "doc_id") -> DataFrame:
+    """``(key, first, last)``: windows that occur at least twice, as stretches of the runs of ``run_units``.
+
+    Equal windows have equal anchors, so all of them are in the bucket of their
+    anchor: they are told apart by its hash, where it lies in them, and two
+    hashes of the other units. A bucket is held by one task, so it must be of
+    bounded size.
+    """
+    width, inner = unit_width(unit), length - bucket_gram(length)
+    names = [key, "first", "last"]
+
+    def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        waiting, rows, goal = [], 0, RUNS_AT_ONCE
+        for batch in batches:
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows < goal:
+                continue
+            table = pa.Table.from_batches(waiting)
+            anchors = table.column("anchor").to_numpy()
+            open_from = np.searchsorted(anchors, anchors[-1])
+            if open_from:
+                yield table.slice(0, open_from)
+            waiting = table.slice(open_from).to_batches()
+            rows -= open_from
+            goal = max(RUNS_AT_ONCE, 2 * rows)
+        if waiting:
+            yield pa.Table.from_batches(waiting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches):
+            anchors = table.column("anchor").to_numpy()
+            same = anchors[1:] == anchors[:-1]
+            met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            if not met.any():
+                continue
+            table = table.filter(pa.array(met)).combine_chunks()
+            content = table.column("units").cast(pa.binary()).combine_chunks()
+            content = content.chunk(0) if isinstance(content, pa.ChunkedArray) else content
+            _, offsets, data = content.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
+            codes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+            codes = codes if width == 1 else codes.view(np.uint32)
+            edges = (offsets - offsets[0]) // width
+            counts = np.diff(edges) - inner + 1
+            befores = np.cumsum(counts) - counts
+            owner = np.repeat(np.arange(len(counts)), counts)
+            starts = (edges[:-1] - befores)[owner] + np.arange(len(owner))
+            before = table.column("before").to_numpy() + befores
+            known = table.column("anchor").to_numpy().view(np.uint64)[owner] + (before[owner] - np.arange(len(owner))).astype(np.uint64)
+            known = rolling.scramble(known)
+            hashes = [np.empty(len(owner), np.uint64) for _ in rolling.BASES]
+            for at in range(0, len(counts), RUNS_AT_ONCE):
+                upto = min(at + RUNS_AT_ONCE, len(counts))
+                inside = slice(befores[at], befores[upto - 1] + counts[upto - 1])
+                block, here = codes[edges[at] : edges[upto]], starts[inside] - edges[at]
+                for kept, base in zip(hashes, rolling.BASES, strict=True):
+                    kept[inside] = rolling.PrefixHash(block, base).slices(here, here + inner)
+            found = rolling.repeated(*(rolling.scramble(kept ^ known) for kept in hashes))
+            turns = np.concatenate(([True], owner[1:] != owner[:-1], [True]))
+            opens = np.flatnonzero(found & (turns[:-1] | ~np.concatenate(([False], found[:-1]))))
+            closes = np.flatnonzero(found & (turns[1:] | ~np.concatenate((found[1:], [False]))))
+            place = table.column("place").to_numpy() - before
+            held = owner[opens]
+            columns = [table.column(key).combine_chunks().take(pa.array(held)), pa.array(place[held] + opens), pa.array(place[held] + closes)]
+            columns[0] = columns[0].chunk(0) if isinstance(columns[0], pa.ChunkedArray) else columns[0]
+            if len(opens):
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"`{key}` {_field_type(units, key)}, first bigint, last bigint"
+    dealt = units.repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, schema)
+
+
 def windows_of_runs(
     df: DataFrame,
     runs: DataFrame,

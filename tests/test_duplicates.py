@@ -163,3 +163,19 @@ def test_plain_windows(spark):
     assert [bytes(r["window"]) for r in windows(df, 2).orderBy("pos").collect()] == [b"a\xc3", b"\xc3\xa9", b"\xa9b"]
     chars = windows(df, 2, "chars").select(F.decode("window", "UTF-32").alias("w"))
     assert sorted(r["w"] for r in chars.collect()) == ["aé", "éb"]
+
+
+def test_chance_repeats_of_anchors_open_no_windows(spark, monkeypatch):
+    """Windows of runs that differ are compared in the bucket of their anchor; only crowded anchors make rows of them."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(40)] + ["x" * 80, "x" * 70 + "é" * 30, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    for length, unit in ((20, "bytes"), (17, "chars")):
+        want = brute_ranges(texts, length, unit)
+        with monkeypatch.context() as patched:
+            patched.setattr(dup, "CROWD", 3)
+            assert {tuple(r) for r in dup.duplicate_ranges(df, length, unit).collect()} == want
+        with monkeypatch.context() as patched:
+            patched.setattr(dup, "windows_of_runs", None)
+            assert {tuple(r) for r in dup.duplicate_ranges(df, length, unit).collect()} == want
