@@ -422,25 +422,30 @@ def plan_runs(
 
     ``budgets`` has ``(compute, unique_budget)``; ``shapes`` are
     ``(name, d_model, ffw, kv, heads, layers)``. All shapes are scored for each
-    distinct budget and reduced to one row before the shuffle.
+    distinct budget and reduced to one row before the shuffle: to the number of
+    the best shape, which is held in place, whereas rows of several columns
+    would be sorted. What belongs to the shape is worked out again for that one.
     """
     table = ", ".join(
-        f"named_struct('shape', '{name}', 'hidden', {hidden}D, 'ffw', {ffw}D, 'heads', {heads}D, 'layers', {layers}D)"
-        for name, hidden, ffw, _, heads, layers in shapes
+        f"named_struct('number', {number}, 'shape', '{name}', 'hidden', {hidden}D, 'ffw', {ffw}D, 'heads', {heads}D, 'layers', {layers}D)"
+        for number, (name, hidden, ffw, _, heads, layers) in enumerate(shapes)
     )
     hidden, ffw, heads, layers = (F.col(c) for c in ("hidden", "ffw", "heads", "layers"))
-    given = _distinct_budgets(budgets)
-    sized = (
-        given.select("*", F.inline(F.expr(f"array({table})")))
-        .withColumn("params", architecture_params(hidden, layers, ffw))
-        .withColumn("tokens", laws.tokens_for_compute(F.col("compute"), F.col("params")))
-        .withColumn("unique", F.least("unique_budget", "tokens"))
-        .withColumn("full_flops", architecture_flops(F.col("tokens"), hidden, heads, layers, ffw))
-    )
-    tried = laws.with_loss(sized, "params", "tokens", "unique", law)
-    best = (
-        tried.groupBy("compute", "unique_budget", "asked")
-        .agg(F.min_by(F.struct("shape", "params", "tokens", "loss", "full_flops"), "loss").alias("best"))
-        .select("compute", "unique_budget", "asked", "best.*")
+    columns = ["compute", "unique_budget", "asked"]
+
+    def scored(df: DataFrame) -> DataFrame:
+        sized = (
+            df.withColumn("params", architecture_params(hidden, layers, ffw))
+            .withColumn("tokens", laws.tokens_for_compute(F.col("compute"), F.col("params")))
+            .withColumn("unique", F.least("unique_budget", "tokens"))
+        )
+        return laws.with_loss(sized, "params", "tokens", "unique", law)
+
+    tried = scored(_distinct_budgets(budgets).select("*", F.inline(F.expr(f"array({table})"))))
+    best = tried.groupBy(*columns).agg(F.min_by("number", "loss").alias("number"))
+    chosen = F.get(F.expr(f"array({table})"), F.col("number")).alias("chosen")
+    planned = scored(best.select(*columns, chosen).select(*columns, "chosen.*")).withColumn(
+        "full_flops", architecture_flops(F.col("tokens"), hidden, heads, layers, ffw)
     )
-    return join_counted(budgets, materialize(best), ["compute", "unique_budget"], "asked")
+    planned = planned.select(*columns, "shape", "params", "tokens", "loss", "full_flops")
+    return join_counted(budgets, materialize(planned), ["compute", "unique_budget"], "asked")

@@ -211,3 +211,30 @@ def test_unknown_runs_are_kept(spark):
     parsed = runs.check_runs(runs.parse_runs(df))
     assert parsed.count() == 2
     assert [r["name"] for r in runs.unknown_runs(parsed).collect()] == ["zz9"]
+
+
+def test_best_shapes_are_kept_without_sorting_all(spark, monkeypatch):
+    """Every shape of every budget is scored; only the number of the best one is held, ties and copies included."""
+    shapes = [("small", 512, 2048, 64, 8, 8), ("wide", 1024, 4096, 64, 16, 4), ("deep", 512, 2048, 64, 8, 24), ("again", 512, 2048, 64, 8, 24)]
+    data = [(1, 1e18, 1e8), (2, 1e18, 1e8), (3, 1e20, 1e9), (4, 1e21, 5e7)]
+    plans, kept = [], sweeps.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(sweeps, "materialize", watched)
+    found = sweeps.plan_runs(spark.createDataFrame(data, "id bigint, compute double, unique_budget double"), shapes)
+    got = {r["id"]: r for r in found.collect()}
+    assert not any("SortAggregate" in plan for plan in plans)
+    assert sorted(got) == [1, 2, 3, 4]
+    sized = spark.createDataFrame([(name, float(h), float(f), float(n)) for name, h, f, _, _, n in shapes], "shape string, h double, f double, n double")
+    sized = sized.withColumn("params", sweeps.architecture_params(F.col("h"), F.col("n"), F.col("f"))).crossJoin(
+        spark.createDataFrame(data, "id bigint, compute double, u double")
+    )
+    tokens = F.col("compute") / 6 / F.col("params")
+    loss = laws.predicted_loss(F.col("params"), tokens, F.least("u", tokens)).alias("loss")
+    for key in got:
+        tried = sorted((r["loss"], r["shape"]) for r in sized.filter(F.col("id") == key).select("shape", loss).collect())
+        assert got[key]["loss"] == pytest.approx(tried[0][0], rel=1e-12)
+        assert got[key]["shape"] in {shape for value, shape in tried if value == pytest.approx(tried[0][0], rel=1e-12)}
