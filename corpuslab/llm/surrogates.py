@@ -186,10 +186,11 @@ def _name_word(kind: Column, word: Column, gender: Column, stream: Column, wide:
     return made
 
 
-def surrogate(kind: Column, entity: Column, identity_: Column, secret: Column, attempt: Column) -> Column:
-    """The draw number ``attempt`` for an entity; from ``DRAWS`` on it has a longer form, distinct by 120 bits."""
-    stream = _stream(secret, kind, identity_, attempt)
-    wide = attempt >= DRAWS
+def surrogate(kind: Column, entity: Column, identity_: Column, stream: Column, wide: Column) -> Column:
+    """What an entity's draw ``stream`` gives; a ``wide`` one has a longer form, distinct by 120 bits.
+
+    Pass ``stream`` as a column: it is used in hundreds of places.
+    """
     # "token = ..." keeps everything before the quoted value.
     label = F.regexp_extract(entity, r"^[^\"]*\"", 0)
     inner = F.substring(entity, F.length(label) + 1, F.length(entity) - F.length(label) - 1)
@@ -251,9 +252,11 @@ def _drawn(people: DataFrame, secret: str) -> DataFrame:
     taken = people.select("kind", _shown(kind, own).alias("made_identity")).distinct()
     settled, open_ones = None, people.withColumn("attempt", F.lit(0))
     for attempt in range(DRAWS + 1):
-        made = open_ones.withColumn("made", surrogate(kind, F.col("entity"), own, key, F.lit(attempt)))
+        drawn = open_ones.withColumn("stream", _stream(key, kind, own, F.lit(attempt)))
+        made = drawn.withColumn("made", surrogate(kind, F.col("entity"), own, F.col("stream"), F.lit(attempt >= DRAWS))).drop("stream")
         made_identity = F.when(kind.isin("given", "family"), F.lower("made")).otherwise(identity(kind, F.col("made")))
-        made = made.withColumn("made_identity", made_identity)
+        # Written: pushed into the joins below, the expression of a draw would be there many times over.
+        made = materialize(made.withColumn("made_identity", made_identity))
         if attempt < DRAWS:
             clear = made.join(taken, ["kind", "made_identity"], "left_anti")
             if settled is not None:

@@ -597,3 +597,18 @@ def test_spot_likeness_follows_plain_chains(docs, texts):
         assert len(got[key].fingerprint) == 8 * len(own)
         assert math.isclose(got[key].near_edited, alike(own, edited), abs_tol=1e-9)
         assert math.isclose(got[key].near_next, alike(own, plain_chains(after)), abs_tol=1e-9)
+
+
+def test_surrogates_hash_an_identity_once_a_draw(spark, monkeypatch):
+    """The stream of a draw is a column, not written out wherever a character is drawn from it."""
+    plans, kept = [], surrogates.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(surrogates, "materialize", watched)
+    data = [(1, "write to anna@web.de or Mrs Smith, 4111 1111 1111 1111"), (2, 'token = "abcdef0123456789"'), (3, None)]
+    got = surrogates.replace_personal_data(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert sorted(r.n_entities for r in got) == [0, 1, 3]
+    assert max(plan.count("sha2(") for plan in plans) == 1
