@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.operators.skew import join_counted
+from corpuslab.operators.skew import join_counted, with_possible
 from corpuslab.session import materialize
 
 # Titles that say who is meant, with their gender.
@@ -328,35 +328,40 @@ def replace_personal_data(
     """
     names = [name for name in docs.columns if name not in ("n_entities", "entities")]
     # Columns used inside must not meet columns of the caller.
-    one, two, found = (_unused(name, names) for name in ("one", "two", "found"))
-    docs = docs.select(*names)
+    one, two, found, maybe = (_unused(name, names) for name in ("one", "two", "found", "maybe"))
+    docs = docs.select(*names).withColumn(one, F.xxhash64(key, text)).withColumn(two, F.hash(text, key))
     body = F.col(f"`{text}`").cast("string")
-    dirty = F.coalesce(body.rlike(ANY), F.lit(False))
     nothing = F.array().cast("array<struct<kind: string, replacement: string>>")
-    clean = docs.filter(~dirty).select(*names, F.lit(0).cast("bigint").alias("n_entities"), nothing.alias("entities"))
 
-    marked = docs.filter(dirty).withColumn(one, F.xxhash64(key, text)).withColumn(two, F.hash(text, key))
+    # The only search in all texts.
+    dirty = F.coalesce(body.rlike(ANY), F.lit(False))
     mentions = materialize(
-        marked.select(F.col(one).alias("one"), F.col(two).alias("two"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("found"))
+        docs.filter(dirty)
+        .select(F.col(one).alias("one"), F.col(two).alias("two"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)).alias("found"))
         .dropDuplicates(["one", "two"])
         .select("one", "two", F.posexplode("found").alias("at", "entity"))
     )
     table = materialize(assign_surrogates(mentions.select("entity"), secret))
     # The mentions of a text are collected again, as many as the text holds.
-    changed = (
+    changed = materialize(
         join_counted(mentions, table, "entity", "fan_in")
         .groupBy("one", "two")
         .agg(F.array_sort(F.collect_list(F.struct("at", "kind", "replacement"))).alias(found))
         .withColumnsRenamed({"one": one, "two": two})
     )
-    joined = marked.join(changed, [one, two])
+    # Texts that cannot have mentions stay where they are; the join decides about the others.
+    told = with_possible(docs, changed.select(one, two), [one, two], maybe)
+    clean = told.filter(~F.col(maybe)).select(*names, F.lit(0).cast("bigint").alias("n_entities"), nothing.alias("entities"))
+    joined = told.filter(F.col(maybe)).join(changed, [one, two], "left")
+    has = F.col(found).isNotNull()
     gaps = F.split(body, ANY, -1)
     woven = F.zip_with(gaps, F.transform(found, lambda x: x["replacement"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
     entities = F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["replacement"].alias("replacement")))
+    whole = F.when(has, F.array_join(woven, "")).otherwise(body)
     replaced = joined.select(
-        *(F.array_join(woven, "").alias(name) if name == text else F.col(f"`{name}`") for name in names),
-        F.size(found).cast("bigint").alias("n_entities"),
-        entities.alias("entities"),
+        *(whole.alias(name) if name == text else F.col(f"`{name}`") for name in names),
+        F.when(has, F.size(found)).otherwise(0).cast("bigint").alias("n_entities"),
+        F.coalesce(entities, nothing).alias("entities"),
     )
     return clean.unionByName(replaced)
 

@@ -53,6 +53,12 @@ def possible(df: DataFrame, wanted: DataFrame, keys: str | Sequence[str]) -> Dat
     there are, so a join is to follow. Wide rows that it would shuffle for
     nothing stay where they are. Rows with a null key go.
     """
+    told = with_possible(df, wanted, keys, "__possible")
+    return told.filter("__possible").select(*df.columns)
+
+
+def with_possible(df: DataFrame, wanted: DataFrame, keys: str | Sequence[str], name: str) -> DataFrame:
+    """``df`` with a column ``name``: whether the key may be in ``wanted``. False is certain, also for a null key."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     code = F.xxhash64(*keys)
     slot = F.shiftrightunsigned(code, 6).bitwiseAND(WORDS - 1).alias("__slot")
@@ -62,5 +68,6 @@ def possible(df: DataFrame, wanted: DataFrame, keys: str | Sequence[str]) -> Dat
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
-    met = df.filter(known).withColumn("__slot", slot).withColumn("__bit", bit).join(F.broadcast(words), "__slot")
-    return met.filter(F.expr("getbit(__word, __bit) = 1")).select(*df.columns)
+    met = df.withColumn("__slot", slot).withColumn("__bit", bit).join(F.broadcast(words), "__slot", "left")
+    told = known & F.coalesce(F.expr("getbit(__word, __bit) = 1"), F.lit(False))
+    return met.select(*df.columns, told.alias(name))

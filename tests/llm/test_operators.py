@@ -612,3 +612,14 @@ def test_surrogates_hash_an_identity_once_a_draw(spark, monkeypatch):
     got = surrogates.replace_personal_data(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
     assert sorted(r.n_entities for r in got) == [0, 1, 3]
     assert max(plan.count("sha2(") for plan in plans) == 1
+
+
+def test_surrogates_search_all_texts_once(spark):
+    """Texts without mentions are told by a map of the others, not by a second search."""
+    data = [(1, "write to anna@web.de"), (1, "write to anna@web.de"), (None, "Mrs Smith, anna@web.de"), (2, "plain"), (2, "plain"), (None, ""), (3, None)]
+    data += [(key, f"word {key}") for key in range(10, 200)]
+    got = surrogates.replace_personal_data(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(((r.n_entities, r.doc_id or 0, r.text or "") for r in got.collect()), reverse=True)
+    assert [r[:2] for r in found[:3]] == [(2, 0), (1, 1), (1, 1)] and found[1] == found[2] and "anna" not in found[0][2] + found[1][2]
+    assert sorted(r[1:] for r in found[3:]) == sorted((key or 0, text or "") for key, text in data[3:])
