@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -354,6 +355,33 @@ def predicted_loss(
     return point.total(*LAWS[form](point))
 
 
+def constrained_losses(
+    n: np.ndarray,
+    d: np.ndarray,
+    u: np.ndarray,
+    g: np.ndarray,
+    *,
+    a: np.ndarray,
+    b: np.ndarray,
+    e: np.ndarray,
+    alpha: np.ndarray,
+    beta: np.ndarray,
+    d_star: np.ndarray,
+    n_star: np.ndarray,
+) -> np.ndarray:
+    """The constrained law on arrays, as ``predicted_loss`` has it on columns; ``g`` is the law's balance."""
+
+    def saturating(base: np.ndarray, ratio: np.ndarray, star: np.ndarray) -> np.ndarray:
+        return base + base * star * (1.0 - np.exp(-np.maximum(ratio - 1, 0.0) / star))
+
+    with np.errstate(all="ignore"):
+        power = beta / alpha
+        fit_n = (u * g if (power == 1).all() else np.power(u * g, power)) * g
+        u_n = np.fmin(n, fit_n)
+        params, tokens = saturating(u_n, n / u_n, n_star), saturating(u, d / u, d_star)
+        return np.exp(e) + np.exp(a) * np.power(params, -alpha) + np.exp(b) * np.power(tokens, -beta)
+
+
 def law_for(form: str, law: Law = C4_LAW) -> Law:
     """The law's constants with repeat constants that suit ``form``."""
     return law.with_stars(*RATES[form]) if form in RATES else law

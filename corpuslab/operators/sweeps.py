@@ -1,15 +1,19 @@
 """Sweeps of scaling laws over runs, budgets, shapes and constants.
 
 A grid is a parameter of fixed size. Its points are generated from each row by
-``explode`` and combined again on the map side, so the grid multiplies the
-arithmetic but never what is shuffled.
+``explode``, or as an array in its task, and combined again on the map side, so
+the grid multiplies the arithmetic but never what is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import replace
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import fields, replace
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ from corpuslab.operators.curves import improving_prefix
 from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize
 
+for module in (laws, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(module)
+
 # Fixed value: transition point of the robust loss on log-losses.
 HUBER_DELTA = 1e-3
 
@@ -244,14 +251,13 @@ def optimal_allocation(
 
     Starting at the compute-optimal split, tokens are scaled up and parameters
     down by each of ``count`` factors, and the other way round (``with_start``
-    tries the start itself too). Every distinct budget is solved once: its
-    candidates are made in one task and reduced there to one row before the
-    shuffle.
+    tries the start itself too). Every distinct budget is solved once: the
+    losses of its candidates are an array in one task, of which the smallest
+    is kept.
     """
     given = _distinct_budgets(budgets)
     start = optimal_nd(given, law)
     # Candidates 1..count scale tokens up, -1..-count down, 0 is the start.
-    candidates = F.sequence(F.lit(-count), F.lit(count))
     step = (high - low) / (count - 1)
     size = F.lit(low) + (F.abs(F.col("candidate")) - 1) * F.lit(step)
     factor = (
@@ -259,6 +265,9 @@ def optimal_allocation(
         .when(F.col("candidate") < 0, F.lit(1.0) / size)
         .otherwise(F.lit(1.0))
     )
+    candidates = [at for at in range(-count, count + 1) if at or with_start]
+    sizes = [low + (abs(at) - 1) * step for at in candidates]
+    factors = [size if at > 0 else 1.0 / size if at < 0 else 1.0 for at, size in zip(candidates, sizes, strict=True)]
 
     def placed(df: DataFrame) -> DataFrame:
         scaled = (
@@ -269,15 +278,7 @@ def optimal_allocation(
         )
         return laws.with_loss(scaled, "params", "tokens", "unique", law).drop("factor", "unique")
 
-    tried = start.withColumn("candidate", F.explode(candidates))
-    if not with_start:
-        tried = tried.filter("candidate != 0")
-    columns = ["compute", "unique_budget", "asked", "opt_tokens", "opt_params"]
-    best = (
-        placed(tried)
-        .groupBy(*columns)
-        .agg(F.min_by("candidate", "loss").alias("candidate"))
-    )
+    best = _best_candidates(start, law, candidates, factors)
     solved = (
         placed(best)
         .withColumn("epochs", F.try_divide(F.col("tokens"), F.col("unique_budget")))
@@ -286,6 +287,39 @@ def optimal_allocation(
     return join_counted(budgets, materialize(solved), ["compute", "unique_budget"], "asked")
 
 
+def _best_candidates(start: DataFrame, law: Law, candidates: list[int], factors: list[float]) -> DataFrame:
+    """``start`` with the candidate of the smallest constrained loss, the last of equal ones; not a number counts as largest."""
+    constants = [field.name for field in fields(Law)]
+    given = start.select(
+        *start.columns,
+        F.col("unique_budget").cast("double").alias("_limit"),
+        laws.balance(law).cast("double").alias("_g"),
+        *(law.column(name).cast("double").alias(f"_{name}") for name in constants),
+    )
+    names = list(start.columns)
+    rows, factor = max(1, 32_000 // len(factors)), np.array(factors)
+    # Reversed, so that the first smallest is the last.
+    named = np.array(candidates, np.int32)[::-1]
+    kept = [*names, "candidate"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+
+                def column(name: str) -> np.ndarray:
+                    return part.column(name).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]  # noqa: B023
+
+                tokens, params = column("opt_tokens") * factor[::-1], column("opt_params") / factor[::-1]
+                law_of = {name: column(f"_{name}") for name in constants}
+                loss = laws.constrained_losses(params, tokens, np.fmin(column("_limit"), tokens), column("_g"), **law_of)
+                best = named[np.where(np.isnan(loss), np.inf, loss).argmin(axis=1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in names), pa.array(best)], kept)
+
+    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in start.schema.fields)
+    return given.mapInArrow(run, f"{schema}, candidate int")
+
+
 def log_space(df: DataFrame, low: str, high: str, count: int, name: str = "compute") -> DataFrame:
     """``count`` log-spaced values per row, with their position ``step``."""
     start, end = F.log10(F.col(low)), F.log10(F.col(high))

@@ -30,6 +30,31 @@ def test_published_allocation(spark):
         assert r["epochs"] == pytest.approx(9.49347821910203, rel=1e-9)
 
 
+def test_allocation_makes_no_row_of_a_candidate(spark):
+    """The best of all candidates, as plain SQL functions find it, without a row for each."""
+    data = [(1e22, 25e9), (1e22, 25e9), (3e20, 4e12), (7e23, 1e8), (None, 1e9), (1e21, None)]
+    df = spark.createDataFrame(data, "compute double, unique_budget double")
+    for law in (laws.C4_LAW, laws.MASSIVE_TEXT_LAW):
+        found = sweeps.optimal_allocation(df, law, 1.001, 3.0, 20, with_start=True)
+        start = sweeps.optimal_nd(df.distinct().dropna(), law)
+        sizes = [1.001 + i * 1.999 / 19 for i in range(20)]
+        factors = [1 / size for size in reversed(sizes)] + [1.0] + sizes  # of equal losses the last counts
+        tried = start.withColumn("f", F.explode(F.array(*map(F.lit, factors))))
+        d, n = F.col("opt_tokens") * F.col("f"), F.col("opt_params") / F.col("f")
+        tried = tried.withColumn("x", laws.predicted_loss(n, d, F.least("unique_budget", d), law))
+        want = {r[0]: r[1:] for r in tried.groupBy("compute").agg(F.min("x"), F.min_by(d, "x")).collect()}
+        got = [(r.compute, r.loss, r.tokens) for r in found.collect()]
+        assert len(got) == 4 and {r[0] for r in got} == set(want)
+        assert all(r[1:] == pytest.approx(want[r[0]], rel=1e-12) for r in got)
+    plans, kept = [], sweeps.materialize
+    sweeps.materialize = lambda made: plans.append(made._jdf.queryExecution().optimizedPlan().toString()) or kept(made)
+    try:
+        sweeps.optimal_allocation(df).collect()
+    finally:
+        sweeps.materialize = kept
+    assert plans and not any("explode" in plan for plan in plans)
+
+
 def test_inverses_of_the_optimal_line(spark):
     law = laws.C4_LAW
     c = F.lit(1e21)
