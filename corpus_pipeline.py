@@ -12,26 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import mixing, ngram_join, packing, surrogates, toxicity
-from corpuslab.operators.skew import join_counted
+from corpuslab.operators.skew import join_counted, with_possible
 from corpuslab.session import materialize, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The columns of documents joined to a table of decisions by ``doc_id``, one row per id; ``copies`` counts its rows."""
+def _split(docs: DataFrame, decisions: DataFrame, usual: str) -> tuple[DataFrame, DataFrame]:
+    """Documents whose decision is the usual one, and the others with the columns of theirs.
+
+    Decisions have one row per ``doc_id`` of ``docs``; ``copies`` counts them.
+    Only texts that may have another decision are shuffled. Rows without an id
+    are among the first, as nothing can be decided about them.
+    """
     counted = decisions.groupBy("doc_id").agg(
         *(F.max(name).alias(name) for name in decisions.columns if name != "doc_id"), F.count("*").alias("copies")
     )
-    counted = materialize(counted.withColumn("fan_in", F.col("copies")))
-    return join_counted(docs.select(*COLUMNS), counted, "doc_id", "fan_in")
+    unusual = ~F.coalesce(F.expr(usual), F.lit(False))
+    others = materialize(counted.filter(unusual & F.col("doc_id").isNotNull()).withColumn("fan_in", F.col("copies")))
+    told = with_possible(docs.select(*COLUMNS), others.select("doc_id"), "doc_id", "maybe")
+    joined = join_counted(told.filter("maybe").drop("maybe"), others, "doc_id", "fan_in", "left")
+    plain = told.filter("not maybe").select(*COLUMNS).unionByName(joined.filter("copies is null").select(*COLUMNS))
+    return plain, joined.filter("copies is not null")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic. Rows without an id are kept as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_toxicity(docs, labels).select("doc_id", "predicted")
-    return _keep(docs, _with(docs, scored).filter("predicted = 0"))
+    return _split(docs, scored, "predicted = 0")[0]
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +50,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one of the greater hash if several are as long.
     """
     joined = ngram_join.similar_documents(docs, size=5, percent=80).select("doc_id", "component_id")
-    kept = _with(docs, joined).filter("component_id = doc_id")
+    single, others = _split(docs, joined, "component_id = doc_id and copies = 1")
     order = F.struct(F.length("text"), F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))
     longest = F.max_by(F.struct(*COLUMNS), order).alias("row")
-    several = kept.filter("copies > 1").groupBy("doc_id").agg(longest).select("row.*")
-    return _keep(docs, kept.filter("copies = 1").select(*COLUMNS).unionByName(several))
+    several = others.filter("component_id = doc_id").groupBy("doc_id").agg(longest).select("row.*")
+    return single.unionByName(several)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +80,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lost = taken.filter("size > 0").groupBy("source").agg(F.sum("times").alias("kept"), F.max(part).alias("most"))
     saved = lost.filter("kept = 0 and most is not null").select(F.negative("most.id").alias("doc_id"), F.lit(1).alias("saved"))
     taken = taken.join(saved, "doc_id", "left").withColumn("times", F.greatest("times", F.coalesce("saved", F.lit(0))))
-    chosen = _with(docs, taken.select("doc_id", "times")).filter("times > 0")
-    repeated = chosen.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return _keep(docs, repeated)
+    once, others = _split(docs, taken.select("doc_id", "times"), "times = 1")
+    repeated = others.filter("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return once.unionByName(repeated.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,11 +90,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen rows and those without an id, about which nothing can be decided."""
-    return chosen.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
-
-
 STAGES = [
     ("toxicity", reject_toxic),
     ("ngram_join", drop_near_copies),

@@ -79,3 +79,15 @@ def test_stages_on_no_rows(spark, docs):
     none = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, FOLDER).count() == 0
+
+
+def test_texts_with_the_usual_decision_are_not_shuffled(spark):
+    """Both ways of a decision, repeated and missing ids, without a shuffle of the texts that stay as they are."""
+    rows = [(key, f"text {key}", "en", "a") for key in range(1, 50)] + [(7, "other", "en", "b"), (None, "x", None, None)]
+    docs = table(spark, rows).repartition(3)
+    marks = spark.createDataFrame([(key, int(key in (3, 7))) for key, *_ in rows], "doc_id bigint, predicted int")
+    plain, others = pipeline._split(docs, marks, "predicted = 0")
+    assert sorted(r.text for r in others.collect()) == ["other", "text 3", "text 7"]
+    assert sorted(r.text for r in plain.collect()) == sorted(text for key, text, *_ in rows if key not in (3, 7))
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "__word" in plan and "LeftOuter" in plan
