@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.components import components
 from corpuslab.llm.shingles import mix, set_digest, shingle_sets
+from corpuslab.operators.links import resolved_links
 from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize
 
@@ -28,8 +29,6 @@ RARE = 16
 # Shingles below these are the quarter that is searched for lone ones, and the half whose sets are counted.
 QUARTER, HALF = np.uint64(1 << 62), np.uint64(1 << 63)
 MAP_BITS = 22
-# Leaders of a group in one round, and pairs of one set that a task is given.
-SLOTS, MANY = 64, 4096
 
 
 def similar_documents(
@@ -122,10 +121,8 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
         F.coalesce(F.col("shared.df"), F.array().cast("array<bigint>")).alias("df"),
         F.coalesce(F.col("shared.shingle"), F.array().cast("array<bigint>")).alias("shingles"),
     )
-    signatures = materialize(
-        prefixes.mapInArrow(_signatures(percent), "signature bigint, node bigint, n bigint, shared bigint").distinct()
-    )
-    return _resolve(signatures, whole, percent)
+    signatures = prefixes.mapInArrow(_signatures(percent), "signature bigint, node bigint, n bigint, shared bigint")
+    return resolved_links(signatures, whole, percent)
 
 
 def _bit_map(wanted: DataFrame) -> np.ndarray:
@@ -136,134 +133,6 @@ def _bit_map(wanted: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-def _resolve(signatures: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Compare the sets that share a signature until no open question is left.
-
-    Each round picks leaders in every signature group: of each of ``slots``
-    slots the set with the fewest shingles of its own that has not led yet,
-    which is the one most others were copied from. All sets of the group are
-    compared with the leaders they are not yet connected to, no pair twice.
-    Components found so far are kept as labels and only joined by new links.
-    Groups that still hold several components go on, with more slots, until
-    all sets have led but those of the largest component, which the others
-    have then been compared with.
-
-    A set has at most its shared shingles in common with another one, so its
-    own shingles bound the size of a partner (``most``). A set that no size in
-    its group suits leaves the group.
-    """
-    n, shared = F.col("n"), F.col("shared")
-    rows = _distinct_groups(signatures).select(
-        "signature", "node", "n", "shared", (F.floor(shared * 100 / F.lit(percent)) + shared - n).alias("most"),
-        F.col("node").alias("label"), F.lit(False).alias("led"),
-    )
-    found, compared = None, None
-    slots = 1
-    while True:
-        by_label = rows.groupBy("signature", "label").agg(
-            F.min("n").alias("least"), F.max("most").alias("largest"), F.count("*").alias("members")
-        )
-        groups = materialize(
-            by_label.groupBy("signature")
-            .agg(
-                F.max_by("label", F.struct("members", "label")).alias("major"),
-                F.min("least").alias("least"),
-                F.max("largest").alias("largest"),
-                F.sum("members").alias("fan_in"),
-                F.count("*").alias("labels"),
-            )
-            .filter("labels > 1")
-            .drop("labels")
-        )
-        suited = join_counted(rows, groups, "signature", "fan_in").filter("most >= least and n <= largest")
-        active = materialize(suited.select(*rows.columns, "major"))
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots).cast("bigint"))
-        lone = (F.col("n") - F.col("shared")).alias("lone")
-        leaders = active.filter(~F.col("led") & (F.col("label") != F.col("major"))).groupBy("signature", slot.alias("slot")).agg(
-            F.min(F.struct(lone, "node", "n", "shared", "label")).alias("lead")
-        )
-        leaders = materialize(leaders.select("signature", "lead.*"))
-        if leaders.isEmpty():
-            return found if found is not None else _no_links(rows)
-        heads = leaders.groupBy("signature").agg(F.collect_list(F.struct("node", "n", "shared", "label")).alias("heads"))
-        fan = active.groupBy("signature").agg(F.count("*").alias("fan_in"))
-        open_groups = materialize(heads.join(fan, "signature"))
-        met = join_counted(active, open_groups, "signature", "fan_in")
-
-        def could_link(lead: Column) -> Column:
-            common = F.least("shared", lead["shared"], "n", lead["n"])
-            return (F.col("label") != lead["label"]) & (common * 100 >= (F.col("n") + lead["n"] - common) * percent)
-
-        met = met.select("node", F.explode(F.filter("heads", could_link)).alias("lead"))
-        pairs = met.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        compared = pairs if compared is None else materialize(compared.unionByName(pairs))
-        links = materialize(_verified(pairs, whole, percent))
-        found = links if found is None else materialize(found.unionByName(links))
-        # A group without a leader is done.
-        active = join_counted(active.drop("major"), open_groups.drop("heads"), "signature", "fan_in")
-        rows = active.join(leaders.select("signature", "node", F.lit(True).alias("leads")), ["signature", "node"], "left")
-        rows = rows.withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads")
-        if not links.isEmpty():
-            rows = _relabelled(rows, active, links)
-        rows = materialize(rows)
-        slots = min(slots * 8, SLOTS)
-
-
-def _distinct_groups(signatures: DataFrame) -> DataFrame:
-    """Signatures of several sets, one of those that have the same sets: a shared passage gives many of these."""
-    groups = signatures.groupBy("signature").agg(
-        F.bit_xor(F.xxhash64("node")).alias("one"),
-        F.sum(F.hash("node").cast("bigint")).alias("two"),
-        F.count("*").alias("fan_in"),
-    )
-    kept = groups.filter("fan_in > 1").groupBy("one", "two", "fan_in").agg(F.min("signature").alias("signature"))
-    return materialize(join_counted(signatures, materialize(kept.select("signature", "fan_in")), "signature", "fan_in"))
-
-
-def _no_links(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-
-
-def _relabelled(rows: DataFrame, active: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the labels that the new links join made one."""
-    label = active.select("node", "label").distinct()
-    ends = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
-    ends = ends.join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    joined = components(ends.select("x", "y").distinct(), "x", "y")
-    joined = joined.withColumnsRenamed({"node": "label", "component": "joined"})
-    fan = rows.groupBy("label").agg(F.count("*").alias("fan_in"))
-    counted = materialize(joined.join(fan, "label"))
-    moved = join_counted(rows, counted, "label", "fan_in", "left")
-    return moved.withColumn("label", F.coalesce("joined", "label")).select(*rows.columns)
-
-
-def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough; a set in very many pairs is sent to several tasks."""
-    sets = whole.select("node", "n", "shingles")
-
-    def with_set(df: DataFrame, side: str) -> DataFrame:
-        asked = df.groupBy(side).agg(F.count("*").alias("fan_in"))
-        own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"set_{side}"))
-        hot = materialize(asked.filter(F.col("fan_in") > MANY))
-        split = F.ceil(F.coalesce("fan_in", F.lit(1)) / MANY).cast("int")
-        salts = F.sequence(F.lit(0), F.greatest(split, F.lit(1)) - 1)
-        offered = own.join(hot, side, "left").withColumn("salt", F.explode(salts)).drop("fan_in")
-        salt = F.pmod(F.xxhash64("a", "b"), F.greatest(split, F.lit(1)).cast("bigint")).cast("int")
-        placed = df.join(hot, side, "left").withColumn("salt", salt).drop("fan_in")
-        return placed.join(offered, [side, "salt"]).drop("salt")
-
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return (
-        with_set(with_set(pairs, "a"), "b")
-        .select("a", "b", "n_a", "n_b", common.alias("common"))
-        .filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent)
-        .select("a", "b")
-    )
-
-
 def _digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

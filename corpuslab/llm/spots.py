@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.components import components
-from corpuslab.llm.ngram_join import _resolve
+from corpuslab.operators.links import resolved_links
 from corpuslab.operators.order import row_ranks
 from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize
@@ -212,7 +212,7 @@ def _linked(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
         F.slice(F.concat("found", "rest"), 1, F.greatest(length, F.lit(0))).alias("prefix"),
     ).select("node", "n", "shared", "partition", F.explode("prefix").alias("spot"))
     signatures = signatures.select(F.xxhash64("partition", "spot").alias("signature"), "node", "n", "shared")
-    reached = components(_resolve(materialize(signatures.distinct()), sets, percent))
+    reached = components(resolved_links(signatures, sets, percent))
     placed = sets.join(reached, "node", "left").select(
         "set_one", "set_two", "copies", "least_id", F.coalesce("component", "node").alias("component")
     )

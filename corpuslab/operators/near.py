@@ -1,10 +1,10 @@
 """Near-duplicate clusters by MinHash bands.
 
 Every text becomes the set of its word shingles, the set a sketch, the sketch a
-few band hashes. Texts that share a band are candidates. No pairs are made in a
-band: its members are compared with a few leaders, by their exact sets; those
-that end up in one cluster are done, and only members of different clusters go
-on to the next leaders. Texts with one set are one member throughout.
+few band hashes. Texts that share a band are candidates. The members of a band
+are compared with leaders, by their exact sets; those that end up in one cluster
+are done, and only members of different clusters go on to the next leaders
+(``links``). Texts with one set are one member throughout.
 
 With b bands of r values a pair of similarity s is a candidate with probability
 ``1 - (1 - s**r)**b``: 0.999998 for the 32 bands of 5 at 0.8.
@@ -18,20 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import minhash, rolling
 from corpuslab.operators.components import components
+from corpuslab.operators.links import resolved_links
 from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize
 
 for module in (minhash, rolling, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(module)
 
-# Members of a band that are compared with all others in one round.
-LEADERS = 8
-
 
 def sketches(
     df: DataFrame,
@@ -107,79 +105,6 @@ def near_duplicates(
 
 def _links(member: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: links that connect the same members as all links among candidates do."""
-    spread = member.select("node", F.explode("bands").alias("band"))
-    crowded = spread.groupBy("band").agg(F.count("*").alias("fan_in")).filter("fan_in > 1")
-    waiting = materialize(join_counted(spread, materialize(crowded), "band", "fan_in").select("band", "node", F.col("node").alias("cluster")))
-    found, compared, led = [], None, None
-    while True:
-        # Bands whose members are all in one cluster are done. In the others, members of the
-        # largest cluster need not lead: those of the other clusters are compared with them.
-        by_cluster = waiting.groupBy("band", "cluster").agg(F.count("*").alias("members"))
-        mixed = by_cluster.groupBy("band").agg(
-            F.max_by("cluster", F.struct("members", "cluster")).alias("major"),
-            F.sum("members").alias("fan_in"),
-            F.count("*").alias("clusters"),
-        )
-        mixed = materialize(mixed.filter("clusters > 1").select("band", "major", "fan_in"))
-        if mixed.isEmpty():
-            break
-        waiting = materialize(join_counted(waiting, mixed, "band", "fan_in"))
-        able = waiting.filter("cluster <> major")
-        waiting, mixed = waiting.drop("major"), mixed.drop("major")
-        able = able if led is None else able.join(led, ["band", "node"], "left_anti")
-        leaders = materialize(_first_of_bands(able))
-        if leaders.isEmpty():
-            break
-        led = leaders.select("band", "node") if led is None else materialize(led.unionByName(leaders.select("band", "node")))
-        heads = leaders.groupBy("band").agg(F.collect_list(F.struct(F.col("node").alias("leader"), F.col("cluster").alias("own"))).alias("heads"))
-        heads = materialize(heads.join(mixed, "band"))
-        # A band without a leader is done.
-        waiting = join_counted(waiting, heads.drop("heads"), "band", "fan_in")
-        met = join_counted(waiting, heads, "band", "fan_in").select("node", "cluster", F.inline("heads")).filter("cluster <> own")
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        compared = pairs if compared is None else materialize(compared.unionByName(pairs))
-        fresh = materialize(_verified(pairs, member, percent))
-        found.append(fresh)
-        if fresh.isEmpty():
-            continue
-        # Clusters found so far are the nodes of the next search, not single members.
-        label = waiting.select("node", "cluster").distinct()
-        between = fresh.join(label.select(F.col("node").alias("a"), F.col("cluster").alias("x")), "a")
-        between = between.join(label.select(F.col("node").alias("b"), F.col("cluster").alias("y")), "b").select("x", "y")
-        joined = components(between, "x", "y").withColumnsRenamed({"node": "cluster", "component": "joined"})
-        counts = materialize(waiting.groupBy("cluster").agg(F.count("*").alias("fan_in")).join(joined, "cluster"))
-        moved = join_counted(waiting, counts, "cluster", "fan_in", "left")
-        waiting = materialize(moved.select("band", "node", F.coalesce("joined", "cluster").alias("cluster")))
-    if not found:
-        return member.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links = found[0]
-    for part in found[1:]:
-        links = links.unionByName(part)
-    return links
-
-
-def _first_of_bands(able: DataFrame) -> DataFrame:
-    """The smallest members of every band: of shares of it first, then of those."""
-    shares = able.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(64)))
-    first = Window.partitionBy("band", "share").orderBy("node")
-    few = shares.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= LEADERS)
-    again = Window.partitionBy("band").orderBy("node")
-    return few.withColumn("at", F.row_number().over(again)).filter(F.col("at") <= LEADERS).select("band", "node", "cluster")
-
-
-def _verified(pairs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets are as similar as asked."""
-    sets = member.select("node", "shingles")
-
-    def with_sets(df: DataFrame, side: str) -> DataFrame:
-        counts = df.groupBy(side).agg(F.count("*").alias("fan_in"))
-        offered = materialize(sets.withColumnsRenamed({"node": side, "shingles": f"set_{side}"}).join(counts, side))
-        return join_counted(df, offered, side, "fan_in")
-
-    both = with_sets(materialize(with_sets(pairs, "a")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return both.filter(100 * shared >= percent * union).select("a", "b")
+    n = F.col("n_shingles").alias("n")
+    spread = member.select(F.explode("bands").alias("signature"), "node", n, n.alias("shared"))
+    return resolved_links(spread, member.select("node", n, "shingles"), percent)
