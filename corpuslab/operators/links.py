@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.components import components
-from corpuslab.operators.skew import join_counted
+from corpuslab.operators.skew import join_counted, possible
 from corpuslab.session import materialize
 
 # Leaders of a group in one round, and pairs of one set that a task is given.
-SLOTS, MANY = 512, 4096
+SLOTS, MANY = 4096, 4096
 # A group with more than this share of the rows is compared by several tasks.
 SPLITS = 512
 # Words of 64 bits in the map of a set.
@@ -32,8 +32,8 @@ def resolved_links(signatures: DataFrame, whole: DataFrame, percent: int) -> Dat
     ``signatures`` has ``(signature, node, n, shared)``, ``whole`` the sets
     ``(node, n, shingles)``; two sets link when ``100 * intersection >=
     percent * union``. Each round picks leaders in every signature group: of
-    each of ``slots`` slots the set with the fewest shingles of its own that
-    has not led yet, which is the one most others were copied from. All sets of
+    each of ``slots`` slots, dealt anew each round, the set with the fewest
+    shingles of its own that has not led yet, which most others were copied from. All sets of
     the group are compared with the leaders they are not yet connected to, no
     pair twice. Components found so far are kept as labels and only joined by
     new links. Groups that still hold several components go on, with more
@@ -49,7 +49,7 @@ def resolved_links(signatures: DataFrame, whole: DataFrame, percent: int) -> Dat
         "signature", "node", "n", "shared", (F.floor(shared * 100 / F.lit(percent)) + shared - n).alias("most"),
         F.col("node").alias("label"), F.lit(False).alias("led"),
     )
-    found, compared, slots = None, None, 1
+    found, compared, slots, turn = None, None, 1, 0
     while True:
         by_label = rows.groupBy("signature", "label").agg(
             F.min("n").alias("least"), F.max("most").alias("largest"), F.count("*").alias("members")
@@ -71,7 +71,7 @@ def resolved_links(signatures: DataFrame, whole: DataFrame, percent: int) -> Dat
         if "parity" not in rows.columns:
             suited = suited.join(_parities(whole), "node", "left")
         active = materialize(suited)
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots).cast("bigint"))
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots).cast("bigint"))
         lone = (F.col("n") - F.col("shared")).alias("lone")
         able = active.filter(~F.col("led") & (F.col("label") != F.col("major")))
         leaders = able.groupBy("signature", slot.alias("slot")).agg(
@@ -96,7 +96,7 @@ def resolved_links(signatures: DataFrame, whole: DataFrame, percent: int) -> Dat
         if not links.isEmpty():
             rows = _relabelled(rows, active, links)
         rows = materialize(rows)
-        slots = min(slots * 8, SLOTS)
+        slots, turn = min(slots * 8, SLOTS), turn + 1
 
 
 def _candidates(active: DataFrame, leaders: DataFrame, open_groups: DataFrame, percent: int) -> DataFrame:
@@ -173,12 +173,13 @@ def _relabelled(rows: DataFrame, active: DataFrame, links: DataFrame) -> DataFra
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough; a set in very many pairs is sent to several tasks."""
+    """The pairs whose sets are similar enough; a set in very many pairs is sent to several tasks, one in none stays."""
     sets = whole.select("node", "n", "shingles")
 
     def with_set(df: DataFrame, side: str) -> DataFrame:
         asked = df.groupBy(side).agg(F.count("*").alias("fan_in"))
         own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"set_{side}"))
+        own = possible(own, df, side)
         hot = materialize(asked.filter(F.col("fan_in") > MANY))
         split = F.ceil(F.coalesce("fan_in", F.lit(1)) / MANY).cast("int")
         salts = F.sequence(F.lit(0), F.greatest(split, F.lit(1)) - 1)
