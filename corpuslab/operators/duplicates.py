@@ -6,10 +6,12 @@ occurs at least twice in the corpus. How the windows are compared:
 1. Each text is cut into runs of windows that share an anchoring gram (the
    smallest gram hash inside the window). Equal windows have equal anchors, so
    a window can only repeat if its anchor does.
-2. Anchors are counted, combined on the map side. Those of at most ``CROWD``
-   runs have a bucket: every run goes there once, as the units it covers, and
-   the task that holds the bucket compares its windows. Windows are rows
-   nowhere, however many anchors repeat by chance.
+2. Anchors are counted. A map of fixed size tells which may occur several
+   times; the runs of all others stay where they are. Of anchors of at most
+   ``CROWD`` runs every run goes to a bucket once, as the units it covers, next
+   to the other runs of its task, and the task that holds the bucket compares
+   its windows. Neither windows nor runs are rows, however many anchors repeat
+   by chance.
 3. Runs of crowded anchors (boilerplate) are counted by content, and opened
    into windows only where they differ. Their groups are held by no task.
 
@@ -25,14 +27,14 @@ from pyspark.sql import functions as F
 from corpuslab.operators.ranges import merge_ranges
 from corpuslab.operators.skew import join_counted, possible
 from corpuslab.operators.windows import (
-    bucket_gram,
+    crowded_runs,
     raw,
+    repeated_anchors,
     repeated_in_buckets,
     run_anchors,
     run_units,
     text_size,
     unit_width,
-    window_runs,
     windows_of_runs,
 )
 from corpuslab.session import materialize
@@ -45,23 +47,21 @@ def duplicate_windows(
     df: DataFrame, length: int = 50, unit: str = "bytes", key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Runs of duplicated windows as ``(key, first, last)`` window starts."""
-    anchors = run_anchors(df, length, unit, text).groupBy("anchor").agg(F.count("*").alias("occurrences"))
-    crowded = materialize(anchors.filter(F.col("occurrences") > CROWD).select("anchor"))
-    units = run_units(df, length, unit, key, text)
-    if crowded.isEmpty():
-        return repeated_in_buckets(units, length, unit, key)
-    others = units.join(F.broadcast(crowded), "anchor", "left_anti")
-    return repeated_in_buckets(others, length, unit, key).unionByName(_crowded_windows(df, crowded, length, unit, key, text))
+    repeated = repeated_anchors(run_anchors(df, length, unit, text), CROWD)
+    found = repeated_in_buckets(run_units(df, length, repeated, unit, key, text), length, unit, key)
+    if not len(repeated[1]):
+        return found
+    crowded = materialize(crowded_runs(df, length, repeated, unit, key, text))
+    return found.unionByName(_crowded_windows(df, crowded, length, unit, key, text))
 
 
-def _crowded_windows(df: DataFrame, crowded: DataFrame, length: int, unit: str, key: str, text: str) -> DataFrame:
-    """The duplicated windows of the ``crowded`` anchors, found without a task that holds a bucket.
+def _crowded_windows(df: DataFrame, runs: DataFrame, length: int, unit: str, key: str, text: str) -> DataFrame:
+    """The duplicated windows in the ``runs`` of crowded anchors, found without a task that holds a bucket.
 
     A run whose content as a whole repeats is duplicated as a whole. Only runs
     that share an anchor but differ in content are opened into single windows,
     and of equal runs only one. These are counted by content.
     """
-    runs = window_runs(df, length, unit, key, text, bucket_gram(length)).join(F.broadcast(crowded), "anchor")
     differs = [F.min(span) != F.max(span) for span in ("span1", "span2")]
     anchors = materialize(
         runs.groupBy("anchor")

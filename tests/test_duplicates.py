@@ -179,3 +179,18 @@ def test_chance_repeats_of_anchors_open_no_windows(spark, monkeypatch):
         with monkeypatch.context() as patched:
             patched.setattr(dup, "windows_of_runs", None)
             assert {tuple(r) for r in dup.duplicate_ranges(df, length, unit).collect()} == want
+
+
+def test_runs_of_lone_anchors_are_not_sent(spark):
+    """Only runs whose anchor may occur several times go to a bucket, as one row for many runs."""
+    from corpuslab.operators import windows
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)) for _ in range(20)]
+    texts += [texts[0][100:400] + "é" + texts[1][:200], None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)
+    repeated = windows.repeated_anchors(windows.run_anchors(df, 50), dup.CROWD)
+    sent = windows.run_units(df, 50, repeated).select(F.size("keys").alias("runs"), "bucket")
+    runs, rows_sent, buckets = sent.agg(F.sum("runs"), F.count("*"), F.count_distinct("bucket")).first()
+    assert 20 < runs < 200 and rows_sent == buckets
+    assert {tuple(r) for r in dup.duplicate_ranges(df, 50).collect()} == brute_ranges(texts, 50, "bytes")
