@@ -70,3 +70,22 @@ def test_maps_of_nodes_with_several_sets_decide_nothing(spark):
     got = {r.node: r.parity for r in links._parities(spark.createDataFrame(data, SETS)).collect()}
     assert got[1] is None and got[3] is None
     assert got[2] == [(1 << 3) + (1 << 4)] + [0] * 7
+
+
+def test_components_take_no_step_more_than_needed(spark, monkeypatch):
+    """Links that are stars take no step, and the last step is not repeated to see that it changed nothing."""
+    from corpuslab.operators import components as module
+
+    steps = []
+    smallest = module._smallest
+    monkeypatch.setattr(module, "_smallest", lambda edges: steps.append(1) or smallest(edges))
+
+    def found(links):
+        steps.clear()
+        return {r.node: r.component for r in module.components(spark.createDataFrame(links, "a long, b long")).collect()}
+
+    assert found([(5, 1), (1, 7), (9, 2), (3, 3), (1, 5)]) == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2} and not steps
+    assert found([(1, 2), (2, 3), (8, 9)]) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} and len(steps) == 2
+    chain = [(i, i + 1) for i in range(40)]
+    assert found(chain) == dict.fromkeys(range(41), 0)
+    assert found([]) == {} and not steps
