@@ -2,23 +2,28 @@
 
 The model is a table of bigram counts of a reference slice. A word's
 probability mixes its share after the word before it with its smoothed share
-overall. Scoring works on distinct word pairs: each pair gets its logarithm
-once, and documents fetch it by key.
+overall. Scoring works on distinct word pairs: each pair of a chunk of texts
+gets its counts and its logarithm once.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import normalized
+from corpuslab.operators import tallies
 from corpuslab.operators.order import exact_quantiles
 from corpuslab.operators.passages import segment
-from corpuslab.operators.skew import join_counted
 from corpuslab.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BEGIN, END = "<s>", "</s>"
 
 
@@ -28,11 +33,14 @@ def lm_tokens(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return df.select(key, words.alias("words"))
 
 
+def _framed(words: str) -> Column:
+    return F.concat(F.array(F.lit(BEGIN)), F.col(words), F.array(F.lit(END)))
+
+
 def word_pairs(tokens: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Neighbouring words, with marks at both ends: ``(key, before, word)``."""
-    framed = F.concat(F.array(F.lit(BEGIN)), F.col("words"), F.array(F.lit(END)))
     return (
-        tokens.select(*key, framed.alias("framed"))
+        tokens.select(*key, _framed("words").alias("framed"))
         .select(
             *key,
             F.explode(
@@ -47,34 +55,27 @@ def word_pairs(tokens: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame
 
 
 def train_ngram(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Bigram counts ``(before, word, n)`` of a reference slice."""
-    return word_pairs(lm_tokens(df, key, text), [key]).groupBy("before", "word").agg(F.count("*").alias("n"))
+    """Bigram counts ``(before, word, n)`` of a reference slice.
+
+    Words have no spaces, so a pair travels as one string, which takes less.
+    """
+    pairs = word_pairs(lm_tokens(df, key, text), [key]).select(F.concat_ws(" ", "before", "word").alias("pair"))
+    words = F.split("pair", " ", -1)
+    return pairs.groupBy("pair").agg(F.count("*").alias("n")).select(words[0].alias("before"), words[1].alias("word"), "n")
 
 
-def pair_log10(pairs: DataFrame, model: DataFrame, share: float = 0.75) -> DataFrame:
-    """``log10`` of the probability of each word pair: adds ``logp``.
+def pair_log10(
+    n: np.ndarray, n_before: np.ndarray, n_word: np.ndarray, size: float, share: float = 0.75
+) -> np.ndarray:
+    """``log10`` of the probability of word pairs with the given counts in the model, not a number for 0.
 
     ``share`` weighs the bigram estimate, the rest goes to the unigram estimate
     with one added to every count, so that unknown words get a value too.
+    ``size`` is the sum of those counts and one more.
     """
-    contexts, words = _known(pairs, model, "before", "n_before"), _known(pairs, model, "word", "n_word")
-    sizes = model.agg(F.sum("n").alias("total"), F.count_distinct("word").alias("vocabulary"))
-    size = sizes.select(F.struct("total", "vocabulary")).scalar()
-    total, vocabulary = size["total"], size["vocabulary"]
-    bigram = F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("n_before").cast("double")), F.lit(0.0))
-    unigram = (F.coalesce("n_word", F.lit(0)) + 1).cast("double") / (total + vocabulary + 1).cast("double")
-    met = pairs.join(model, ["before", "word"], "left")
-    return (
-        join_counted(join_counted(met, contexts, "before", "pairs_of"), words, "word", "pairs_of")
-        .withColumn("logp", F.log10(F.lit(share) * bigram + F.lit(1.0 - share) * unigram))
-        .drop("n", "n_before", "n_word")
-    )
-
-
-def _known(pairs: DataFrame, model: DataFrame, side: str, name: str) -> DataFrame:
-    """Counts in the model of every word on one side of the pairs, and how many pairs it is in."""
-    asked = pairs.groupBy(side).agg(F.count("*").alias("pairs_of"))
-    return materialize(asked.join(model.groupBy(side).agg(F.sum("n").alias(name)), side, "left"))
+    bigram = np.divide(n, n_before, out=np.zeros(len(n)), where=n_before != 0)
+    probability = share * bigram + (1.0 - share) * ((n_word + 1) / size)
+    return np.log10(probability, out=np.full(len(n), np.nan), where=probability > 0)
 
 
 def score_tokens(
@@ -82,19 +83,24 @@ def score_tokens(
 ) -> DataFrame:
     """``round(10 ** (-sum(log10 p) / (words + 1)), 1)`` per key.
 
-    Words travel as 64-bit numbers, a pair as two. Each distinct pair gets its
-    logarithm once; one common to very many documents is spread over several
-    tasks when its value is fetched.
+    Words travel as 64-bit numbers and stay packed by texts; only what texts
+    want to know of the model and its counts are sent (see ``tallies``). The
+    model is read twice, so pass a written table.
     """
     key = list(key)
-    coded = [F.xxhash64(side).alias(side) for side in ("before", "word")]
-    # Written once: normalising the texts a second time would cost more.
-    pairs = materialize(word_pairs(tokens, key).select(*key, *coded))
-    distinct = materialize(pairs.groupBy("before", "word").agg(F.count("*").alias("fan_in")))
-    scored = materialize(pair_log10(distinct, materialize(model.select(*coded, "n")), share))
-    mean = -F.avg("logp")
-    fetched = join_counted(pairs, scored, ["before", "word"], "fan_in")
-    return fetched.groupBy(*key).agg(F.round(F.pow(F.lit(10.0), mean), 1).alias("perplexity"))
+    coded = model.select(*(F.xxhash64(side).alias(side) for side in ("before", "word")), "n")
+    sizes = coded.agg(F.sum("n").alias("total"), F.count_distinct("word").alias("vocabulary")).first()
+    # A model without counts tells nothing: every value is null.
+    size = float("nan") if sizes["total"] is None else float(sizes["total"] + sizes["vocabulary"] + 1)
+    codes = F.transform(_framed("words"), lambda word: F.xxhash64(word))
+    found = tallies.sums_of_pairs(
+        tokens.select(*key, codes.alias("codes")),
+        coded,
+        key,
+        lambda n, n_before, n_word: pair_log10(n, n_before, n_word, size, share),
+    )
+    mean = -F.try_divide(F.sum("total"), F.sum("valued"))
+    return found.groupBy(*key).agg(F.round(F.pow(F.lit(10.0), mean), 1).alias("perplexity"))
 
 
 def perplexity(

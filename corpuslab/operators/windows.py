@@ -171,11 +171,11 @@ def run_anchors(df: DataFrame, length: int, unit: str = "bytes", text: str = "te
     return df.select(text).mapInArrow(run, "bucket int, codes binary")
 
 
-def _of_each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+def _of_each_bucket(batches: Iterator[pa.RecordBatch], column: str = "bucket") -> Iterator[tuple[int, pa.Table]]:
     """The rows of each bucket, which come one after the other."""
     waiting, current = [], None
     for batch in batches:
-        buckets = batch.column("bucket").to_numpy()
+        buckets = batch.column(column).to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
         for at, upto in zip(edges[:-1], edges[1:], strict=True):
             if upto == at:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.operators import domains, mixtures, order, packing, passages, perplexity, profile, ranges, sampling
+from corpuslab.operators.skew import possible
 from corpuslab.plans.registry import query, table
 from corpuslab.sources.corpus import cap_length
 
@@ -333,7 +334,8 @@ scores AS (SELECT doc_id, round(pow(10.0, -sum(logp) / count(*)), 1) AS perplexi
 
 def _model(spark, folder):
     good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    return perplexity.train_ngram(table(spark, folder, "documents").join(good, "doc_id", "left_semi"))
+    docs = possible(table(spark, folder, "documents"), good, "doc_id")
+    return perplexity.train_ngram(docs.join(good, "doc_id", "left_semi"))
 
 
 def _scores(spark, folder):
